@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-CACHED_PIECES, CACHED_PAIRS = 200_000, 500_000
+CACHED_PIECES, CACHED_PAIRS = 400_000, 500_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -44,12 +44,17 @@ class PrefixBpe:
 
     def merged(self, piece: bytes) -> list[int]:
         """The plain rank-order merge, for pieces of one or two tokens."""
+        rank, none = self.ranks.get, 1 << 62
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-            if rank == 1 << 62:
-                break
+        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) < none:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
         return [self.ranks[p] for p in parts]
 
     def whole(self, token: int) -> bool:
@@ -59,16 +64,23 @@ class PrefixBpe:
         return known
 
     def compatible(self, left: int, right: int) -> bool:
-        if (known := self._pairs.get((left, right))) is None:
+        if (known := self._pairs.get(left << 32 | right)) is None:
             if len(self._pairs) >= CACHED_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self._pairs[left << 32 | right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def _last(self, text: bytes, last: list[int], end: int) -> int:
-        for start in range(max(0, end - self.longest), end):
-            token = self.ranks.get(text[start:end])
-            if token is not None and (self.compatible(last[start], token) if start else self.whole(token)):
+        rank, pairs = self.ranks.get, self._pairs
+        for start in range(end - self.longest if end > self.longest else 0, end):
+            token = rank(text[start:end])
+            if token is None:
+                continue
+            if start:
+                known = pairs.get(last[start] << 32 | token)
+                if self.compatible(last[start], token) if known is None else known:
+                    return token
+            elif self.whole(token):
                 return token
         raise ValueError("a byte has no token")
 
