@@ -153,6 +153,13 @@ class Codec:
         return b"".join(map(self.table.__getitem__, ids))
 
 
+def _codec(ranks, pattern: str, held: dict = {}) -> Codec:  # noqa: B006
+    """A worker's codec: it and its pieces outlive the task."""
+    if held.get("key") != (ranks.id, pattern):
+        held.update(key=(ranks.id, pattern), codec=Codec(ranks.value, pattern))
+    return held["codec"]
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids array<int>) of every whole text. No shuffle."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))  # a vocabulary: fixed size
@@ -161,7 +168,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = Codec(ranks.value, pattern)
+        codec = _codec(ranks, pattern)
         for batch in batches:
             n, ids_hash, decoded_hash, all_ids = [], [], [], []
             for value in batch.column(1):

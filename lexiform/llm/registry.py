@@ -5,10 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiform.llm.common import table
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiform.llm.quality_fm import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiform.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,12 +30,59 @@ def op3_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiform.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiform.llm.decontaminate import find_overlaps
+
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiform.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiform.llm.chat_format import conversation_records, digests, format_chats
+
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return digests(format_chats(conversation_records(rows.unionByName(probe))))
+
+
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiform.llm.pii_feistel import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), key=b"a key that a caller would keep secret")
+
+
 def op10_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiform.llm.exact_dedup import duplicate_groups
 
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+PROBE = r"\### Assistant: </turn> ok"
+OP8_SQL = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+esc as (
+  select *, replace(replace(replace(replace(text, '\', '\b'), '<turn>', '\cturn>'), '</turn>', '\c/turn>'), '### ', '\h## ') as body from rows)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(6 + length(role) + 1 + length(body) + 8)::bigint as formatted_chars
+from esc group by conv_id
+"""
 OP10_SQL = """
 with d as (select doc_id, coalesce(text, '') as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
@@ -32,9 +92,19 @@ from d join g on d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_bpe_prefix_dp, op10_bloom_exact_dedup]
+    found = [
+        op1_quality_fm,
+        op2_label_propagation_shards,
+        op3_bpe_prefix_dp,
+        op5_secret_ownership,
+        op6_spaced_seed_decontamination,
+        op7_toxicity_mil,
+        op8_chat_fingerprints,
+        op9_feistel_pseudonyms,
+        op10_bloom_exact_dedup,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_bloom_exact_dedup": OP10_SQL}
+    return {"op8_chat_fingerprints": OP8_SQL, "op10_bloom_exact_dedup": OP10_SQL}
