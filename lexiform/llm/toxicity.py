@@ -25,7 +25,10 @@ from lexiform.llm.common import held_out
 from lexiform.llm.training import labelled_sample
 from lexiform.llm.wordhash import NOT_ALNUM, Block, blocks
 
-DIM, MAX_TRAIN, THRESHOLD, EPOCHS, BATCH, RATE, PRIOR, DECAY, STEM = 1 << 18, 8000, 0.3, 12, 200, 0.15, -6.0, 1e-5, 5
+DIM, MAX_TRAIN, THRESHOLD, EPOCHS, BATCH, RATE, PRIOR, DECAY, START = 1 << 20, 12000, 0.3, 20, 200, 0.3, -7.0, 0.02, 0.1
+#: Bytes of the word beginnings that are features beside whole words.
+STEMS = (3, 5, 7)
+STRIPE = 8
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
 
@@ -38,12 +41,24 @@ def bags(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(block.n), np.diff(first))
     sentence = np.cumsum(_ENDS[block.raw])[starts] + doc
     begin = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
-    stem = np.minimum(starts + STEM, ends)
-    features = np.empty(2 * len(starts), np.int64)
-    features[0::2] = (block.hashes(starts, ends) & np.uint64(DIM // 2 - 1)).astype(np.int64)
-    features[1::2] = (block.hashes(starts, stem) & np.uint64(DIM // 2 - 1)).astype(np.int64) + DIM // 2
+    # Very short sentences join their neighbours: an instance for those that begin within one stripe of STRIPE words.
+    stripe, own = (begin - first[doc[begin]]) // STRIPE, doc[begin]
+    begin = begin[np.concatenate([[True], (stripe[1:] != stripe[:-1]) | (own[1:] != own[:-1])])]
+    each, part = 1 + len(STEMS), DIM // 4  # STEMS and whole words
+    features = np.empty(each * len(starts), np.int64)
+    for k, length in enumerate((None, *STEMS)):
+        stop = ends if length is None else np.minimum(starts + length, ends)
+        features[k::each] = (block.hashes(starts, stop) & np.uint64(part - 1)).astype(np.int64) + k * part
     spans = np.stack([starts[begin], ends[np.concatenate([begin[1:], [len(starts)]]) - 1]], 1)
-    return features, begin * 2, np.searchsorted(begin, first), spans
+    # A word that repeats the one before it adds nothing; the first word of an instance always counts.
+    new = np.concatenate([[True], features[each::each] != features[:-each:each]])
+    new[begin] = True
+    features = features.reshape(-1, each)[new].ravel()
+    return features, (np.cumsum(new)[begin] - 1) * each, np.searchsorted(begin, first), spans
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0, -z))
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -52,7 +67,7 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 def fit(features: np.ndarray, sentences: np.ndarray, docs: np.ndarray, labels: np.ndarray, seed: int = 1) -> np.ndarray:
     """Weights (DIM and the bias) that maximise the noisy-or likelihood. docs: first sentence of each bag, none empty."""
-    w, squares = np.zeros(DIM + 1), np.full(DIM + 1, 1e-4)
+    w, squares = np.zeros(DIM + 1), np.full(DIM + 1, START)
     w[DIM], rng = PRIOR, np.random.default_rng(seed)
     sentences, docs = np.append(sentences, len(features)), np.append(docs, len(sentences))
     for epoch in range(EPOCHS):
@@ -62,14 +77,14 @@ def fit(features: np.ndarray, sentences: np.ndarray, docs: np.ndarray, labels: n
             sizes = sentences[own + 1] - sentences[own]
             at = np.repeat(sentences[own] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
             idx, head = features[at], np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            z = w[DIM] + np.add.reduceat(w[idx], head) / np.sqrt(sizes)
+            z = w[DIM] + np.add.reduceat(w[idx], head)
             bag = docs[some + 1] - docs[some]
             log_q = -np.add.reduceat(_softplus(z), np.concatenate([[0], np.cumsum(bag)[:-1]]))
             q = np.exp(log_q)
             pull = np.where(labels[some] == 1, -q / np.maximum(1 - q, 1e-9), 1.0)
-            g = np.repeat(pull, bag) / (1 + np.exp(-z))
-            grad = np.bincount(idx, weights=np.repeat(g / np.sqrt(sizes), sizes), minlength=DIM + 1) / len(some)
-            grad[DIM] = g.sum() / len(some)
+            g = np.repeat(pull, bag) * _sigmoid(z)
+            grad = np.bincount(idx, weights=np.repeat(g, sizes), minlength=DIM + 1)
+            grad[DIM] = g.sum()
             grad[:DIM] += DECAY * w[:DIM]
             squares += grad * grad
             w -= RATE * grad / np.sqrt(squares)
@@ -95,17 +110,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
 
     sample = labelled_sample(docs, labels, label, bound, ["text"]).selectExpr("doc_id", "label", "cast(text as string) as text")
     rows = sample.mapInArrow(run, "doc_id long, label int, features binary, sizes binary").toArrow()
-    rows = sorted(zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True), key=lambda r: (r[0], r[2]))
-    rows = [r for r in rows if len(r[3])]
+    rows = sorted((r for r in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True) if len(r[3])), key=lambda r: (r[0], r[2]))
     if not rows:
         w = np.zeros(DIM + 1, np.float32)
         w[DIM] = PRIOR
         return w
-    features = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows]).astype(np.int64)
+    features = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
     sizes = [np.frombuffer(r[3], np.int32) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(s) for s in sizes])[:-1]])
     sizes = np.concatenate(sizes).astype(np.int64)
-    return fit(features, np.concatenate([[0], np.cumsum(sizes)[:-1]]), first, np.array([r[1] for r in rows]))
+    y = np.array([r[1] for r in rows])
+    del rows
+    return fit(features, np.concatenate([[0], np.cumsum(sizes)[:-1]]), first, y)
 
 
 def score_block(block: Block, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,10 +130,10 @@ def score_block(block: Block, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     score = np.zeros(block.n)
     if not len(sentences):
         return score, np.zeros(0), spans, first
-    z = w[DIM] + np.add.reduceat(w[features].astype(np.float64), sentences) / np.sqrt(np.diff(np.append(sentences, len(features))))
+    z = w[DIM] + np.add.reduceat(w[features].astype(np.float64), sentences)
     held = np.flatnonzero(np.diff(first))
     score[held] = -np.expm1(-np.add.reduceat(_softplus(z), first[held]))
-    return score, 1 / (1 + np.exp(-z)), spans, first
+    return score, _sigmoid(z), spans, first
 
 
 def score_documents(docs: DataFrame, w: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
