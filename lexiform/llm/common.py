@@ -33,3 +33,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def held_out(doc_id) -> F.Column:
     """Rows whose crc32(doc_id as text) mod 4 is 2; a null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", max_bits: int = 1 << 29) -> DataFrame:
+    """docs without the rows whose id is in gone. A bitmap of hashed ids, of max_bits at most, lets most rows pass without a shuffle."""
+    gone = materialize(gone.select(F.col(id_col).cast("long").alias("gone")).distinct(), "gone")
+    bits = min(max_bits, max(1 << 16, 1 << (16 * gone.count()).bit_length()))
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+    marks = gone.select(slot(F.col("gone")).alias("slot")).groupBy(F.expr("slot div 32768").alias("bucket")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("marks"))
+    cols = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), F.col(id_col).cast("long").alias("own"))
+    rows = rows.withColumn("slot", slot(F.col("own"))).withColumn("bucket", F.expr("slot div 32768")).join(F.broadcast(marks), "bucket", "left")
+    byte = "cast(conv(hex(substring(marks, cast(slot % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
+    rows = rows.select("row", "own", F.expr(f"coalesce(shiftright({byte}, cast(slot % 8 as int)) & 1, 0) = 1").alias("maybe"))
+    kept = rows.filter("maybe").join(gone, F.col("own") == F.col("gone"), "left_anti")
+    return rows.filter("not maybe").select("row.*").unionByName(kept.select("row.*"))

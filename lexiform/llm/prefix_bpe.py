@@ -153,22 +153,23 @@ class Codec:
         return b"".join(map(self.table.__getitem__, ids))
 
 
-def _codec(ranks, pattern: str, held: dict = {}) -> Codec:  # noqa: B006
-    """A worker's codec: it and its pieces outlive the task."""
-    if held.get("key") != (ranks.id, pattern):
-        held.update(key=(ranks.id, pattern), codec=Codec(ranks.value, pattern))
+def _codec(ranks, key: tuple[str, str, int], held: dict = {}) -> Codec:  # noqa: B006
+    """A worker's codec: it and its pieces outlive the task. key: path of the ranks, pattern, number of ranks."""
+    if held.get("key") != key:
+        held.update(key=key, codec=Codec(ranks.value, key[1]))
     return held["codec"]
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids array<int>) of every whole text. No shuffle."""
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))  # a vocabulary: fixed size
+    table = load_ranks(ranks_path)
+    ranks, key = docs.sparkSession.sparkContext.broadcast(table), (ranks_path, pattern, len(table))  # a vocabulary: fixed size
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = _codec(ranks, pattern)
+        codec = _codec(ranks, key)
         for batch in batches:
             n, ids_hash, decoded_hash, all_ids = [], [], [], []
             for value in batch.column(1):

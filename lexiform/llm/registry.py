@@ -30,6 +30,12 @@ def op3_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiform.llm.ngram_join import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiform.llm.secrets import find_secrets
 
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_quality_fm,
         op2_label_propagation_shards,
         op3_bpe_prefix_dp,
+        op4_ngram_jaccard_join,
         op5_secret_ownership,
         op6_spaced_seed_decontamination,
         op7_toxicity_mil,
