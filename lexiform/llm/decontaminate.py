@@ -163,13 +163,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_col: str = "it
     """docs without the contaminated rows; all columns, no shuffle."""
     for held in _indexes(docs, benchmark, item_col, text_col):
 
-        def clean(texts: Iterator, held=held) -> Iterator:  # noqa: B008
+        def clean(texts, held=held):  # noqa: B008
             import pandas as pd
             import pyarrow as pa
 
             for text in texts:
                 yield pd.Series([not x for x in _overlaps(pa.array(text, pa.string(), from_pandas=True), held.value)], dtype=bool)
 
-        clean.__annotations__ = {"texts": "Iterator[pd.Series]", "return": "Iterator[pd.Series]"}
         docs = docs.filter(F.pandas_udf(clean, "boolean", functionType=F.PandasUDFType.SCALAR_ITER)(F.col("text").cast("string")))
     return docs

@@ -169,7 +169,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
     """docs without the rows that score threshold or more; all columns, no shuffle."""
     held = spark.sparkContext.broadcast(train(docs, labels))
 
-    def score(texts: Iterator) -> Iterator:
+    def score(texts):
         import pandas as pd
         import pyarrow as pa
 
@@ -177,6 +177,5 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
             found = [score_block(block, held.value)[0] for _, block in blocks(pa.array(text, pa.string(), from_pandas=True))]
             yield pd.Series(np.concatenate([*found, np.zeros(0)]))
 
-    score.__annotations__ = {"texts": "Iterator[pd.Series]", "return": "Iterator[pd.Series]"}
     udf = F.pandas_udf(score, "double", functionType=F.PandasUDFType.SCALAR_ITER)
     return docs.filter(udf(F.col("text").cast("string")) < threshold)
