@@ -24,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """From now on the session sends at most so many rows at once to Python, unless it has been told another number: rows hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") in ("10000", None):
+        spark.conf.set(key, str(rows))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
     """Jobs inside send at most so many rows to Python at once: for rows that hold whole sets."""

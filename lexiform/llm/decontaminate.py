@@ -26,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiform.llm.common import bounded_batches
 from lexiform.llm.wordhash import NOT_ALNUM, Block, blocks, mix
 
 MASKS = [(0, 1, 3, 4, 7, 9), (0, 1, 2, 4, 6, 7), (0, 1, 2, 3, 4, 5)]
@@ -115,6 +116,7 @@ class Index:
 def _indexes(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> list:
     """A broadcast Index for each block of at most about BLOCK_TOKENS tokens of the benchmark."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    bounded_batches(docs.sparkSession)
     total = items.agg(F.sum(F.octet_length("text") / 4)).first()[0] or 0
     n = int(total // BLOCK_TOKENS) + 1
     for b in range(n):

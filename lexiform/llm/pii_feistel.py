@@ -22,6 +22,8 @@ from math import isqrt
 
 from pyspark.sql import DataFrame
 
+from lexiform.llm.common import bounded_batches
+
 ROUNDS, CACHED = 10, 200_000
 DAY_ZERO, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2200, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
@@ -198,6 +200,7 @@ class Pseudonyms:
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, and n_<kind> for each kind. No shuffle."""
     names = [k[0] for k in KINDS]
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import held_out
+from lexiform.llm.common import bounded_batches, held_out
 from lexiform.llm.training import labelled_sample
 from lexiform.llm.wordhash import NOT_ALNUM, SPACES, Block, blocks, distinct
 
@@ -152,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...], label:
 def score_documents(docs: DataFrame, machine: Machine, metadata: tuple[str, ...]) -> DataFrame:
     """doc_id and score of every whole text. No shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(machine)  # DIM * (RANK + 1) floats
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -2,9 +2,9 @@
 
 Rows with the same link key (equal texts, or any class id) are neighbours. Rows
 that agree in key, chunk and shard have the same neighbours, so they move as one
-cell; a round joins the cells with their key's votes, lets each key pick the
-fullest shard that is still open, and admits cells in hash order while the shard
-has quota left. A key may hold a third of all rows: it is divided into chunks of
+cell; a round joins the cells with their key's votes, lets each cell pick the
+open shard that holds most of its key, if that is more than its own holds, and admits
+cells in hash order while the shard has quota left. A key may hold a third of all rows: it is divided into chunks of
 about CHUNK rows, which follow each other from shard to shard as these fill.
 Unlinked rows stay where their hash puts them and fill up the shards at the end.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexiform.llm.common import materialize
 
-N_SHARDS, ROUNDS, CHUNK, ADMIT, BUCKETS, LINKED = 16, 4, 4096, 256, 4096, 1024
+N_SHARDS, ROUNDS, CHUNK, ADMIT, BUCKETS, LINKED, SALTS = 16, 8, 4096, 256, 4096, 1024, 16
 
 
 def vertices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,20 +43,12 @@ def propagate(cells: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> Da
         load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
         quota = [c - load.get(s, 0) for s, c in enumerate(capacity)]
         is_open = F.element_at(F.array(*(F.lit(q > 0) for q in quota)), F.col("shard") + 1)
-        votes = cells.groupBy("key", "shard").agg(F.sum("n").alias("votes"))
-        pick = votes.groupBy("key").agg(
-            F.max_by("shard", F.struct(is_open.alias("open"), "votes", F.xxhash64("key", "shard").alias("tie"))).alias("target"),
-            F.max(is_open).alias("any_open"),
-            F.count("*").alias("spread"),
-        )
-        # Where none of a key's shards is open, the key's hash names another one.
-        open_ids = [s for s, q in enumerate(quota) if q > 0]
-        if not open_ids:
-            break
-        other = F.element_at(F.array(*map(F.lit, open_ids)), (F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(len(open_ids))) + 1).cast("int"))
-        pick = pick.filter("spread > 1").select("key", F.when(F.col("any_open"), F.col("target")).otherwise(other).alias("target"))
-        wish = cells.join(pick, "key", "left").withColumn("at", F.pmod(F.xxhash64("key", "chunk", "shard", F.lit(turn)), F.lit(ADMIT)).cast("int"))
-        wish = materialize(wish.withColumn("moves", F.col("target").isNotNull() & (F.col("target") != F.col("shard"))), f"wish{turn}")
+        votes = cells.groupBy("key", "shard").agg(F.struct(F.sum("n").alias("n"), F.xxhash64("key", "shard").alias("tie")).alias("votes"))
+        best = votes.filter(is_open).groupBy("key").agg(F.max("votes").alias("most"), F.max_by("shard", "votes").alias("target"))
+        # A cell moves only to a shard with more of its neighbours than its own has.
+        pick = votes.join(best, "key").filter(F.col("most") > F.col("votes")).select("key", "shard", "target")
+        wish = cells.join(pick, ["key", "shard"], "left").withColumn("at", F.pmod(F.xxhash64("key", "chunk", "shard", F.lit(turn)), F.lit(ADMIT)).cast("int"))
+        wish = materialize(wish.withColumn("moves", F.col("target").isNotNull()), f"wish{turn}")
         demand = wish.filter("moves").groupBy("target", "at").agg(F.sum("n").alias("n")).collect()  # shards x ADMIT rows at most
         if not demand:
             return wish.select("key", "chunk", "home", "n", "shard")
@@ -103,12 +95,14 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "do
     total = rows.count()
     target = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     chunks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("group") / CHUNK))
-    groups = rows.groupBy("key").agg(F.count("*").alias("group"), F.min("h").alias("group_h")).filter("group > 1")
-    tagged = rows.join(groups, "key", "left").withColumn("chunk", F.when(F.col("group") > 1, F.pmod(F.xxhash64("h"), chunks)))
+    groups = rows.groupBy("key").agg(F.count("*").alias("group")).filter("group > 1")
+    # A group may hold a third of all rows: its rows are dealt over SALTS tasks.
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tagged = rows.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")).join(groups, ["key", "salt"], "left").withColumn("chunk", F.when(F.col("group") > 1, F.pmod(F.xxhash64("h"), chunks)))
     tagged = materialize(tagged, "tagged")
     linked = tagged.filter("group > 1")
     cells = propagate(linked.groupBy("key", "chunk", "home").agg(F.count("*").alias("n")), target, rounds)
-    moved = linked.drop("group_h").join(cells.select("key", "chunk", "home", "shard"), ["key", "chunk", "home"])
+    moved = linked.join(cells.select("key", "chunk", "home", "shard"), ["key", "chunk", "home"])
     bucket = F.pmod(F.xxhash64("key", "chunk"), F.lit(LINKED))
     placed = moved.select("doc_id", "size", "crc", "copy", "h", "shard", bucket.cast("int").alias("bucket"), F.xxhash64("key", "chunk").alias("group"), F.lit(True).alias("linked"))
     alone = tagged.filter("group is null").select("doc_id", "size", "crc", "copy", "h", F.col("home").alias("shard"), (F.lit(LINKED) + F.pmod(F.xxhash64("h"), F.lit(BUCKETS - LINKED))).cast("int").alias("bucket"), F.lit(0).cast("long").alias("group"), F.lit(False).alias("linked"))

@@ -21,11 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import held_out
+from lexiform.llm.common import bounded_batches, held_out
 from lexiform.llm.training import labelled_sample
 from lexiform.llm.wordhash import NOT_ALNUM, Block, blocks
 
-DIM, MAX_TRAIN, THRESHOLD, EPOCHS, BATCH, RATE, PRIOR, DECAY, START = 1 << 20, 12000, 0.3, 20, 200, 0.3, -7.0, 0.02, 0.1
+DIM, MAX_TRAIN, THRESHOLD, EPOCHS, BATCH, RATE, PRIOR, DECAY, START = 1 << 20, 10000, 0.3, 20, 200, 0.3, -7.0, 0.02, 0.1
 #: Bytes of the word beginnings that are features beside whole words.
 STEMS = (3, 5, 7)
 STRIPE = 8
@@ -70,9 +70,9 @@ def fit(features: np.ndarray, sentences: np.ndarray, docs: np.ndarray, labels: n
     w, squares = np.zeros(DIM + 1), np.full(DIM + 1, START)
     w[DIM], rng = PRIOR, np.random.default_rng(seed)
     sentences, docs = np.append(sentences, len(features)), np.append(docs, len(sentences))
-    for epoch in range(EPOCHS):
+    for _ in range(EPOCHS):
         order = rng.permutation(len(labels))
-        for some in np.array_split(order, max(1, len(order) // BATCH)):
+        for some in np.array_split(order, max(1, len(order) // BATCH, min(32, len(order) // 8))):
             own = np.concatenate([np.arange(docs[i], docs[i + 1]) for i in some])
             sizes = sentences[own + 1] - sentences[own]
             at = np.repeat(sentences[own] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
@@ -109,8 +109,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "label", "features", "sizes"])
 
     sample = labelled_sample(docs, labels, label, bound, ["text"]).selectExpr("doc_id", "label", "cast(text as string) as text")
-    rows = sample.mapInArrow(run, "doc_id long, label int, features binary, sizes binary").toArrow()
-    rows = sorted((r for r in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True) if len(r[3])), key=lambda r: (r[0], r[2]))
+    bounded_batches(docs.sparkSession)
+    rows = sample.mapInArrow(run, "doc_id long, label int, features binary, sizes binary").toLocalIterator()
+    rows = sorted((tuple(r) for r in rows if len(r[3])), key=lambda r: (r[0], r[2]))
     if not rows:
         w = np.zeros(DIM + 1, np.float32)
         w[DIM] = PRIOR
@@ -139,6 +140,7 @@ def score_block(block: Block, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def score_documents(docs: DataFrame, w: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, offending: [start, end) in code points of the sentences whose own probability reaches the threshold. No shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(w)  # DIM + 1 floats
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -168,6 +170,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score threshold or more; all columns, no shuffle."""
     held = spark.sparkContext.broadcast(train(docs, labels))
+    bounded_batches(spark)
 
     def score(texts):
         import pandas as pd
