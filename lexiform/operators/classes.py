@@ -205,3 +205,12 @@ def summary_classes(rows: DataFrame, by_runs: bool = False, limit: int | None =
     lists = F.create_map(F.lit("variant_types"), F.col("types"), F.lit("assemblies"), F.col("assemblies"), F.lit("clinical_significance"), F.col("significances"), F.lit("phenotypes"), F.col("all_phenotypes"), F.lit("review_status"), F.col("reviews"))
     out = _shaped(with_forms(group, found, ("-", "na")), F.concat(F.lit("clinvar_summary:"), "vid"), "clinvar_summary", 4, attrs, lists)
     return cap(out, [F.col("ord")], limit).drop("ord")
+
+
+def validate(classes: DataFrame) -> DataFrame:
+    """classes, if it has forms and at least one row; else an error."""
+    if "forms" not in classes.columns:
+        raise ValueError("classes need a column of forms")
+    if classes.isEmpty():
+        raise ValueError("there are no classes")
+    return classes

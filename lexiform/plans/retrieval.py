@@ -384,3 +384,55 @@ def hard_student_retrieval(spark, d):
     place = F.row_number().over(Window.partitionBy("benchmark_id").orderBy(F.desc("score"), "cand_idx"))
     rows = pools.join(q, "query_text").join(c, "cand_text").withColumn("score", F.round(M.dot(F.col("x"), F.col("y")), 9)).withColumn("place", place)
     return M.evaluate(rows.groupBy("benchmark_id").agg(F.min(F.when(F.col("decoy_kind") == "positive", F.col("place"))).alias("rank")))
+
+
+@query("""
+with b as (select p_partkey as pair, unnest(range(1, length(p_brand) + 1)) as i, p_brand, p_name from part),
+s as (select pair, i, ascii(substr(p_brand, i::int, 1)) as s, p_name from b), t as (select *, unnest(range(1, length(p_name) + 1)) as j from s),
+w as (select pair, i, j, (case when s = ascii(substr(p_name, j::int, 1)) then 2.0 else 0 end + case when s between 48 and 57 and ascii(substr(p_name, j::int, 1)) between 48 and 57 then 1.0 else 0 end)::double as w from t),
+p as (select pair, i, case when sum(w) over (partition by pair, i) > 0 then w / sum(w) over (partition by pair, i) else 1.0 / count(*) over (partition by pair, i) end as p, count(*) over (partition by pair, i) as n from w),
+k as (select pair, i, sum(case when p > 0 then p * (ln(p) - ln(1.0 / n)) else 0 end) as kl from p group by 1, 2)
+select pair, round(avg(kl), 8) as loss from k group by pair
+""")
+def attention_distillation_loss(spark, d):
+    """Divergence of a uniform student from the byte teacher."""
+    from lexiform.functions.text import byte_ids
+
+    pairs = table(spark, d, "part").select(F.col("p_partkey").alias("pair"), byte_ids(F.col("p_brand"), 64).alias("source"), byte_ids(F.col("p_name"), 64).alias("target"))
+    t = X.teacher(pairs)
+    n = t.groupBy("pair", "i").agg((1.0 / F.count("*")).alias("q"))
+    student = t.select("pair", "i", "j").join(n, ["pair", "i"])
+    return L.attention_kl(t, student).select("pair", F.round("loss", 8).alias("loss"))
+
+
+@query(f"""
+with {_POOLS}, f as (select distinct benchmark_id, fact_id from pools union all select benchmark_id, cand_fact from pools), v as (select p_size::double as v from f join part on p_partkey::varchar = f.fact_id)
+select 'size' as field, min(v) as low, max(v) as high, greatest(max(v) - min(v), 1.0) as scale from v
+""")
+def hard_pool_numeric_stats(spark, d):
+    return X.numeric_stats(X.hard_attributes(_pools(spark, d), part_classes(spark, d).select("fact_id", "attrs")), ["size"], strict=True)
+
+
+@query(f"with {CONV_SQL} select form_id from (select form_id, row_number() over (order by form_id) as rn from forms where notation in ('user', 'system')) where rn <= 50")
+def capped_pool(spark, d):
+    """A prefix of a pool in its order: max_queries and max_candidates."""
+    return R.pool(C.flatten(conversation_classes(spark, d)), ["user", "system"], track="chat", limit=50).select("form_id")
+
+
+@query("select event_type, time_bucket(interval '1 day', ts) as start, count(*) as n from events group by 1, 2")
+def streamed_windows(spark, d):
+    """Daily counts from a stream over the events, as its last complete result."""
+    import tempfile
+
+    from lexiform.streaming.forms import windowed_counts
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexiform-stream-")
+    import uuid
+
+    out = f"{base}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    counts = windowed_counts(stream, "ts", "event_type", "1 day", "36500 days")
+    q = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows")).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("event_type", "start", "n")
