@@ -108,21 +108,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
                     rows.append((ids[at + i], y[at + i], features[own[0] : own[-1]].astype(np.int32).tobytes(), np.diff(own).astype(np.int32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "label", "features", "sizes"])
 
-    sample = labelled_sample(docs, labels, label, bound, ["text"]).selectExpr("doc_id", "label", "cast(text as string) as text")
+    sample = labelled_sample(docs, labels, label, bound, ["text"]).selectExpr("doc_id", "label", "cast(text as string) as text").orderBy("doc_id", F.xxhash64("text"))
     bounded_batches(docs.sparkSession)
-    rows = sample.mapInArrow(run, "doc_id long, label int, features binary, sizes binary").toLocalIterator()
-    rows = sorted((tuple(r) for r in rows if len(r[3])), key=lambda r: (r[0], r[2]))
-    if not rows:
+    # One growing buffer: the sample's features are held once.
+    features, sizes, first, y = bytearray(), bytearray(), [], []
+    for row in sample.mapInArrow(run, "doc_id long, label int, features binary, sizes binary").toLocalIterator():
+        if len(row[3]):
+            first.append(len(sizes) // 4)
+            y.append(row[1])
+            features += row[2]
+            sizes += row[3]
+    if not y:
         w = np.zeros(DIM + 1, np.float32)
         w[DIM] = PRIOR
         return w
-    features = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
-    sizes = [np.frombuffer(r[3], np.int32) for r in rows]
-    first = np.concatenate([[0], np.cumsum([len(s) for s in sizes])[:-1]])
-    sizes = np.concatenate(sizes).astype(np.int64)
-    y = np.array([r[1] for r in rows])
-    del rows
-    return fit(features, np.concatenate([[0], np.cumsum(sizes)[:-1]]), first, y)
+    ends = np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64)
+    return fit(np.frombuffer(features, np.int32), np.concatenate([[0], ends[:-1]]), np.array(first), np.array(y))
 
 
 def score_block(block: Block, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
