@@ -432,7 +432,10 @@ def streamed_windows(spark, d):
     out = f"{base}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    # Watermarks need instants: the table's clock time is read as UTC, whatever the session's zone.
+    stream = stream.withColumn("ts", F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))")))
     counts = windowed_counts(stream, "ts", "event_type", "1 day", "36500 days")
     q = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows")).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("event_type", "start", "n")
+    start = F.expr("timestampadd(MICROSECOND, unix_micros(start), timestamp_ntz'1970-01-01')").alias("start")
+    return spark.read.parquet(f"{out}/rows").select("event_type", start, "n")
