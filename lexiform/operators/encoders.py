@@ -125,7 +125,7 @@ class AttentionEncoder:
 
 
 def encode(forms: DataFrame, encoder, max_length: int = MAX_LENGTH, text_col: str = "text") -> DataFrame:
-    """forms with dense: the encoder's vector of each text. Any callable from byte ids to vectors will do."""
+    """forms with dense: the encoder's vector of each text. Any callable from byte ids to vectors will do; equal texts are encoded once."""
     held = forms.sparkSession.sparkContext.broadcast(encoder)  # a model: fixed size
 
     def run(texts):
@@ -136,7 +136,8 @@ def encode(forms: DataFrame, encoder, max_length: int = MAX_LENGTH, text_col: st
             yield pd.Series(list(np.concatenate(rows)) if rows else [], dtype=object)
 
     udf = F.pandas_udf(run, "array<double>", functionType=F.PandasUDFType.SCALAR_ITER)
-    return forms.withColumn("dense", udf(F.col(text_col)))
+    vectors = forms.select(F.col(text_col).alias("_text")).distinct().withColumn("dense", udf(F.col("_text")))
+    return forms.join(vectors, F.col(text_col).eqNullSafe(F.col("_text")), "left").drop("_text")
 
 
 def fit_student(pairs: DataFrame, bound: int = 20_000, epochs: int = 3, batch: int = 128, rate: float = 3e-3, temperature: float = 0.07, seed: int = 13) -> MeanEncoder:
