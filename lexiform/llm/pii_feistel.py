@@ -8,7 +8,7 @@ keep one pseudonym across documents, whatever their separators.
 
 Defined cases: null text stays null; empty text and text without PII stay as they
 are; values that fail their check stay; of overlapping finds the first kind of KINDS
-holds; texts of any length are handled whole; rows and ids may repeat; an empty
+holds; cards are runs of digits, or groups of 4 (up to 16 digits) or 4, 6 and 5; texts of any length are handled whole; rows and ids may repeat; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -153,7 +153,7 @@ KINDS: list[tuple[str, re.Pattern, Callable[[str, bytes], str | None]]] = [
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), ip),
     ("date", re.compile(r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z]|[-/][0-9])"), date),
     ("ssn", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"), ssn),
-    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"), card),
+    ("card", re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])"), card),
     ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{9,15}(?![0-9A-Za-z])"), phone),
 ]
 _ANY = re.compile(r"[0-9@]")

@@ -504,6 +504,8 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert again[1].replace(" ", "") == new[1] and re.fullmatch(r"[A-Z][a-z]\.[a-z]\d\d@mail7\.example\.com", again[2]) and again[3] != "12.197.240.125"
     assert got[2].n_iban == 1 and got[2].n_ssn == 1 and "1234 5698" not in got[2].text and "219-09-9999" not in got[2].text
     assert got[3].text == texts[3] and got[4].text is None and got[5].text == "" and got[6].text == "no numbers"
+    close, n = pii_feistel.Pseudonyms(b"k")(f"12.42 {card} 53.121.55.90 {spaced} 7")
+    assert n["card"] == 2 and n["ip"] == 1 and card not in close and spaced not in close
     other = pii_feistel.pseudonymise(frame(spark, texts), b"another").filter("doc_id = 0").first().text
     assert other != got[0].text
     assert pii_feistel.pseudonymise(frame(spark, texts).limit(0), b"k").count() == 0
