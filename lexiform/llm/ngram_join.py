@@ -8,16 +8,18 @@ share at least K of their first n - ceil(n * percent / 100) + K shingles, so onl
 these are indexed, and of them only those that are not known to be unique; sets
 whose first shingles are all unique link with nothing.
 
-* Short inverted lists (up to SHORT sets) are merged: pairs that occur in the
-  required number of lists are candidates, verified by binary probes of the full
-  sets, best candidates first; pairs inside one component need no probe.
-* Long lists join the sets that share them into clusters. A few hubs of each
-  cluster are verified against all its members; sets that this leaves outside the
-  cluster's main component search all members, in tiles of TILE sets: DivideSkip
-  merges the short lists of a tile's index and probes the long ones.
+* Long lists join the sets that share them into clusters. All members of a cluster
+  search all others, in pairs of tiles of TILE sets: DivideSkip merges the short
+  lists of a tile's index and probes the long ones. Tiles return the number of links
+  and the components of their sets, not the links.
+* Short inverted lists (up to SHORT sets) are merged: pairs of sets of different
+  clusters that occur in the required number of lists are candidates, all verified
+  by binary probes of the full sets.
 
 No list, cluster or group of copies is ever gathered in one task, and no case is
-dropped: what the order does not thin out is searched in tiles.
+dropped: what the order does not thin out is searched in tiles. The pairs inside a
+cluster are searched even if they share a component, so work grows with the square
+of a cluster's distinct sets.
 
 Defined cases: words are runs of bytes other than white space, A-Z lower-cased; with
 fewer than four words the whole sequence is the one shingle; null texts, empty texts and
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from lexiform.llm.common import drop_ids, materialize, small_batches
 from lexiform.llm.wordhash import SPACES, Block, blocks, mix
 
-WORDS, PERCENT, K, SHORT, TILE, HUBS, SALTS = 4, 85, 3, 32, 2048, 8, 16
+WORDS, PERCENT, K, SHORT, TILE, SALTS = 4, 85, 3, 32, 2048, 16
 TILE_SHINGLES = 1 << 21
 #: Share of the hash range in which shingles are counted; sets up to SMALL are counted whole.
 ZONE, SMALL = 0.4, 64
@@ -85,14 +87,18 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return overlap * 100 >= percent * (len(x) + len(y) - overlap)
 
 
-def divide_skip(queries: list[np.ndarray], sets: list[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[int, int]]:
-    """All (query, set) pairs that link: each query's long lists are probed, the others merged with fewer occurrences required."""
+def matches(queries: list[np.ndarray], sets: list[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, sets that link with it): each query's long lists are probed, the others merged with fewer occurrences required."""
     if not queries or not sets:
         return
     shingles = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(shingles, kind="stable")
     shingles, owner, size = shingles[order], owner[order], np.array([len(s) for s in sets])
+
+    def owners(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+
     for q, query in enumerate(queries):
         lo, hi = np.searchsorted(shingles, query, "left"), np.searchsorted(shingles, query, "right")
         length = hi - lo
@@ -100,16 +106,45 @@ def divide_skip(queries: list[np.ndarray], sets: list[np.ndarray], percent: int
         by_length = np.argsort(-length, kind="stable")
         long, short = by_length[: least - 1], by_length[least - 1 :]
         # A set that links occurs in least lists, so in one of the short ones at least.
-        n = length[short]
-        at = np.repeat(lo[short] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        found, times = np.unique(owner[at], return_counts=True)
-        fits = (size[found] * 100 >= percent * len(query)) & (len(query) * 100 >= percent * size[found])
-        probes = np.sort(query[long])
-        for s, t in zip(found[fits].tolist(), times[fits].tolist(), strict=True):
-            other = sets[s]
-            overlap = t + (int((other[np.minimum(np.searchsorted(other, probes), len(other) - 1)] == probes).sum()) if len(probes) else 0)
-            if overlap * 100 >= percent * (len(query) + len(other) - overlap):
-                yield q, s
+        times = np.bincount(owners(lo[short], length[short]), minlength=len(sets))
+        fits = (times > 0) & (size * 100 >= percent * len(query)) & (len(query) * 100 >= percent * size)
+        fits &= (times + len(long)) * (100 + percent) >= percent * (len(query) + size)
+        found = np.flatnonzero(fits)
+        if not len(found):
+            continue
+        overlap, probes = times[found], np.sort(query[long])
+        if len(found) * 64 < len(sets):
+            for i, s in enumerate(found.tolist() if len(probes) else []):
+                other = sets[s]
+                overlap[i] += (other[np.minimum(np.searchsorted(other, probes), len(other) - 1)] == probes).sum()
+        else:  # most sets are candidates: one pass over the long lists probes all of them
+            overlap = overlap + np.bincount(owners(lo[long], length[long]), minlength=len(sets))[found]
+        found = found[overlap * (100 + percent) >= percent * (len(query) + size[found])]
+        if len(found):
+            yield q, found
+
+
+def divide_skip(queries: list[np.ndarray], sets: list[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """All (query, set) pairs that link."""
+    for q, found in matches(queries, sets, percent):
+        for s in found.tolist():
+            yield q, s
+
+
+def tile_degrees(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of each set of left and then right: links between left and right (None: inside left), and the first set of its component by them."""
+    at = 0 if right is None else len(left)
+    n = len(left) + (len(right) if right is not None else 0)
+    links, root = np.zeros(n, np.int64), np.arange(n)
+    for q, found in matches(left, left if right is None else right, percent):
+        found = found[found != q] if right is None else found + at
+        links[q] += len(found)
+        if right is not None:
+            links[found] += 1
+        own = np.unique(root[np.append(found, q)])
+        if len(own) > 1:
+            root[np.isin(root, own)] = own[0]
+    return links, root
 
 
 class Order:
@@ -220,17 +255,11 @@ def _sets(docs: DataFrame, held, percent: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n long, sid long, posts array<long>, shingles binary")
 
 
-def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(v, label) for the ends of links (a, b): the least id of each component, by minima of neighbours and pointer jumps."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = materialize(both, "edges")
     labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
-    if start is not None:
-        old = start.select("v", F.col("label").alias("old"))
-        labels = labels.join(old, "v", "full_outer").select("v", F.least("label", "old").alias("label"))
-        # Old components count as edges to their label.
-        known = start.filter("v <> label").select(F.col("v").alias("a"), F.col("label").alias("b"))
-        both = materialize(both.unionByName(known).unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(labels, "labels")
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
@@ -274,85 +303,39 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(*pairs.columns)
 
 
-def _short_links(posts: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links over short lists and their components; the best candidates of each set first, the others if still needed."""
-    from pyspark.sql import Window
-
-    best_first = Window.partitionBy("b").orderBy(F.desc("times"), "a")
-    left = materialize(_short_pairs(posts, percent).withColumn("place", F.row_number().over(best_first)), "pairs")
-    spark = posts.sparkSession
-    links, labels = None, spark.range(0).selectExpr("id as v", "id as label")
-    low = 0
-    for high in (1, 4, 16, None):
-        now = left.filter(f"place > {low}" + (f" and place <= {high}" if high else ""))
-        now = now if low == 0 else _apart(now, labels)
-        with small_batches(spark):
-            ok = materialize(_verify(now.select("a", "b"), sets, percent).filter("ok").select("a", "b"), "links")
-        links = ok if links is None else links.unionByName(ok)
-        labels, low = components(ok, labels), high
-        if high and left.filter(f"place > {high}").isEmpty():
-            break
-    return links, labels
-
-
-def _hub_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of a few hubs of each cluster with its members (cluster, sid)."""
-    part = F.pmod(F.xxhash64("sid"), F.lit(HUBS))
-    hubs = members.groupBy("cluster", part.alias("part")).agg(F.min_by("sid", F.xxhash64("sid", F.lit(3))).alias("hub"))
-    hubs = hubs.join(sets.select(F.col("sid").alias("hub"), F.col("shingles").alias("x")), "hub")
-    hubs = hubs.groupBy("cluster").agg(F.collect_list(F.struct("hub", "x")).alias("hubs")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = members.join(sets.select("sid", "shingles"), "sid").withColumn("salt", F.pmod(F.xxhash64("sid", F.lit(5)), F.lit(SALTS)).cast("int"))
+def _short_links(posts: DataFrame, sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) over short lists between sets that are not in one cluster."""
+    pairs = materialize(_apart(_short_pairs(posts, percent), clusters).select("a", "b"), "pairs")
+    with small_batches(posts.sparkSession):
+        return materialize(_verify(pairs, sets, percent).filter("ok").select("a", "b"), "links")
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            a, b = [], []
-            for sid, y, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                y = np.frombuffer(y.as_buffer(), np.uint64)
-                for hub in own:
-                    other = hub["hub"].as_py()
-                    if other != sid and linked(np.frombuffer(hub["x"].as_buffer(), np.uint64), y, percent):
-                        a.append(other)
-                        b.append(sid)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return rows.join(hubs, ["cluster", "salt"]).select("sid", "shingles", "hubs").mapInArrow(run, "a long, b long")
-
-
-def _tile_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of the sets outside each cluster's main component with all members of the cluster."""
-    named = members.join(labels.withColumnRenamed("v", "sid"), "sid", "left").select("cluster", "sid", "n", F.coalesce("label", "sid").alias("label"))
-    named = materialize(named, "named")
-    sizes = named.groupBy("cluster", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    main = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("sets", "label")).alias("main"), F.sum("sets").alias("all"), F.max("sets").alias("most"), F.sum("shingles").alias("shingles")).filter(F.col("all") > F.col("most"))
+def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """sid, root, n_links of members (cluster, sid, n): links inside the cluster, by pairs of its tiles; sets with one root are in one component."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("all"), F.sum("n").alias("shingles"))
     tiles = F.ceil(F.greatest(F.col("all") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
-    main = main.select("cluster", "main", tiles.alias("tiles"))
-    held = named.join(sets.select("sid", "shingles"), "sid")
-    salted = main.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    held = held.withColumn("salt", F.pmod(F.xxhash64("sid", F.lit(5)), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"])
-    index = held.select("cluster", F.pmod(F.xxhash64("sid", F.lit(9)), F.col("tiles")).cast("int").alias("tile"), "sid", "label", F.lit(False).alias("asks"), "shingles")
-    asks = held.filter("label <> main").select("cluster", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "sid", "label", F.lit(True).alias("asks"), "shingles")
-    # A tile's queries are dealt out too: TILE of them meet a copy of its index.
-    asked = asks.groupBy("cluster", "tile").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.octet_length("shingles")) / (8 * TILE_SHINGLES))).cast("int").alias("parts"))
-    asks = asks.join(asked, ["cluster", "tile"]).withColumn("part", F.pmod(F.xxhash64("sid", F.lit(13)), F.col("parts")).cast("int")).drop("parts")
-    index = index.join(asked, ["cluster", "tile"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    salted = sizes.select("cluster", tiles.alias("tiles")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = members.withColumn("salt", F.pmod(F.xxhash64("sid", F.lit(5)), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"])
+    held = held.join(sets.select("sid", "shingles"), "sid").withColumn("tile", F.pmod(F.xxhash64("sid", F.lit(9)), F.col("tiles")).cast("int"))
+    held = held.select("cluster", "sid", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), "shingles")
+    held = held.select("cluster", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "sid", "tile", "shingles")
 
     def run(group):
         import pandas as pd
 
-        asks, own = group[group.asks], group[~group.asks]
-        q = [np.frombuffer(s, np.uint64) for s in asks.shingles]
-        s = [np.frombuffer(x, np.uint64) for x in own.shingles]
-        qi, si, ql, sl = asks.sid.to_numpy(), own.sid.to_numpy(), asks.label.to_numpy(), own.label.to_numpy()
-        found = {(int(qi[i]), int(si[j])) for i, j in divide_skip(q, s, percent) if ql[i] != sl[j]}
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+        low, high = group.low.iat[0], group.high.iat[0]
+        group = group.sort_values("tile", kind="stable")
+        held = [np.frombuffer(x, np.uint64) for x in group.shingles]
+        n = int((group.tile == low).sum())
+        links, root = tile_degrees(held[:n], None if low == high else held[n:], percent)
+        sid = group.sid.to_numpy()
+        return pd.DataFrame({"sid": sid, "root": sid[root], "n_links": links})[links > 0]
 
-    return asks.unionByName(index).groupBy("cluster", "tile", "part").applyInPandas(run, "a long, b long")
+    return held.groupBy("cluster", "low", "high").applyInPandas(run, "sid long, root long, n_links long")
 
 
 def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (least id with the same set), n_links (of the set with other sets that were verified)."""
+    """doc_id, n_shingles, component_id, class_id (least id with the same set), n_links (of the set with other sets)."""
     with small_batches(docs.sparkSession, 1024):
         order = docs.sparkSession.sparkContext.broadcast(_order(docs))
         rows = materialize(_sets(docs, order, percent), "sets")
@@ -363,20 +346,16 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     posts = sets.select("sid", "n", F.explode("posts").alias("g"))
     sizes = posts.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
     posts = materialize(posts.join(sizes, "g"), "posts")
-    links, labels = _short_links(posts.filter(F.col("size") <= SHORT), sets, percent)
     long = posts.filter(F.col("size") > SHORT)
-    if not long.isEmpty():
-        hub = long.groupBy("g").agg(F.min("sid").alias("b"))
-        clusters = components(long.select("g", F.col("sid").alias("a")).join(hub, "g").select("a", "b"))
-        members = materialize(clusters.select(F.col("label").alias("cluster"), F.col("v").alias("sid")).join(sets.select("sid", "n"), "sid"), "members")
-        with small_batches(docs.sparkSession):
-            more = materialize(_hub_links(members, sets, percent), "links")
-        labels = components(more, labels)
-        last = materialize(_tile_links(members, labels, sets, percent), "links")
-        labels = components(last, labels)
-        links = links.unionByName(more).unionByName(last)
-    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = ends.select(F.col("a").alias("sid")).unionByName(ends.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
+    hub = long.groupBy("g").agg(F.min("sid").alias("b"))
+    clusters = components(long.select("g", F.col("sid").alias("a")).join(hub, "g").select("a", "b"))
+    members = materialize(clusters.select(F.col("label").alias("cluster"), F.col("v").alias("sid")).join(sets.select("sid", "n"), "sid"), "members")
+    inside = materialize(_tile_links(members, sets, percent), "links")
+    links = _short_links(posts.filter(F.col("size") <= SHORT), sets, clusters, percent)
+    labels = components(links.unionByName(inside.select(F.col("sid").alias("a"), F.col("root").alias("b"))))
+    one = F.lit(1).cast("long").alias("n_links")
+    degree = links.select(F.col("a").alias("sid"), one).unionByName(links.select(F.col("b").alias("sid"), one)).unionByName(inside.select("sid", "n_links"))
+    degree = degree.groupBy("sid").agg(F.sum("n_links").alias("n_links"))
     named = classes.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     named = named.join(least, "label").join(degree, "sid", "left").select("sid", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -211,6 +211,34 @@ def test_ngram_join_of_long_lists(spark, monkeypatch):
     check_components(spark, texts)
 
 
+def brute_links(texts):
+    """Each text's number of links of its set with other sets."""
+    sets = [shingles(t) for t in texts]
+    degree = {s: sum(a != s and 100 * len(a & s) >= 85 * len(a | s) for a in set(sets)) for s in set(sets) if s}
+    return [degree.get(s, 0) for s in sets]
+
+
+def test_ngram_join_counts_all_links(spark, awkward, monkeypatch):
+    rng = random.Random(6)
+    base, passage = words(rng, 80).split(), words(rng, 60)
+    near = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in (0, 1, 79)]
+    for short, tile in ((32, 2048), (4, 8)):
+        monkeypatch.setattr(ngram_join, "SHORT", short)
+        monkeypatch.setattr(ngram_join, "TILE", tile)
+        texts = near + awkward
+        if short == 4:
+            for _ in range(30):
+                v = list(base)
+                for _ in range(rng.randrange(0, 4)):
+                    v[rng.randrange(len(v))] = words(rng, 1, 10**6)
+                texts.append(" ".join(v))
+            texts += [passage + " " + words(rng, rng.randrange(1, 30), 10**6) for _ in range(20)]
+        got = {r.doc_id: r.n_links for r in ngram_join.near_copies(frame(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_links(texts)
+        if short == 32:
+            assert [got[i] for i in range(3)] == [2, 2, 2]
+
+
 def test_divide_skip_finds_all_pairs():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(80)]
