@@ -5,7 +5,7 @@ without the rows that they reject; the last returns token counts and digests of
 
 * toxicity: rows that score the threshold or more go
 * exact dedup: of equal texts the row with the largest doc_id stays
-* n-gram Jaccard join: of each component of near copies the row with the least doc_id stays
+* n-gram Jaccard join: texts link at 0.8 of their 5-word shingles; of each component of near copies the row with the least doc_id stays
 * benchmark decontamination: rows that overlap with a benchmark item go
 * byte-level BPE: token ids of the rest, as count and digests, with what decoding gives back
 """
@@ -32,7 +32,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.drop_near_copies(docs)
+    return ngram_join.drop_near_copies(docs, percent=80, words=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by T-occurrence search, and the components of its links.
 
-A document is the set of its distinct 4-word shingles (64-bit hashes); documents
-link at a Jaccard similarity of ``percent`` / 100 or more. Equal sets are one set
+A document is the set of its distinct shingles of ``words`` words (64-bit hashes);
+documents link at a Jaccard similarity of ``percent`` / 100 or more. Equal sets are one set
 from the start. All shingles stand in one order: unique ones first, then those that
 repeat, then those not counted, then frequent ones by frequency. Sets that link
 share at least K of their first n - ceil(n * percent / 100) + K shingles, so only
@@ -22,7 +22,7 @@ cluster are searched even if they share a component, so work grows with the squa
 of a cluster's distinct sets.
 
 Defined cases: words are runs of bytes other than white space, A-Z lower-cased; with
-fewer than four words the whole sequence is the one shingle; null texts, empty texts and
+fewer than ``words`` words the whole sequence is the one shingle; null texts, empty texts and
 those without words have empty sets and link with nothing; rows may repeat; a null
 id is ignored by the minimum; texts are read whole; an empty table gives no
 rows; other columns are ignored (kept by ``drop_near_copies``).
@@ -182,7 +182,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
 
 
-def _order(docs: DataFrame) -> Order:
+def _order(docs: DataFrame, words: int) -> Order:
     """Counts shingles over all documents; what comes to the driver has MAX_BITS bits and MAX_HOT shingles at most.
 
     Shingles travel as sorted arrays by hash range, BUCKET_SHINGLES or so in a range, not as rows.
@@ -196,7 +196,7 @@ def _order(docs: DataFrame) -> Order:
         import pyarrow as pa
 
         for batch in batches:
-            parts = [s if len(s) <= SMALL else s[: np.searchsorted(s, _TOP)] for _, block in blocks(batch.column(1)) for s in shingle_sets(block)]
+            parts = [s if len(s) <= SMALL else s[: np.searchsorted(s, _TOP)] for _, block in blocks(batch.column(1)) for s in shingle_sets(block, words)]
             held = np.sort(np.concatenate([*parts, np.zeros(0, np.uint64)]))
             bucket = held >> bucket_of
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(held) else np.zeros(0, int)
@@ -233,7 +233,7 @@ def _order(docs: DataFrame) -> Order:
     return Order(bits, g[at], np.array(top.column(1), np.int64)[at])
 
 
-def _sets(docs: DataFrame, held, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, held, percent: int, words: int) -> DataFrame:
     """doc_id, n, sid, posts, shingles: the last three null for sets that link with nothing and have no copies. held: a broadcast Order."""
 
     def run(batches: Iterator) -> Iterator:
@@ -241,7 +241,7 @@ def _sets(docs: DataFrame, held, percent: int) -> DataFrame:
 
         for batch in batches:
             for at, block in blocks(batch.column(1)):
-                sets = shingle_sets(block)
+                sets = shingle_sets(block, words)
                 n, sid, posts, raw = [], [], [], []
                 for s in sets:
                     first = prefix(s, held.value, percent)
@@ -334,11 +334,11 @@ def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.groupBy("cluster", "low", "high").applyInPandas(run, "sid long, root long, n_links long")
 
 
-def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_copies(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (least id with the same set), n_links (of the set with other sets)."""
     with small_batches(docs.sparkSession, 1024):
-        order = docs.sparkSession.sparkContext.broadcast(_order(docs))
-        rows = materialize(_sets(docs, order, percent), "sets")
+        order = docs.sparkSession.sparkContext.broadcast(_order(docs, words))
+        rows = materialize(_sets(docs, order, percent, words), "sets")
         order.unpersist()
     some = rows.filter("sid is not null")
     classes = materialize(some.groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
@@ -366,7 +366,7 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return alone.unionByName(joined)
 
 
-def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """docs with one row of each component, the one with its least id; all columns. Rows without an id stay, as do all rows that repeat a staying id."""
-    found = near_copies(docs, percent)
+    found = near_copies(docs, percent, words)
     return drop_ids(docs, found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))

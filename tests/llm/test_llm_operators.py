@@ -257,6 +257,18 @@ def test_near_copies_leave_one_of_each(spark, awkward):
     assert ngram_join.near_copies(df.limit(0)).count() == 0
 
 
+def test_pipeline_drops_copies_at_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = []
+    for n, at in ((50, [25]), (100, [30, 70]), (150, [30, 70, 110]), (50, [15, 35])):  # the last: 5-word Jaccard 36 / 56
+        base = words(rng, n, 10**6).split()
+        texts += [" ".join(base), " ".join(f"x{i}" if i in at else w for i, w in enumerate(base))]
+    left = corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2, 4, 6, 7]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 200), (300, 300)]
     got = {r.v: r.label for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
