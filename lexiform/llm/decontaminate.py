@@ -2,9 +2,10 @@
 
 Each mask of MASKS names the token positions that a seed hashes; the others may
 differ. Together they hit every aligned window of WINDOW tokens with up to 3
-substituted tokens. Test hashes are joined with the hashes at every token of every
+substituted tokens. Shorter items, and texts shorter than WINDOW and the item, have
+pieces instead: one more than the tokens that MATCH lets differ. Test hashes are joined with the hashes at every token of every
 training text; around each hit the item is aligned and its windows of WINDOW
-tokens (of the whole item, if shorter) are compared: an overlap of MATCH or more
+tokens (of the whole item or text, if shorter) are compared: an overlap of MATCH or more
 makes the document contaminated by the item.
 
 The benchmark is taken in blocks of at most BLOCK_TOKENS tokens, each broadcast
@@ -13,8 +14,10 @@ one stage, without a shuffle of the documents.
 
 Defined cases: words are runs of ASCII letters, digits and bytes over 127, A-Z
 lower-cased; null and empty texts and texts without words have no overlap; items
-with fewer words than a mask spans are found whole and unchanged; items without
-words are never found; repeated items are each reported; texts are read whole; empty
+with fewer than WINDOW words are found whole, with the substitutions that MATCH
+allows at their length (none under 5 words); a text of FRAGMENT words or more that is
+shorter than an item is found as a part of it, shorter ones only if they hold a whole
+item; items without words are never found; repeated items are each reported; texts are read whole; empty
 tables give no overlaps; other columns are ignored (kept by ``drop_contaminated``).
 """
 
@@ -31,7 +34,8 @@ from lexiform.llm.wordhash import NOT_ALNUM, Block, blocks, mix
 
 MASKS = [(0, 1, 3, 4, 7, 9), (0, 1, 2, 4, 6, 7), (0, 1, 2, 3, 4, 5)]
 WINDOW, MATCH, BLOCK_TOKENS, FILTER_BITS = 16, 0.8, 1_000_000, 22
-SPAN = max(m[-1] for m in MASKS) + 1
+#: Texts from this length on are compared as a whole with longer items; they are looked up by the first PIECE tokens of their pieces.
+FRAGMENT, PIECE = 8, 3
 HIT = "struct<item_id:long,start:long,end:long,overlap:double>"
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -45,6 +49,13 @@ def _seeds(h: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return mix(out)
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(first, length): parts of a window of n tokens, one of which is whole if the window reaches MATCH."""
+    k = int(n * (1 - MATCH) + 1e-9) + 1
+    cuts = [i * n // k for i in range(k + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Index:
     """Seeds of some benchmark items."""
 
@@ -59,16 +70,22 @@ class Index:
                 self.ids.append(items[at + i][0])
                 self.tokens.append(h[first[i] : first[i + 1]])
         self.masks = list(MASKS)
-        self.masks += [tuple(range(n)) for n in sorted({len(t) for t in self.tokens if 0 < len(t) < SPAN})]
+        lengths = {n for t in self.tokens if 0 < len(t) < WINDOW for _, n in pieces(len(t))}
+        self.masks += [tuple(range(n)) for n in sorted(lengths)]
+        whole = {len(mask): m for m, mask in enumerate(self.masks) if m >= len(MASKS)}
+        self.part = len(self.masks)  # salt of the pieces of short texts
         keys, item, place = [], [], []
         for k, t in enumerate(self.tokens):
-            for m, mask in enumerate(self.masks):
-                if m >= len(MASKS) and len(mask) != len(t):
-                    continue
-                s = _seeds(t, mask, m)
-                keys.append(s)
-                item.append(np.full(len(s), k))
-                place.append(np.arange(len(s)))
+            if len(t) >= WINDOW:
+                own = [(_seeds(t, mask, m), 0) for m, mask in enumerate(MASKS)]
+            else:
+                own = [(_seeds(t[at : at + n], self.masks[whole[n]], whole[n]), at) for at, n in pieces(len(t))] if len(t) else []
+            if len(t) > FRAGMENT:
+                own.append((_seeds(t, tuple(range(PIECE)), self.part), 0))
+            for found, at in own:
+                keys.append(found)
+                item.append(np.full(len(found), k))
+                place.append(np.arange(at, at + len(found)))
         keys = np.concatenate([*keys, np.zeros(0, np.uint64)])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
@@ -85,17 +102,27 @@ class Index:
         h = block.hashes(starts, ends)
         doc = np.repeat(np.arange(block.n), np.diff(first))
         pairs = []
+
+        def look(seeds: np.ndarray, at: np.ndarray) -> None:
+            lo, hi = np.searchsorted(self.keys, seeds, "left"), np.searchsorted(self.keys, seeds, "right")
+            n = hi - lo
+            if n.sum():
+                rows = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                pos = np.repeat(at, n)
+                pairs.append(np.stack([doc[pos], self.item[rows], pos - self.place[rows]], 1))
+
         for m, mask in enumerate(self.masks):
             seeds = _seeds(h, mask, m)
             at = np.flatnonzero(self.filter[seeds >> np.uint64(64 - FILTER_BITS)])
             at = at[doc[at] == doc[at + mask[-1]]]
-            lo, hi = np.searchsorted(self.keys, seeds[at], "left"), np.searchsorted(self.keys, seeds[at], "right")
-            n = hi - lo
-            if not n.sum():
-                continue
-            rows = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            pos = np.repeat(at, n)
-            pairs.append(np.stack([doc[pos], self.item[rows], pos - self.place[rows]], 1))
+            look(seeds[at], at)
+        words = np.diff(first)
+        if ((words >= FRAGMENT) & (words < WINDOW)).any():
+            seeds = _seeds(h, tuple(range(PIECE)), self.part)
+            for n in range(FRAGMENT, WINDOW):
+                short = first[:-1][words == n]
+                for a, _ in pieces(n) if len(short) else []:
+                    look(seeds[short + a], short + a)
         if not pairs:
             return []
         found = []
@@ -103,6 +130,8 @@ class Index:
             tokens = self.tokens[k]
             lo, hi = max(start, int(first[d])), min(start + len(tokens), int(first[d + 1]))
             width = min(len(tokens), WINDOW)
+            if FRAGMENT <= words[d] < width:
+                width = int(words[d])
             if hi - lo < width:
                 continue
             same = np.concatenate([[0], np.cumsum(h[lo:hi] == tokens[lo - start : hi - start])])

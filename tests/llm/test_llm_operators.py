@@ -337,6 +337,34 @@ def test_masks_cover_three_substitutions():
             assert any(all(s + o not in wrong for o in m) for m in decontaminate.MASKS for s in range(16 - m[-1]))
 
 
+def hits(items, texts):
+    index = decontaminate.Index(list(enumerate(items)))
+    return {d for _, block in blocks(pa.array(texts, pa.string()), 1 << 20) for d, *_ in index.hits(block)}
+
+
+def test_short_items_are_found_with_every_substitution():
+    from itertools import combinations
+
+    for n in range(1, 17):
+        item = [f"t{i}" for i in range(n)]
+        texts = [" ".join(["before", *("x" if i in wrong else w for i, w in enumerate(item)), "after"]) for wrong in combinations(range(n), n // 5)]
+        assert hits([" ".join(item)], texts) == set(range(len(texts))), n
+        texts = [" ".join(["before", *("x" if i in wrong else w for i, w in enumerate(item)), "after"]) for wrong in combinations(range(n), n // 5 + 1)]
+        assert not hits([" ".join(item)], texts), n
+
+
+def test_short_texts_are_found_as_parts_of_items():
+    from itertools import combinations
+
+    for length in (12, 40):
+        item = [f"t{i}" for i in range(length)]
+        for n in range(decontaminate.FRAGMENT, min(16, length)):
+            texts = [" ".join("x" if i in wrong else w for i, w in enumerate(item[at : at + n])) for at in (0, 3, length - n) if at + n <= length for wrong in combinations(range(n), n // 5)]
+            assert hits([" ".join(item)], texts) == set(range(len(texts))), n
+            assert not hits([" ".join(item)], [" ".join("x" if i <= n // 5 else w for i, w in enumerate(item[:n]))])
+        assert not hits([" ".join(item)], [" ".join(item[: decontaminate.FRAGMENT - 1]), "", "t1"])
+
+
 # ---------------------------------------------------------------- 1 and 7
 
 
