@@ -151,11 +151,12 @@ KINDS: list[tuple[str, re.Pattern, Callable[[str, bytes], str | None]]] = [
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![A-Za-z0-9-])"), email),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), iban),
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), ip),
-    ("date", re.compile(r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z]|[-/][0-9])"), date),
+    ("date", re.compile(r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9])|[-/][0-9])"), date),
     ("ssn", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"), ssn),
-    ("card", re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])"), card),
+    ("card", re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1(?:[0-9]{4}\1[0-9]{1,3}|[0-9]{1,4})|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])"), card),
     ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{9,15}(?![0-9A-Za-z])"), phone),
 ]
+_TOKEN = re.compile("[0-9A-Za-z]+")
 _ANY = re.compile(r"[0-9@]")
 
 
@@ -180,14 +181,22 @@ class Pseudonyms:
             if kind == "email" and "@" not in text:
                 continue
             held = sorted(taken)
-            k = 0
-            for m in pattern.finditer(text):
+            k = at = 0
+            while m := pattern.search(text, at):
                 start, end = m.span()
+                at = end
                 while k < len(held) and held[k][1] <= start:
                     k += 1
                 if k < len(held) and held[k][0] < end:
                     continue
-                if (new := self._new(kind, change, m[0])) is not None:
+                new = self._new(kind, change, m[0])
+                if new is None and kind == "card" and (cut := max(m[0].rfind(" "), m[0].rfind("-"))) > 0 and (m := pattern.match(text, start, start + cut)):
+                    end = at = m.end()
+                    new = self._new(kind, change, m[0])
+                if new is None:  # what fails its check uses up its first token only
+                    first = _TOKEN.match(text, start)
+                    at = first.end() if first else start + 1
+                else:
                     taken.append((start, end, new))
                     count[kind] += 1
         out, at = [], 0

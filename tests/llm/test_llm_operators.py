@@ -627,3 +627,12 @@ def test_registry_names():
     assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 11)}
     assert set(__spark_entry__.oracle_sql()) <= names
     assert NOT_ALNUM[32] and not NOT_ALNUM[200]
+
+
+def test_cards_and_dates_behind_and_inside_other_text():
+    run = pii_feistel.Pseudonyms(b"k")
+    long = f"4111 1111 1111 1112 34{pii_feistel.luhn('411111111111111234')}"
+    for text, kind in (("2024 4111 1111 1111 1111", "card"), (long, "card"), ("4111 1111 1111 1111 7", "card"), ("2024-01-02T10:00:00Z", "date")):
+        out, count = run(text)
+        assert count[kind] == 1 and out != text, text
+    assert "4111 1111 1111 1111" not in run("2024 4111 1111 1111 1111")[0] and run("2024-01-02Tx")[1]["date"] == 0
