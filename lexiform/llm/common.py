@@ -2,38 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiform.sources.shared import discard, materialize
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["discard", "drop_ids", "held_out", "iterator_udf", "join_stats", "let", "materialize", "prefix_sums", "small_batches", "table"]
+#: Fewer keys than this may be called hot, so that their rows can be broadcast.
+HOT_KEYS = 4096
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexiform-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
 
-
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """From now on the session sends at most so many rows at once to Python, unless it has been told another number: rows hold whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") in ("10000", None):
-        spark.conf.set(key, str(rows))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
-    """Jobs inside send at most so many rows to Python at once: for rows that hold whole sets."""
+    """Jobs inside send at most so many rows to Python at once: for rows that hold whole sets. The setting is restored.
+
+    Elsewhere batches are bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key, None)
     spark.conf.set(key, str(rows))
@@ -43,12 +34,46 @@ def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexiform/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def iterator_udf(f, kind: str):
+    """A Pandas UDF from a function over an iterator of series; the hints are set here so that pandas is imported on use only."""
+    import pandas as pd
+
+    f.__annotations__ = {f.__code__.co_varnames[0]: Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(f, kind)
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once a row, however often it is used, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def prefix_sums(values: Column, chunk: int = 64) -> Column:
+    """array<bigint>: for each value of an array<bigint> the sum of those before it; linear in their number but for its square over chunk squared."""
+    grow = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    zero = F.lit(0).cast("bigint")
+
+    def of(v: Column) -> Column:
+        part = lambda k: F.slice(v, k * chunk + 1, F.lit(chunk))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int"))
+        sums = F.transform(chunks, lambda k: F.aggregate(part(k), zero, lambda a, x: a + x))
+        bases = F.aggregate(sums, start(zero), grow, lambda acc: acc["out"])
+        inside = F.transform(bases, lambda base, k: F.aggregate(part(k), start(base), grow, lambda acc: acc["out"]))
+        return F.when(F.size(v) > 0, F.flatten(inside)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(values, of)
+
+
+def join_stats(rows: DataFrame, stats: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows joined with a row a key. stats is written and counts in ``weight`` how many rows a key has.
+
+    Keys with more than one row in HOT_KEYS are fewer than HOT_KEYS: they are broadcast, so that no
+    hot key meets in one task; only rows of other keys are shuffled.
+    """
+    total = stats.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(1000, total // HOT_KEYS)
+    many = F.broadcast(stats.filter(hot))
+    return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(stats.filter(~hot), key))
 
 
 def held_out(doc_id) -> F.Column:

@@ -4,12 +4,17 @@ Numbers and dates that pass their kind's check are mapped by a keyed bijection o
 the kind's domain onto itself: cards keep Luhn's check, IBANs their check digits,
 dates stay dates, addresses stay addresses, separators and letter case stay as they
 are. The map depends on the key, the kind and the value alone, so equal values
-keep one pseudonym across documents, whatever their separators.
+keep one pseudonym across documents, whatever their separators and, for dates, the order
+of day, month and year (unpadded parts come back with two digits). Dates are permuted among those
+with a day up to 12 or among the others, so no order of theirs becomes readable in another way.
 
 Defined cases: null text stays null; empty text and text without PII stay as they
 are; values that fail their check stay; of overlapping finds the first kind of KINDS
-holds; cards are runs of digits, or groups of 4 (up to 16 digits) or 4, 6 and 5; texts of any length are handled whole; rows and ids may repeat; an empty
-table gives no rows; other columns are ignored.
+holds; cards are runs of 13 to 19 digits, or groups of 4 or of 4, 6 and 5; phones have separators
+or a plus sign, in groups of 2 to 4 digits; texts of any length are handled whole; rows and ids may repeat; an empty
+table gives no rows; other columns are ignored. Left as they are, for want of a check: runs of
+digits without separators that are no card (phones, social security numbers), years outside 1000
+to 2999, names of months, IPv6 and street addresses.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ from math import isqrt
 
 from pyspark.sql import DataFrame
 
-from lexiform.llm.common import bounded_batches
 
 ROUNDS, CACHED = 10, 200_000
-DAY_ZERO, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2200, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
+_ORDINAL = lambda year: dt.date(year, 1, 1).toordinal()
+#: Dates of these years are permuted among themselves, the others of LEAST_YEAR to MOST_YEAR - 1 likewise.
+NEAR_YEARS, LEAST_YEAR, MOST_YEAR = (1900, 2200), 1000, 3000
 
 
 def permute(value: int, domain: int, key: bytes, tweak: str, holds: Callable[[int], bool] = lambda _: True) -> int:
@@ -94,14 +100,19 @@ def date(text: str, key: bytes) -> str | None:
     orders = [(0, 1, 2)] if len(re.split(r"[-/.]", text)[0]) == 4 else [(2, 1, 0), (2, 0, 1)]
     for y, m, d in orders:
         try:
-            day = dt.date(parts[y], parts[m], parts[d]).toordinal() - DAY_ZERO
+            day = dt.date(parts[y], parts[m], parts[d])
         except ValueError:
             continue
-        if not 0 <= day < DAYS:
+        if not LEAST_YEAR <= day.year < MOST_YEAR:
             return None
-        # Dates that could be read in another order stay among those of one order alone, or of both.
-        ambiguous = lambda v: len(orders) > 1 and dt.date.fromordinal(v + DAY_ZERO).day <= 12
-        new = dt.date.fromordinal(DAY_ZERO + permute(day, DAYS, key, "date", lambda v: ambiguous(v) == ambiguous(day)))
+        near = NEAR_YEARS[0] <= day.year < NEAR_YEARS[1]
+        zero, end = (_ORDINAL(NEAR_YEARS[0]), _ORDINAL(NEAR_YEARS[1])) if near else (_ORDINAL(LEAST_YEAR), _ORDINAL(MOST_YEAR))
+
+        def alike(v: int) -> bool:
+            other = dt.date.fromordinal(zero + v)
+            return (other.day <= 12) == (day.day <= 12) and (NEAR_YEARS[0] <= other.year < NEAR_YEARS[1]) == near
+
+        new = dt.date.fromordinal(zero + permute(day.toordinal() - zero, end - zero, key, "date", alike))
         values = {y: f"{new.year:04d}", m: f"{new.month:02d}", d: f"{new.day:02d}"}
         seps = re.findall(r"[-/.]", text)
         return values[0] + seps[0] + values[1] + seps[1] + values[2]
@@ -153,8 +164,8 @@ KINDS: list[tuple[str, re.Pattern, Callable[[str, bytes], str | None]]] = [
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), ip),
     ("date", re.compile(r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9])|[-/][0-9])"), date),
     ("ssn", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"), ssn),
-    ("card", re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1(?:[0-9]{4}\1[0-9]{1,3}|[0-9]{1,4})|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])"), card),
-    ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{9,15}(?![0-9A-Za-z])"), phone),
+    ("card", re.compile(r"(?<![0-9A-Za-z+])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1(?:[0-9]{4}\1[0-9]{1,3}|[0-9]{1,4})|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])"), card),
+    ("phone", re.compile(r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-][0-9]{1,4}){2,6}(?![0-9A-Za-z]|[ .-][0-9])|(?<![0-9A-Za-z.,-])0[1-9](?:([ .-])[0-9]{2})(?:\1[0-9]{2}){3}(?![0-9A-Za-z]|[.,-][0-9])|(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{9,15}(?![0-9A-Za-z])"), phone),
 ]
 _TOKEN = re.compile("[0-9A-Za-z]+")
 _ANY = re.compile(r"[0-9@]")
@@ -209,7 +220,6 @@ class Pseudonyms:
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, and n_<kind> for each kind. No shuffle."""
     names = [k[0] for k in KINDS]
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from lexiform.llm.common import bounded_batches
 
 CACHED_PIECES, CACHED_PAIRS = 300_000, 300_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -165,7 +164,6 @@ def _codec(ranks, key: tuple[str, str, int], held: dict = {}) -> Codec:  # noqa:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids array<int>) of every whole text. No shuffle."""
     table = load_ranks(ranks_path)
-    bounded_batches(docs.sparkSession)
     ranks, key = docs.sparkSession.sparkContext.broadcast(table), (ranks_path, pattern, len(table))  # a vocabulary: fixed size
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 

@@ -1,15 +1,17 @@
 """Secret scans with corpus-wide ownership frequency, with DataFrame functions only.
 
 Base kinds are found by fixed patterns. A further kind, ``owned``, covers mixed
-tokens of OWNED_CHARS or more that no base span covers: their hashes are counted
-over the corpus by distinct repositories and owners, and those of at most
-``max_owners`` owners are live-looking and become spans; widely copied ones are
-examples and do not. Base spans always stay; ``live`` counts those whose
-value passes the same test.
+tokens of OWNED_CHARS or more that no base span covers. The hashes of all candidates, base
+values too, are counted over the corpus by distinct owners and repositories. A value is
+live-looking if it occurs with at most ``max_owners`` owners and in at most
+``max_repos`` repositories: such tokens become spans; widely copied ones are examples and
+do not. Base spans always stay; ``n_live`` counts those whose value is live-looking.
+``ownership`` lists each candidate's counts and verdict.
 
 Positions come from the pattern's matches and the pieces between them, so no
 Python runs. A token may occur in a third of all rows: counts are pre-aggregated
-by (hash, owner, repository), verdicts reach their occurrences over salted keys.
+by (hash, owner, repository), and the counts of such tokens are broadcast to their
+occurrences; they are fewer than a constant.
 
 Defined cases: null text is empty; a null owner or repository counts as one of its
 own; rows may repeat ids and texts (equal rows get equal results); texts are
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import materialize
+from lexiform.llm.common import join_stats, let, materialize, prefix_sums
 
 #: Fixed patterns: kind, pattern, group of the value, least length of the value.
 BASE = [
@@ -29,23 +31,23 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 ]
-OWNED_CHARS, MAX_OWNERS, SALTS = 20, 2, 32
+OWNED_CHARS, MAX_OWNERS, MAX_REPOS = 20, 2, 4
 OWNED = ("owned", rf"[A-Za-z0-9_-]{{{OWNED_CHARS},}}", 0, OWNED_CHARS)
 
 
 def matches(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, end, value>> of all matches; start and end of the whole match in code points."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    # The text before each match since the last one, and the match: lengths are taken once, starts are sums of what stands before.
+    before = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    parts = F.transform(F.arrays_zip(before.alias("b"), found.alias("m"), values.alias("v")), lambda x: F.struct(F.length(x["b"]).alias("gap"), F.length(x["m"]).alias("length"), x["v"].alias("value")))
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(F.get(between, acc["i"]))
-        end = start + F.length(m)
-        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
+    def spans(p: Column) -> Column:
+        starts = prefix_sums(F.transform(p, lambda x: (x["gap"] + x["length"]).cast("bigint")))
+        return F.zip_with(p, starts, lambda x, at: F.struct((at + x["gap"]).cast("int").alias("start"), (at + x["gap"] + x["length"]).cast("int").alias("end"), x["value"].alias("value")))
 
-    spans = F.aggregate(found, zero, step, lambda acc: acc["spans"])
-    values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.transform(F.arrays_zip(spans.alias("s"), values.alias("v")), lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["v"].alias("value")))
+    return let(parts, spans)
 
 
 SPANS = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
@@ -80,25 +82,32 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("occurrences"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live (base spans with a live-looking value)."""
+def find_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS
+) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live (base spans with a live-looking value), ownership (counts of all candidates in order)."""
     rows = materialize(scan(docs, id_col, text_col, owner_col, list(repo_cols)), "spans")
-    held = rows.filter((F.size("base") > 0) | (F.size("other") > 0)).select("doc_id", "text_hash", "owner", "repo", F.explode(F.concat("base", "other")).alias("s"))
-    held = held.select("doc_id", "text_hash", "owner", "repo", F.sha2(F.col("s.value").cast("binary"), 256).alias("hash"))
-    stats = ownership(held.select("hash", "owner", "repo"))
-    live = stats.filter(F.col("owners") <= max_owners).select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    places = held.select("doc_id", "text_hash", "hash", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
-    verdicts = places.join(live, ["hash", "salt"]).groupBy(F.col("doc_id").alias("v_id"), F.col("text_hash").alias("v_hash")).agg(F.collect_set("hash").alias("live"))
-    some = rows.filter((F.size("base") > 0) | (F.size("other") > 0)).join(verdicts, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("text_hash") == F.col("v_hash")), "left").drop("v_id", "v_hash")
-    none = rows.filter((F.size("base") == 0) & (F.size("other") == 0)).withColumn("live", F.lit(None).cast("array<string>"))
-    both = some.unionByName(none)
-    is_live = lambda s: F.array_contains(F.coalesce("live", F.array().cast("array<string>")), F.sha2(s["value"].cast("binary"), 256))
-    both = both.withColumn("owned", F.filter("other", is_live))
-    return both.select(
+    some = rows.filter((F.size("base") > 0) | (F.size("other") > 0))
+    held = some.select("doc_id", "text_hash", "owner", "repo", F.explode(F.concat("base", "other")).alias("s"))
+    held = materialize(held.select("doc_id", "text_hash", "owner", "repo", F.sha2(F.col("s.value").cast("binary"), 256).alias("hash")), "candidates")
+    stats = materialize(ownership(held), "ownership")
+    counted = join_stats(held.select("doc_id", "text_hash", "hash").distinct(), stats, "hash", "occurrences")
+    live = ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live")
+    known = counted.groupBy(F.col("doc_id").alias("v_id"), F.col("text_hash").alias("v_hash")).agg(F.map_from_entries(F.collect_list(F.struct("hash", F.struct("owners", "repos", "occurrences", live)))).alias("known"))
+    both = some.join(known, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("text_hash") == F.col("v_hash")), "left").drop("v_id", "v_hash")
+    of = lambda s: F.try_element_at(F.col("known"), F.sha2(s["value"].cast("binary"), 256))
+    both = both.withColumn("owned", F.filter("other", lambda s: of(s)["live"])).withColumn("n_live", F.size(F.filter("base", lambda s: of(s)["live"])).cast("long"))
+    counts = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *(of(s)[c].alias(c) for c in ("owners", "repos", "occurrences", "live")))
+    both = both.withColumn("ownership", F.transform(F.array_sort(F.concat("base", "other")), counts)).drop("known")
+    kind = both.schema["ownership"].dataType
+    none = rows.filter((F.size("base") == 0) & (F.size("other") == 0))
+    none = none.withColumn("owned", F.array().cast(SPANS)).withColumn("n_live", F.lit(0).cast("long")).withColumn("ownership", F.array().cast(kind))
+    return both.unionByName(none).select(
         "doc_id",
         *(F.size(k[0]).cast("long").alias(f"n_{k[0]}") for k in BASE),
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base", "owned"))).alias("spans"),
         F.size("owned").cast("long").alias("n_owned"),
-        F.size(F.filter("base", is_live)).cast("long").alias("n_live"),
+        "n_live",
+        "ownership",
     )

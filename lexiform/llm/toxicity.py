@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import bounded_batches, held_out
+from lexiform.llm.common import held_out, iterator_udf
 from lexiform.llm.training import labelled_sample
 from lexiform.llm.wordhash import NOT_ALNUM, Block, blocks
 
@@ -109,7 +109,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "label", "features", "sizes"])
 
     sample = labelled_sample(docs, labels, label, bound, ["text"]).selectExpr("doc_id", "label", "cast(text as string) as text").orderBy("doc_id", F.xxhash64("text"))
-    bounded_batches(docs.sparkSession)
     # One growing buffer: the sample's features are held once.
     features, sizes, first, y = bytearray(), bytearray(), [], []
     for row in sample.mapInArrow(run, "doc_id long, label int, features binary, sizes binary").toLocalIterator():
@@ -141,7 +140,6 @@ def score_block(block: Block, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def score_documents(docs: DataFrame, w: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, offending: [start, end) in code points of the sentences whose own probability reaches the threshold. No shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(w)  # DIM + 1 floats
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -171,7 +169,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score threshold or more; all columns, no shuffle."""
     held = spark.sparkContext.broadcast(train(docs, labels))
-    bounded_batches(spark)
 
     def score(texts):
         import pandas as pd
@@ -181,5 +178,4 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
             found = [score_block(block, held.value)[0] for _, block in blocks(pa.array(text, pa.string(), from_pandas=True))]
             yield pd.Series(np.concatenate([*found, np.zeros(0)]))
 
-    udf = F.pandas_udf(score, "double", functionType=F.PandasUDFType.SCALAR_ITER)
-    return docs.filter(udf(F.col("text").cast("string")) < threshold)
+    return docs.filter(iterator_udf(score, "double")(F.col("text").cast("string")) < threshold)
