@@ -27,7 +27,7 @@ tables give no overlaps; other columns are ignored (kept by ``drop_contaminated`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -236,12 +236,15 @@ class _Texts:
         self.block, self.n = block, block.n
         self.starts, self.ends, self.first = block.words(NOT_ALNUM)
         self.h = block.hashes(self.starts, self.ends)
+        block._sums = None  # eight bytes a byte of text
 
 
 def _overlaps(columns: list, indexes: list) -> list[list[dict]]:
     """The contaminating items of each text of some Arrow columns: the best alignment of each. Of several blocks of the benchmark one is in memory at a time."""
-    texts = [_Texts(block) for column in columns for _, block in blocks(column)]
-    out: list[list[dict]] = [[] for t in texts for _ in range(t.n)]
+    texts: Iterable[_Texts] = (_Texts(block) for column in columns for _, block in blocks(column))
+    if len(indexes) > 1:
+        texts = list(texts)
+    out: list[list[dict]] = [[] for _ in range(sum(map(len, columns)))]
     for held in indexes:
         index, base = held.value, 0
         for t in texts:

@@ -2,7 +2,7 @@
 
 A document is the set of its distinct shingles of ``words`` words (64-bit hashes);
 documents link at a Jaccard similarity of ``percent`` / 100 or more. Equal sets are one set
-from the start. All shingles stand in one order: unique ones first, then those that
+from the start (named by a 128-bit digest). All shingles stand in one order: unique ones first, then those that
 repeat, then those not counted, then frequent ones by frequency. Sets that link
 share at least K of their first n - ceil(n * percent / 100) + K shingles, so only
 these are indexed, and of them only those that are not known to be unique; sets
@@ -10,7 +10,7 @@ whose first shingles are all unique link with nothing.
 
 * Long lists join the sets that share them into clusters. All members of a cluster
   search all others, in pairs of tiles of TILE sets: DivideSkip merges the short
-  lists of a tile's index and probes the long ones. Tiles return the number of links
+  lists of a tile's index by a heap and probes the long ones. Tiles return the number of links
   and the components of their sets, not the links.
 * Short inverted lists (up to SHORT sets) are merged: pairs of sets of different
   clusters that occur in the required number of lists are candidates, all verified
@@ -31,16 +31,18 @@ rows; other columns are ignored (kept by ``drop_near_copies``).
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import drop_ids, materialize, small_batches
+from lexiform.llm.common import discard, drop_ids, join_stats, materialize, small_batches
 from lexiform.llm.wordhash import SPACES, Block, blocks, mix
 
-WORDS, PERCENT, K, SHORT, TILE, SALTS = 4, 85, 3, 32, 2048, 16
+WORDS, PERCENT, K, SHORT, TILE, HEAP = 4, 85, 3, 32, 2048, 256
 TILE_SHINGLES = 1 << 21
 #: Share of the hash range in which shingles are counted; sets up to SMALL are counted whole.
 ZONE, SMALL = 0.4, 64
@@ -87,39 +89,56 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return overlap * 100 >= percent * (len(x) + len(y) - overlap)
 
 
+def merge_short(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct members of some sorted lists and in how many lists each occurs.
+
+    Up to HEAP entries pass a heap of list heads; more are merged as sorted runs, which is what a stable sort does.
+    """
+    if sum(map(len, lists)) <= HEAP:
+        found = [(member, sum(1 for _ in same)) for member, same in groupby(heapq.merge(*(x.tolist() for x in lists)))]
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+    merged = np.sort(np.concatenate(lists), kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
+    return merged[first], np.diff(np.append(first, len(merged)))
+
+
 def matches(queries: list[np.ndarray], sets: list[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, sets that link with it): each query's long lists are probed, the others merged with fewer occurrences required."""
+    """(query, sets that link with it) by DivideSkip.
+
+    A set that links occurs in T lists of the query at least. Its T - 1 longest lists are set apart: what links
+    occurs in one of the others, so these are merged by a heap; members that can still reach their overlap are kept
+    and probe the long lists by binary search.
+    """
     if not queries or not sets:
         return
     shingles = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(shingles, kind="stable")
+    order = np.argsort(shingles, kind="stable")  # members of a list stand in order
     shingles, owner, size = shingles[order], owner[order], np.array([len(s) for s in sets])
-
-    def owners(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-
     for q, query in enumerate(queries):
+        if not len(query):
+            continue
         lo, hi = np.searchsorted(shingles, query, "left"), np.searchsorted(shingles, query, "right")
-        length = hi - lo
-        least = max(1, needed(len(query), percent))
-        by_length = np.argsort(-length, kind="stable")
-        long, short = by_length[: least - 1], by_length[least - 1 :]
-        # A set that links occurs in least lists, so in one of the short ones at least.
-        times = np.bincount(owners(lo[short], length[short]), minlength=len(sets))
-        fits = (times > 0) & (size * 100 >= percent * len(query)) & (len(query) * 100 >= percent * size)
-        fits &= (times + len(long)) * (100 + percent) >= percent * (len(query) + size)
-        found = np.flatnonzero(fits)
+        by_length = np.argsort(lo - hi, kind="stable")
+        apart = max(1, needed(len(query), percent)) - 1
+        long, short = by_length[:apart], by_length[apart:]
+        found, times = merge_short([owner[lo[i] : hi[i]] for i in short if hi[i] > lo[i]] or [owner[:0]])
+        n = size[found]
+        fits = (n * 100 >= percent * len(query)) & (len(query) * 100 >= percent * n) & ((times + apart) * (100 + percent) >= percent * (len(query) + n))
+        found, overlap, n = found[fits], times[fits], n[fits]
         if not len(found):
             continue
-        overlap, probes = times[found], np.sort(query[long])
         if len(found) * 64 < len(sets):
-            for i, s in enumerate(found.tolist() if len(probes) else []):
+            probes = np.sort(query[long])
+            for i, s in enumerate(found.tolist() if apart else []):
                 other = sets[s]
                 overlap[i] += (other[np.minimum(np.searchsorted(other, probes), len(other) - 1)] == probes).sum()
-        else:  # most sets are candidates: one pass over the long lists probes all of them
-            overlap = overlap + np.bincount(owners(lo[long], length[long]), minlength=len(sets))[found]
-        found = found[overlap * (100 + percent) >= percent * (len(query) + size[found])]
+        elif apart:  # most sets are candidates: one pass over the long lists probes all of them
+            m = (hi - lo)[long]
+            at = np.repeat(lo[long] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            overlap = overlap + np.bincount(owner[at], minlength=len(sets))[found]
+        found = found[overlap * (100 + percent) >= percent * (len(query) + n)]
         if len(found):
             yield q, found
 
@@ -200,7 +219,7 @@ def _order(docs: DataFrame, words: int) -> Order:
             held = np.sort(np.concatenate([*parts, np.zeros(0, np.uint64)]))
             bucket = held >> bucket_of
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(held) else np.zeros(0, int)
-            ends = np.append(first[1:], len(held))
+            ends = np.append(first[1:], len(held))[: len(first)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), pa.array([held[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], ["bucket", "shingles"])
 
     def count(group):
@@ -247,12 +266,12 @@ def _sets(docs: DataFrame, held, percent: int, words: int) -> DataFrame:
                     first = prefix(s, held.value, percent)
                     n.append(len(s))
                     some = len(first) > 0
-                    sid.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if some else None)
+                    sid.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if some else None)
                     posts.append(first.view(np.int64) if some else None)
                     raw.append(s.tobytes() if some else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, block.n), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(posts, pa.list_(pa.int64())), pa.array(raw, pa.binary())], ["doc_id", "n", "sid", "posts", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, block.n), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(posts, pa.list_(pa.int64())), pa.array(raw, pa.binary())], ["doc_id", "n", "sid", "posts", "shingles"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, sid long, posts array<long>, shingles binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, sid binary, posts array<long>, shingles binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -262,13 +281,14 @@ def components(links: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
     labels = materialize(labels, "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
+        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         step = labels.join(near, "v", "left").select("v", F.least("label", "near").alias("next"), "label")
         jump = step.select(F.col("v").alias("next"), F.col("next").alias("far"))
-        step = materialize(step.join(jump, "next", "left").select("v", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
-        labels = step.select("v", "label")
+        before, step = labels, materialize(step.join(jump, "next", "left").select("v", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
+        discard(before)
         if step.filter("moved").isEmpty():
-            return labels
+            return step.select("v", "label")
+        labels = step
 
 
 def _short_pairs(posts: DataFrame, percent: int) -> DataFrame:
@@ -293,7 +313,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     own = sets.select("sid", "shingles")
     rows = pairs.join(own.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b").join(own.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
+    return rows.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, ok boolean")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -314,8 +334,7 @@ def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """sid, root, n_links of members (cluster, sid, n): links inside the cluster, by pairs of its tiles; sets with one root are in one component."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("all"), F.sum("n").alias("shingles"))
     tiles = F.ceil(F.greatest(F.col("all") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
-    salted = sizes.select("cluster", tiles.alias("tiles")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    held = members.withColumn("salt", F.pmod(F.xxhash64("sid", F.lit(5)), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "salt"])
+    held = join_stats(members, materialize(sizes.select("cluster", "all", tiles.alias("tiles")), "sizes"), "cluster", "all")
     held = held.join(sets.select("sid", "shingles"), "sid").withColumn("tile", F.pmod(F.xxhash64("sid", F.lit(9)), F.col("tiles")).cast("int"))
     held = held.select("cluster", "sid", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), "shingles")
     held = held.select("cluster", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "sid", "tile", "shingles")
@@ -331,7 +350,7 @@ def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         sid = group.sid.to_numpy()
         return pd.DataFrame({"sid": sid, "root": sid[root], "n_links": links})[links > 0]
 
-    return held.groupBy("cluster", "low", "high").applyInPandas(run, "sid long, root long, n_links long")
+    return held.groupBy("cluster", "low", "high").applyInPandas(run, "sid binary, root binary, n_links long")
 
 
 def near_copies(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -344,24 +363,22 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     classes = materialize(some.groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
     sets = materialize(some.groupBy("sid").agg(F.first(F.struct("n", "posts", "shingles")).alias("s")).select("sid", "s.*"), "distinct")
     posts = sets.select("sid", "n", F.explode("posts").alias("g"))
-    sizes = posts.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
-    posts = materialize(posts.join(sizes, "g"), "posts")
-    long = posts.filter(F.col("size") > SHORT)
-    hub = long.groupBy("g").agg(F.min("sid").alias("b"))
-    clusters = components(long.select("g", F.col("sid").alias("a")).join(hub, "g").select("a", "b"))
+    sizes = materialize(posts.groupBy("g").agg(F.count("*").alias("size"), F.min("sid").alias("b")).filter("size > 1"), "sizes")
+    posts = materialize(join_stats(posts, sizes, "g", "size"), "posts")
+    clusters = components(posts.filter(F.col("size") > SHORT).select(F.col("sid").alias("a"), "b"))  # all members of a list with its first
     members = materialize(clusters.select(F.col("label").alias("cluster"), F.col("v").alias("sid")).join(sets.select("sid", "n"), "sid"), "members")
     inside = materialize(_tile_links(members, sets, percent), "links")
-    links = _short_links(posts.filter(F.col("size") <= SHORT), sets, clusters, percent)
+    links = _short_links(posts.filter(F.col("size") <= SHORT).select("sid", "n", "g"), sets, clusters, percent)
     labels = components(links.unionByName(inside.select(F.col("sid").alias("a"), F.col("root").alias("b"))))
     one = F.lit(1).cast("long").alias("n_links")
     degree = links.select(F.col("a").alias("sid"), one).unionByName(links.select(F.col("b").alias("sid"), one)).unionByName(inside.select("sid", "n_links"))
     degree = degree.groupBy("sid").agg(F.sum("n_links").alias("n_links"))
-    named = classes.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    least = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "label").join(degree, "sid", "left").select("sid", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = some.select("doc_id", "n", "sid", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    joined = left.join(salted, ["sid", "salt"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "n_links")
+    named = classes.join(labels.select(F.col("v").alias("sid"), "label"), "sid", "left").join(degree, "sid", "left")
+    named = materialize(named.select("sid", "class_id", "copies", F.coalesce("label", "sid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    least = materialize(named.groupBy("label").agg(F.min("class_id").alias("component_id"), F.count("*").alias("classes")), "least")
+    named = materialize(join_stats(named, least, "label", "classes").select("sid", "copies", "class_id", "component_id", "n_links"), "named")
+    # A set may have a third of all rows as copies, a component a third of all sets.
+    joined = join_stats(some.select("doc_id", F.col("n").alias("n_shingles"), "sid"), named, "sid", "copies").select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
     alone = rows.filter("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return alone.unionByName(joined)
 

@@ -4,7 +4,8 @@ A text is a sparse vector: hashed words (log counts, unit length), indicators of
 binned structure statistics, and indicators of binned metadata columns. The score
 is sigmoid(bias + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j); the pairwise term is
 computed in linear time as half of |sum v_i x_i|^2 - sum |v_i x_i|^2. Fitted by
-Adagrad on about MAX_TRAIN labelled rows that are not held out.
+Adagrad on about MAX_TRAIN labelled rows that are not held out (chosen by a hash of the id,
+fewer if their features exceed MAX_TRAIN_BYTES).
 
 Defined cases: null text is empty; empty texts have structure features alone and
 get a score; texts are scored whole; a null metadata value has an indicator of
@@ -25,6 +26,8 @@ from lexiform.llm.training import labelled_sample
 from lexiform.llm.wordhash import NOT_ALNUM, SPACES, Block, blocks, distinct
 
 DIM, RANK, MAX_TRAIN, THRESHOLD, EPOCHS, BATCH, RATE, DECAY, BINS = 1 << 16, 8, 8000, 0.7, 8, 100, 0.05, 1e-5, 16
+#: Bytes of the sample's features on the driver at most.
+MAX_TRAIN_BYTES = 1 << 27
 #: Upper bounds of the bins of ratios; counts are binned by their binary logarithm.
 EDGES = np.array([0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 0.95])
 _KIND = {name: np.zeros(256, bool) for name in ("upper", "digit", "punct", "line", "high", "stop", "mark", "bar")}
@@ -138,8 +141,12 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...], label:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "label", "index", "x"])
 
     sample = labelled_sample(docs, labels, label, bound, ["text", *metadata]).selectExpr("doc_id", "label", "cast(text as string) as text", *(f"cast(`{c}` as double) as `{c}`" for c in metadata))
-    got = sample.mapInArrow(run, "doc_id long, label int, index binary, x binary").toArrow()
-    rows = sorted(zip(*(got.column(i).to_pylist() for i in range(4)), strict=True), key=lambda r: (r[0], r[2], r[3]))
+    rows, held = [], 0
+    for row in sample.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", F.xxhash64("text")).mapInArrow(run, "doc_id long, label int, index binary, x binary").toLocalIterator():
+        rows.append(row)
+        held += len(row[2]) + len(row[3])
+        if held >= MAX_TRAIN_BYTES:
+            break
     machine = Machine()
     if not rows:
         machine.v[:] = 0

@@ -55,11 +55,12 @@ def op7_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexiform.llm.chat_format import conversation_records, digests, format_chats
+    """The conversations come as records of six layouts; the fingerprint finds each one's mapping."""
+    from lexiform.llm.chat_format import conversation_records, dealt_layouts, digests, format_chats
 
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return digests(format_chats(conversation_records(rows.unionByName(probe))))
+    return digests(format_chats(dealt_layouts(conversation_records(rows.unionByName(probe)))))
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def even_slots(placed: DataFrame, total: int, n_shards: int) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked (whether another row has the same text)."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked (whether another row has the same text), link_id (equal for linked rows)."""
     rows = materialize(vertices(docs, id_col, text_col).withColumn("home", F.pmod("h", F.lit(n_shards)).cast("int")), "vertices")
     total = rows.count()
     target = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -104,8 +104,16 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "do
     cells = propagate(linked.groupBy("key", "chunk", "home").agg(F.count("*").alias("n")), target, rounds)
     moved = linked.join(cells.select("key", "chunk", "home", "shard"), ["key", "chunk", "home"])
     bucket = F.pmod(F.xxhash64("key", "chunk"), F.lit(LINKED))
-    placed = moved.select("doc_id", "size", "crc", "copy", "h", "shard", bucket.cast("int").alias("bucket"), F.xxhash64("key", "chunk").alias("group"), F.lit(True).alias("linked"))
-    alone = tagged.filter("group is null").select("doc_id", "size", "crc", "copy", "h", F.col("home").alias("shard"), (F.lit(LINKED) + F.pmod(F.xxhash64("h"), F.lit(BUCKETS - LINKED))).cast("int").alias("bucket"), F.lit(0).cast("long").alias("group"), F.lit(False).alias("linked"))
+    placed = moved.select("doc_id", "size", "crc", "copy", "h", "shard", bucket.cast("int").alias("bucket"), F.xxhash64("key", "chunk").alias("group"), F.xxhash64("key").alias("link_id"), F.lit(True).alias("linked"))
+    alone = tagged.filter("group is null").select("doc_id", "size", "crc", "copy", "h", F.col("home").alias("shard"), (F.lit(LINKED) + F.pmod(F.xxhash64("h"), F.lit(BUCKETS - LINKED))).cast("int").alias("bucket"), F.lit(0).cast("long").alias("group"), F.lit(0).cast("long").alias("link_id"), F.lit(False).alias("linked"))
     placed = materialize(placed.unionByName(alone), "placed")
     out = even_slots(placed, total, n_shards)
-    return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
+    return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked", F.when(F.col("linked"), F.col("link_id")).alias("link_id"))
+
+
+def cut_edges(sharded: DataFrame) -> DataFrame:
+    """One row: links between linked rows, and those whose ends are in different shards. From counts by (link_id, shard): no pairs are made."""
+    parts = sharded.filter("linked").groupBy("link_id", "shard").agg(F.count("*").alias("n"))
+    links = parts.groupBy("link_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return links.agg(zero(F.sum(F.expr("n * (n - 1) div 2"))).alias("links"), zero(F.sum(F.expr("(n * n - inside) div 2"))).alias("cut"))

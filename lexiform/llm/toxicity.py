@@ -1,10 +1,11 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a linear score over hashed
+A document is a bag of sentences, which end at full stops, exclamation marks, question marks
+and line breaks. Each sentence has a linear score over hashed
 words and word beginnings; a document's probability is their noisy-or,
 1 - prod(1 - p). Weights are fitted to document labels through the noisy-or, on
-about MAX_TRAIN labelled rows that are not held out, and then locate the offending
-sentences of any document.
+about MAX_TRAIN labelled rows that are not held out (chosen by a hash of the id, fewer if their
+features exceed MAX_TRAIN_BYTES), and then locate the offending sentences of any document.
 
 Defined cases: null and empty texts and texts without words have no sentences and
 score 0; a text without sentence ends is one sentence; texts are scored whole;
@@ -25,10 +26,11 @@ from lexiform.llm.common import held_out, iterator_udf
 from lexiform.llm.training import labelled_sample
 from lexiform.llm.wordhash import NOT_ALNUM, Block, blocks
 
-DIM, MAX_TRAIN, THRESHOLD, EPOCHS, BATCH, RATE, PRIOR, DECAY, START = 1 << 20, 10000, 0.3, 20, 200, 0.3, -7.0, 0.02, 0.1
+DIM, MAX_TRAIN, THRESHOLD, EPOCHS, BATCH, RATE, PRIOR, DECAY, START = 1 << 20, 10000, 0.3, 20, 200, 0.3, -8.5, 0.02, 1.0
+#: Bytes of the sample's features on the driver at most.
+MAX_TRAIN_BYTES = 1 << 27
 #: Bytes of the word beginnings that are features beside whole words.
 STEMS = (3, 5, 7)
-STRIPE = 8
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
 
@@ -41,9 +43,6 @@ def bags(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(block.n), np.diff(first))
     sentence = np.cumsum(_ENDS[block.raw])[starts] + doc
     begin = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
-    # Very short sentences join their neighbours: an instance for those that begin within one stripe of STRIPE words.
-    stripe, own = (begin - first[doc[begin]]) // STRIPE, doc[begin]
-    begin = begin[np.concatenate([[True], (stripe[1:] != stripe[:-1]) | (own[1:] != own[:-1])])]
     each, part = 1 + len(STEMS), DIM // 4  # STEMS and whole words
     features = np.empty(each * len(starts), np.int64)
     for k, length in enumerate((None, *STEMS)):
@@ -67,7 +66,7 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 def fit(features: np.ndarray, sentences: np.ndarray, docs: np.ndarray, labels: np.ndarray, seed: int = 1) -> np.ndarray:
     """Weights (DIM and the bias) that maximise the noisy-or likelihood. docs: first sentence of each bag, none empty."""
-    w, squares = np.zeros(DIM + 1), np.full(DIM + 1, START)
+    w, squares = np.zeros(DIM + 1), np.full(DIM + 1, float(START))
     w[DIM], rng = PRIOR, np.random.default_rng(seed)
     sentences, docs = np.append(sentences, len(features)), np.append(docs, len(sentences))
     for _ in range(EPOCHS):
@@ -108,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
                     rows.append((ids[at + i], y[at + i], features[own[0] : own[-1]].astype(np.int32).tobytes(), np.diff(own).astype(np.int32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "label", "features", "sizes"])
 
-    sample = labelled_sample(docs, labels, label, bound, ["text"]).selectExpr("doc_id", "label", "cast(text as string) as text").orderBy("doc_id", F.xxhash64("text"))
+    sample = labelled_sample(docs, labels, label, bound, ["text"]).selectExpr("doc_id", "label", "cast(text as string) as text").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", F.xxhash64("text"))
     # One growing buffer: the sample's features are held once.
     features, sizes, first, y = bytearray(), bytearray(), [], []
     for row in sample.mapInArrow(run, "doc_id long, label int, features binary, sizes binary").toLocalIterator():
@@ -117,6 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
             y.append(row[1])
             features += row[2]
             sizes += row[3]
+            if len(features) + len(sizes) >= MAX_TRAIN_BYTES:
+                break
     if not y:
         w = np.zeros(DIM + 1, np.float32)
         w[DIM] = PRIOR

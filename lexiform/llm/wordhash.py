@@ -21,7 +21,7 @@ BLOCK = 1 << 20
 
 
 def _powers(n: int, base: np.uint64, held: dict = {}) -> np.ndarray:  # noqa: B006
-    if len(held.get(base, ())) < n:
+    if base not in held or len(held[base]) < n:
         table = np.full(max(n, BLOCK + 1), base, np.uint64)
         table[0] = 1
         held[base] = np.cumprod(table, dtype=np.uint64)
