@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: All Unicode white space; trim() without a list removes spaces alone.
 _SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: The patterns of positions and of plain numbers.
 PROTEIN = r":p\.[A-Za-z*=()?_\[\]-]*?([0-9]+)"
 NUCLEOTIDE = r":[cgnmr]\.([*-]?[0-9]+)"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once a row, however often it is used, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Text without white space at its ends; null counts as empty."""
     return F.btrim(F.coalesce(c, F.lit("")), F.lit(_SPACE))
@@ -58,8 +65,7 @@ def position_of(c: Column, field: str) -> Column:
 
 def number(c: Column) -> Column:
     """A plain decimal number as double, else null."""
-    text = strip(c.cast("string"))
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return let(strip(c.cast("string")), lambda text: F.when(text.rlike(NUMBER), text.try_cast("double")))
 
 
 def attribute(c: Column) -> Column:
@@ -113,3 +119,22 @@ def status(value: Column, low: Column, high: Column) -> Column:
 def shuffle_key(c: Column, seed: int) -> Column:
     """Sort by this, then by the id itself: a shuffle that SQL engines repeat."""
     return F.md5(F.concat(c.cast("string"), F.lit(f"|{seed}")))
+
+
+def ascii_json(c: Column) -> Column:
+    """JSON text with all characters beyond ASCII as escapes of their UTF-16 units."""
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("...."), F.lit(0))
+    shown = F.transform(units, lambda u: F.when(u < "0080", F.char(F.conv(u, 16, 10).cast("bigint"))).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.array_join(shown, "")).otherwise(c)
+
+
+def sorted_value(c: Column, kind: T.DataType) -> Column:
+    """A value with its struct fields and map keys in order, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.named_struct(*(x for f in fields for x in (F.lit(f.name), sorted_value(c[f.name], f.dataType)))))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: sorted_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.transform(F.array_sort(F.map_keys(c)), lambda k: F.struct(k.alias("key"), sorted_value(c[k], kind.valueType).alias("value"))))
+    return c

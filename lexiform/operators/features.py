@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiform.functions.text import attribute, number, shuffle_key
+from lexiform.functions.text import attribute, let, number, shuffle_key
 
 
 def vocabularies(rows: DataFrame, fields: list[str], attrs: str = "attrs") -> DataFrame:
@@ -33,9 +33,12 @@ def encode_numeric(rows: DataFrame, stats: DataFrame, fields: list[str], attrs:
     out = rows.join(F.broadcast(by_field))
 
     def one(f: str) -> Column:
-        v, s = number(F.try_element_at(F.col(attrs), F.lit(f))), F.try_element_at(F.col("_stats"), F.lit(f))
-        there = v.isNotNull() & s.isNotNull()
-        return F.struct(F.when(there, (v - s["low"]) / s["scale"]).otherwise(0.0).alias("value"), F.when(there, 1.0).otherwise(0.0).alias("present"))
+        def scaled(x: Column) -> Column:
+            there = x["v"].isNotNull() & x["s"].isNotNull()
+            return F.struct(F.when(there, (x["v"] - x["s"]["low"]) / x["s"]["scale"]).otherwise(0.0).alias("value"), F.when(there, 1.0).otherwise(0.0).alias("present"))
+
+        # A value is parsed once, however often the result is used.
+        return let(F.struct(number(F.try_element_at(F.col(attrs), F.lit(f))).alias("v"), F.try_element_at(F.col("_stats"), F.lit(f)).alias("s")), scaled)
 
     return out.withColumn("numeric", F.array(*(one(f) for f in fields))).drop("_stats")
 
@@ -69,11 +72,16 @@ def teacher(pairs: DataFrame, exact: float = 2.0, digit: float = 1.0) -> DataFra
     """(pair, i, j, p): distribution over target bytes for each source byte. pairs: pair, source, target (byte ids, 0 pads).
 
     Equal bytes weigh ``exact``, digit pairs ``digit`` more; a source byte without any match is uniform over the target.
+    Source and target stand in one row, so the distributions are made in it; nothing is shuffled.
     """
-    s = pairs.select("pair", F.posexplode("source").alias("i", "s")).filter("s > 0")
-    both = s.join(pairs.select("pair", F.posexplode("target").alias("j", "t")).filter("t > 0"), "pair")
-    is_digit = lambda c: F.col(c).between(ord("0") + 1, ord("9") + 1)
-    w = F.when(F.col("s") == F.col("t"), exact).otherwise(0.0) + F.when(is_digit("s") & is_digit("t"), digit).otherwise(0.0)
-    row = Window.partitionBy("pair", "i")
-    both = both.withColumn("w", w).withColumn("total", F.sum("w").over(row)).withColumn("n", F.count("*").over(row))
-    return both.select("pair", "i", "j", F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(1.0 / F.col("n")).alias("p"))
+    is_digit = lambda c: c.between(ord("0") + 1, ord("9") + 1)
+    weight = lambda s, t: F.when(s == t, exact).otherwise(0.0) + F.when(is_digit(s) & is_digit(t), digit).otherwise(0.0)
+
+    def spread(w: Column) -> Column:
+        total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
+        return let(total, lambda t: F.transform(w, lambda x: F.when(t > 0, x / t).otherwise(1.0 / F.size(w))))
+
+    rows = pairs.select("pair", F.filter("source", lambda s: s > 0).alias("source"), F.filter("target", lambda t: t > 0).alias("target"))
+    rows = rows.select("pair", F.transform("source", lambda s: let(F.transform("target", lambda t: weight(s, t)), spread)).alias("p"))
+    rows = rows.select("pair", F.posexplode("p").alias("i", "row"))
+    return rows.select("pair", "i", F.posexplode("row").alias("j", "p"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexiform.functions.text import position_of, shuffle_key
 from lexiform.operators.classes import first_rows, of_notation
+from lexiform.operators.splits import placed_in
+from lexiform.sources.shared import materialize
 
 
 def pairs_of_classes(classes: DataFrame, left: str, right: str, limit: int | None = None) -> DataFrame:
@@ -42,40 +44,50 @@ def hard_pools(
 ) -> DataFrame:
     """(benchmark_id, fact_id, query_text, cand_idx, candidate fact, text and decoy_kind): pools of candidates that share the query's attributes.
 
-    Decoys are other facts with equal values of all ``fields``, one form each, in md5 order up
-    to the room that the positives leave; ``fill_random`` adds facts of a bounded md5-ordered list.
-    Facts with a missing field, without positives or with too few decoys have no pool.
+    Facts of equal values of all ``fields`` stand in a seeded circle, and each takes those that follow it, one
+    form each, up to the room that the positives leave. ``fill_random`` adds, where a circle is too small,
+    facts of other keys: those that follow a seeded place in the circle of all facts. So each fact
+    meets max_candidates others by equal joins, whatever the size of its key. Facts with a missing
+    field, without positives or with too few decoys have no pool.
     """
     if max_candidates < positives + min_decoys:
         raise ValueError("max_candidates leaves no room for the decoys")
+    room = max_candidates - positives
     values = [F.try_element_at(F.col("attrs"), F.lit(f)) for f in fields]
     key = F.struct(*(v.alias(f) for v, f in zip(values, fields, strict=True)))
     usable = classes.filter(" and ".join(f"coalesce(try_element_at(attrs, '{f}'), '') <> ''" for f in fields))
-    usable = usable.select("fact_id", key.alias("key"), of_notation("forms", query_notation).alias("queries"), of_notation("forms", candidate_notation).alias("cands"))
+    usable = usable.select("fact_id", key.alias("key"), of_notation("forms", query_notation).alias("queries"), of_notation("forms", candidate_notation).alias("cands")).filter(F.size("cands") > 0)
     one = F.element_at(F.array_sort(F.transform("cands", lambda c: F.struct(shuffle_key(F.concat(F.col("fact_id"), F.lit("|"), c["text"]), seed).alias("k"), c["text"].alias("text")))), 1)["text"]
-    decoys = usable.filter(F.size("cands") > 0).select("key", F.col("fact_id").alias("d_fact"), one.alias("d_text"))
-    asked = usable.select("fact_id", "key", F.filter("queries", lambda q: matches_key(q["text"], {f: F.col(f"key.{f}") for f in fields})).alias("queries"), F.transform("cands", lambda c: c["text"]).alias("pos")).filter("size(queries) > 0 and size(pos) > 0")
-    room = max_candidates - positives
-    order = Window.partitionBy("fact_id").orderBy(F.md5(F.concat("fact_id", F.lit("|"), "d_fact", F.lit(f"|{seed}"))), "d_fact")
-    matched = asked.select("fact_id", "key").join(decoys, "key").filter("d_fact <> fact_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= room)
-    matched = matched.select("fact_id", "d_fact", "d_text", F.lit("matched").alias("kind"), "n")
-    enough = matched.groupBy("fact_id").agg(F.count("*").alias("held")).filter(F.col("held") >= min_decoys)
-    pool = matched.join(enough.select("fact_id"), "fact_id")
+    fits = F.filter("queries", lambda q: matches_key(q["text"], {f: F.col(f"key.{f}") for f in fields}))
+    facts = usable.select("fact_id", "key", one.alias("d_text"), F.transform(fits, lambda q: q["text"]).alias("queries"), F.transform("cands", lambda c: c["text"]).alias("pos"))
+    facts = placed_in(facts, ["key"], "fact_id", seed, "at", "of")
+    if fill_random:
+        facts = placed_in(facts, [], "fact_id", seed, "at_all", "of_all")
+    facts = materialize(facts, "pool-facts")
+    asked = facts.filter((F.size("queries") > 0) & (F.col("of") > F.greatest(F.lit(min_decoys), F.lit(1))))
+    decoys = facts.select("key", F.col("at").alias("d_at"), F.col("fact_id").alias("d_fact"), "d_text")
+    step = F.explode(F.sequence(F.lit(1), F.least(F.lit(room), F.col("of") - 1))).alias("step")
+    drawn = asked.select("fact_id", "key", "at", "of", step).withColumn("d_at", (F.col("at") + F.col("step")) % F.col("of")).join(decoys, ["key", "d_at"])
+    drawn = drawn.select("fact_id", F.col("step").alias("n"), "d_fact", "d_text", F.lit("matched").alias("kind"))
     if fill_random:
-        spare = decoys.orderBy(shuffle_key(F.col("d_fact"), seed), "d_fact").limit(max_candidates * 4).drop("key")  # bounded by a parameter
-        short = enough.filter(F.col("held") < room)
-        extra = short.join(F.broadcast(spare)).filter("d_fact <> fact_id").join(matched.select("fact_id", "d_fact"), ["fact_id", "d_fact"], "left_anti")
-        extra = extra.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= room - F.col("held"))
-        pool = pool.unionByName(extra.select("fact_id", "d_fact", "d_text", F.lit("random").alias("kind"), (F.col("n") + room).alias("n")))
-    goods = asked.select("fact_id", F.posexplode(F.slice("pos", 1, positives)).alias("n", "d_text")).select("fact_id", F.col("fact_id").alias("d_fact"), "d_text", F.lit("positive").alias("kind"), "n")
-    pool = pool.unionByName(goods.join(enough.select("fact_id"), "fact_id"))
-    queries = asked.join(enough.select("fact_id"), "fact_id").select("fact_id", F.posexplode("queries").alias("q", "query"))
-    queries = queries.select("fact_id", F.concat("fact_id", F.lit("::"), F.lit(query_notation), F.lit("::"), F.col("q").cast("string")).alias("benchmark_id"), F.col("query.text").alias("query_text"))
+        start = F.conv(F.substring(F.md5(F.concat("fact_id", F.lit(f"|random|{seed}"))), 1, 15), 16, 10).cast("bigint")
+        # Among room + 1 facts in a row are at most the key's own that do not count, so enough are left.
+        step = F.explode(F.sequence(F.lit(0), F.least(F.lit(room), F.col("of_all") - 1))).alias("step")
+        spare = asked.filter(F.col("of") - 1 < room).select("fact_id", "key", "of_all", start.alias("start"), step).withColumn("at_all", (F.col("start") + F.col("step")) % F.col("of_all"))
+        others = facts.select("at_all", F.col("key").alias("d_key"), F.col("fact_id").alias("d_fact"), "d_text")
+        spare = spare.join(others, "at_all").filter(~F.col("key").eqNullSafe(F.col("d_key")))
+        drawn = drawn.unionByName(spare.select("fact_id", (F.col("step") + room + 1).alias("n"), "d_fact", "d_text", F.lit("random").alias("kind")))
+    held = F.slice(F.array_sort(F.collect_list(F.struct("n", "d_fact", "d_text", "kind"))), 1, room)
+    pool = asked.select("fact_id", "queries", "pos").join(drawn.groupBy("fact_id").agg(held.alias("decoys")), "fact_id")
+    goods = F.transform(F.slice("pos", 1, positives), lambda t: F.struct(F.lit(0).cast("bigint").alias("n"), F.col("fact_id").alias("d_fact"), t.alias("d_text"), F.lit("positive").alias("kind"))).cast("array<struct<n:bigint,d_fact:string,d_text:string,kind:string>>")
+    pool = pool.select("fact_id", F.posexplode("queries").alias("q", "query_text"), F.concat("decoys", goods).alias("pool"))
+    pool = pool.withColumn("benchmark_id", F.concat("fact_id", F.lit("::"), F.lit(query_notation), F.lit("::"), F.col("q").cast("string")))
     if max_queries is not None:
-        queries = queries.orderBy("benchmark_id").limit(max_queries)
-    at = Window.partitionBy("benchmark_id").orderBy(F.md5(F.concat("benchmark_id", F.lit("|"), "d_fact", F.lit("|"), "d_text")), "d_fact", "n")
-    out = queries.join(pool, "fact_id").withColumn("cand_idx", F.row_number().over(at) - 1)
-    return out.select("benchmark_id", "fact_id", "query_text", "cand_idx", F.col("d_fact").alias("cand_fact"), F.col("d_text").alias("cand_text"), F.col("kind").alias("decoy_kind"))
+        pool = pool.orderBy("benchmark_id").limit(max_queries)
+    order = lambda c: F.md5(F.concat(F.col("benchmark_id"), F.lit("|"), c["d_fact"], F.lit("|"), c["d_text"]))
+    ranked = F.array_sort(F.transform("pool", lambda c: F.struct(order(c).alias("k"), c["d_fact"].alias("d_fact"), c["n"].alias("n"), c["d_text"].alias("d_text"), c["kind"].alias("kind"))).cast("array<struct<k:string,d_fact:string,n:bigint,d_text:string,kind:string>>"))
+    out = pool.select("benchmark_id", "fact_id", "query_text", F.posexplode(ranked).alias("cand_idx", "c"))
+    return out.select("benchmark_id", "fact_id", "query_text", "cand_idx", F.col("c.d_fact").alias("cand_fact"), F.col("c.d_text").alias("cand_text"), F.col("c.kind").alias("decoy_kind"))
 
 
 def matched_only(pools: DataFrame) -> DataFrame:

@@ -14,6 +14,13 @@ def attr(name: str, attrs: str = "attrs") -> Column:
     return F.coalesce(F.try_element_at(F.col(attrs), F.lit(name)), F.lit("None"))
 
 
+def require_attr(rows: DataFrame, name: str, attrs: str = "attrs") -> DataFrame:
+    """rows, if at least one of them has the attribute; else an error."""
+    if rows.filter(F.try_element_at(F.col(attrs), F.lit(name)).isNotNull()).isEmpty():
+        raise ValueError(f"no row has the attribute {name}")
+    return rows
+
+
 def _split(test: Column) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), "test").otherwise("train").alias("split")
 
@@ -54,6 +61,21 @@ def shuffled(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     return ranked.withColumn("place", F.col("_before") + F.col("_in")).drop("_key", "_bucket", "_in", "_before")
 
 
+def placed_in(df: DataFrame, by: list[str], id_col: str, seed: int, at: str, of: str) -> DataFrame:
+    """df with two columns: the row's place from 0 in a seeded shuffle of its group (of all rows for no ``by``), and the group's size.
+
+    Groups are numbered by parts of the key's range, as in shuffled(), so a group of any size fits.
+    """
+    keyed = df.withColumn("_key", shuffle_key(F.col(id_col), seed)).withColumn("_bucket", F.substring("_key", 1, 3))
+    sizes = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # 4,096 rows a group at most
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*by, "_bucket", before.alias("_before"), F.sum("_n").over(group).alias(of))
+    inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_key", F.col(id_col)))
+    ranked = keyed.withColumn("_in", inside).join(offsets if by else F.broadcast(offsets), [*by, "_bucket"])
+    return ranked.withColumn(at, F.col("_before") + F.col("_in") - 1).drop("_key", "_bucket", "_in", "_before")
+
+
 def by_fact(classes: DataFrame, test_fraction: float, seed: int = 13, required: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Classes with split: whole facts go to one side; at least one to either. Only classes with all required notations take part."""
     held = classes.filter(has_notations("forms", required)) if required else classes
@@ -86,7 +108,7 @@ def keep_facts(rows: DataFrame, reference: DataFrame, reference_split: str | Non
 def audit(train: DataFrame, test: DataFrame, test_split: str | None = None, heldout: str | None = None) -> DataFrame:
     """(finding, n): shared facts, and whether the held-out notation is absent from train and present in test. All n are 0 for a clean pair."""
     tested = test if test_split is None else test.filter(F.col("split") == test_split)
-    shared = train.select("fact_id").intersect(tested.select("fact_id"))
+    shared = train.select("fact_id").distinct().join(tested.select("fact_id").distinct(), "fact_id", "left_semi")
     out = shared.agg(F.lit("shared_facts").alias("finding"), F.count("*").alias("n"))
     if heldout is not None:
         used = train.filter(F.col("notation") == heldout).agg(F.lit("heldout_in_train").alias("finding"), F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from lexiform.operators import classes as C
 from lexiform.operators import features as X
 from lexiform.operators import splits as S
 from lexiform.plans.base import CONV_SQL, PART_SQL, attrs, conversation_classes, part_classes, query, table
-from lexiform.sources import files, registry, synthetic
+from lexiform.sources import files, registry
 
 
 @query(f"with {CONV_SQL} select form_id, fact_id, track, notation, text from forms")
@@ -149,6 +149,13 @@ t as (
 select 'clinvar_summary:' || v as fact_id, notation, text from t
 """)
 def variant_summary_classes(spark, d):
+    rows = _summary_rows(spark, d)
+    kinds = ("genomic_coordinate", "vcf_allele", "rcv_accession", "phenotype")
+    return C.flatten(C.summary_classes(rows)).filter(F.col("notation").isin(*kinds)).select("fact_id", "notation", "text")
+
+
+def _summary_rows(spark, d):
+    """A variant summary made of lines of orders."""
     li = table(spark, d, "lineitem")
     s = lambda c: F.col(c).cast("string")
     odd = F.col("l_linenumber") % 2 == 1
@@ -158,9 +165,7 @@ def variant_summary_classes(spark, d):
         "ClinicalSignificance": F.col("l_returnflag"), "ReviewStatus": F.col("l_linestatus"), "Name": F.lit("na"), "RS# (dbSNP)": F.lit("-"), "Cytogenetic": F.lit(""),
         "RCVaccession": F.concat(F.lit("RCV"), s("l_partkey"), F.lit("|na")), "PhenotypeList": F.concat(F.lit("-|p"), s("l_suppkey")), "OtherIDs": F.lit(""),
     }
-    rows = li.select(F.struct(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("row")).alias("ord"), *(c.alias(n) for n, c in named.items()))
-    kinds = ("genomic_coordinate", "vcf_allele", "rcv_accession", "phenotype")
-    return C.flatten(C.summary_classes(rows)).filter(F.col("notation").isin(*kinds)).select("fact_id", "notation", "text")
+    return li.select(F.struct(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("row")).alias("ord"), *(c.alias(n) for n, c in named.items()))
 
 
 @query("""
@@ -318,16 +323,6 @@ def source_registry(spark, d):
     return registry.selected(spark, ["all"]).groupBy("track").agg(F.count("*").cast("int").alias("n"), i("compressed"), i("credentialed"))
 
 
-@query()
-def synthetic_variants(spark, d):
-    return C.flatten(synthetic.variants(spark, 200)).select("form_id", "fact_id", "track", "notation", "text")
-
-
-@query()
-def synthetic_labs(spark, d):
-    return C.flatten(synthetic.labs(spark)).select("form_id", "fact_id", "track", "notation", "text")
-
-
 @query("select 'segment' as field, c_mktsegment as value, (dense_rank() over (order by c_mktsegment) - 1)::int as index from (select distinct c_mktsegment from customer)")
 def attribute_vocabulary(spark, d):
     rows = table(spark, d, "customer").select(attrs(segment=F.col("c_mktsegment"), none=F.lit(" ")).alias("attrs"))

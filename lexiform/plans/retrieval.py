@@ -33,15 +33,13 @@ def class_pairs(spark, d):
 
 
 _POOLS = """
-k as (select p_partkey::varchar as fact_id, p_type, p_size, p_name, p_brand from part),
-m as (select a.fact_id, b.fact_id as d_fact, b.p_brand as d_text, row_number() over (partition by a.fact_id order by md5(a.fact_id || '|' || b.fact_id || '|13'), b.fact_id) as n from k a join k b on a.p_type = b.p_type and a.p_size = b.p_size and a.fact_id <> b.fact_id),
-m2 as (select *, 'matched' as kind from m where n <= 9),
-held as (select fact_id, count(*) as held from m2 group by fact_id),
-spare as (select fact_id as d_fact, p_brand as d_text from k order by md5(fact_id || '|13'), fact_id limit 40),
-x as (select h.fact_id, s.d_fact, s.d_text, h.held, row_number() over (partition by h.fact_id order by md5(h.fact_id || '|' || s.d_fact || '|13'), s.d_fact) as n from held h, spare s where h.held < 9 and s.d_fact <> h.fact_id and not exists (select 1 from m2 where m2.fact_id = h.fact_id and m2.d_fact = s.d_fact)),
-pool as (select fact_id, d_fact, d_text, kind from m2
-  union all select fact_id, d_fact, d_text, 'random' from x where n <= 9 - held
-  union all select h.fact_id, h.fact_id, p_brand, 'positive' from held h join k using (fact_id)),
+k as (select p_partkey::varchar as fact_id, p_type, p_size, p_name, p_brand, md5(p_partkey::varchar || '|13') as h from part),
+p as (select *, row_number() over (partition by p_type, p_size order by h, fact_id) - 1 as at, count(*) over (partition by p_type, p_size) as m, row_number() over (order by h, fact_id) - 1 as g, count(*) over () as n from k),
+drawn as (
+  select a.fact_id, s as ord, b.fact_id as d_fact, b.p_brand as d_text, 'matched' as kind from (select *, unnest(range(1, least(9, m - 1) + 1)) as s from p where m > 1) a join p b on a.p_type = b.p_type and a.p_size = b.p_size and b.at = (a.at + s) % a.m
+  union all select a.fact_id, s + 10, b.fact_id, b.p_brand, 'random' from (select *, ('0x' || substr(md5(fact_id || '|random|13'), 1, 15))::bigint as start, unnest(range(0, least(9, n - 1) + 1)) as s from p where m between 2 and 9) a join p b on b.g = (a.start + s) % a.n where (a.p_type, a.p_size) <> (b.p_type, b.p_size)),
+pool as (select fact_id, d_fact, d_text, kind from (select *, row_number() over (partition by fact_id order by ord) as rn from drawn) where rn <= 9
+  union all select fact_id, fact_id, p_brand, 'positive' from p where m > 1),
 pools as (select fact_id || '::name::0' as benchmark_id, fact_id, p_name as query_text, row_number() over (partition by fact_id order by md5(fact_id || '::name::0|' || d_fact || '|' || d_text), d_fact) - 1 as cand_idx, d_fact as cand_fact, d_text as cand_text, kind as decoy_kind from pool join k using (fact_id))
 """
 
@@ -112,18 +110,23 @@ def char_ngram_metrics(spark, d):
 
 
 _BOOT = """
-v as (select *, row_number() over (order by md5(id::varchar || '|13'), id) - 1 as row, count(*) over () as n from vals),
-dr as (select b, v.n, (('0x' || substr(md5(b || '|' || v.row || '|13'), 1, 8))::bigint % v.n) as row from v, range(1000) t(b)),
-mm as (select b, round(sum(v.top1) / any_value(dr.n), 9) as top1, round(sum(v.top5) / any_value(dr.n), 9) as top5, round(sum(v.rr) / any_value(dr.n), 9) as rr from dr join v using (row) group by b)
+with s as (select nullif(label, 0) as rank, count(*)::double as c from embeddings group by 1),
+r as (select rank, c, case when rank <= 1 then 1.0 else 0.0 end::double as top1, case when rank <= 5 then 1.0 else 0.0 end::double as top5, coalesce(1.0::double / rank, 0) as rr, greatest(0, floor(c - 12 * sqrt(c) - 20))::bigint as low, ceil(c + 12 * sqrt(c) + 20)::bigint as high from s),
+k as (select *, unnest(range(low, high + 1)) as k from r),
+l as (select *, sum(case when k > low then ln(c / k) else 0.0 end) over (partition by rank order by k) as lg from k),
+w as (select *, exp(lg - max(lg) over (partition by rank)) as w from l),
+p as (select *, sum(w) over (partition by rank order by k) / sum(w) over (partition by rank) as below from w),
+u as (select b, rank, ('0x' || substr(md5(b || '|' || coalesce(rank::varchar, 'none') || '|13'), 1, 13))::bigint / 4503599627370496.0 as chance from r, range(1000) t(b)),
+d as (select b, any_value(p.top1) as top1, any_value(p.top5) as top5, any_value(p.rr) as rr, any_value(p.low) + count(*) filter (where p.below < u.chance) as times from u join p on u.rank is not distinct from p.rank group by b, u.rank),
+mm as (select b, round(sum(top1 * times) / sum(times), 9) as top1, round(sum(top5 * times) / sum(times), 9) as top5, round(sum(rr * times) / sum(times), 9) as rr from d group by b)
 select round(quantile_cont(top1, 0.025), 9) as top1_ci_low, round(quantile_cont(top1, 0.975), 9) as top1_ci_high, round(quantile_cont(top5, 0.025), 9) as top5_ci_low, round(quantile_cont(top5, 0.975), 9) as top5_ci_high,
   round(quantile_cont(rr, 0.025), 9) as mean_reciprocal_rank_ci_low, round(quantile_cont(rr, 0.975), 9) as mean_reciprocal_rank_ci_high, 0.95::double as confidence_level, count(*) as bootstrap_resamples from mm
 """
 
 
-@query(f"with vals as (select vec_id as id, case when label <= 1 then 1.0 else 0.0 end::double as top1, case when label <= 5 then 1.0 else 0.0 end::double as top5, case when label = 0 then 0 else 1.0 / label end::double as rr from embeddings), {_BOOT}".replace("case when label <= 1 then", "case when label between 1 and 1 then").replace("case when label <= 5 then", "case when label between 1 and 5 then"))
+@query(_BOOT)
 def bootstrap_intervals(spark, d):
-    ranks = table(spark, d, "embeddings").select("vec_id", F.nullif(F.col("label"), F.lit(0)).alias("rank"))
-    return M.bootstrap(ranks, "vec_id")
+    return M.bootstrap(table(spark, d, "embeddings").select("vec_id", F.nullif(F.col("label"), F.lit(0)).alias("rank")))
 
 
 _NAMES = _tfidf_sql("(select p_partkey as key, p_name as text from part)", "(select p_name as text from part)")
@@ -270,6 +273,20 @@ def invariance_ratio(spark, d):
     return M.invariance(_forms_with_vectors(spark, d))
 
 
+@query("""
+with e as (select (vec_id % 200)::varchar as fact_id, embedding::double[] as v from embeddings), x as (select fact_id, unnest(v) as x, unnest(range(64)) as d from e),
+m as (select fact_id, d, avg(x) as x from x group by 1, 2), nm as (select fact_id, sqrt(sum(x * x)) as norm from m group by 1), cc as (select fact_id, list(x / norm order by d) as c from m join nm using (fact_id) group by 1),
+p as (select fact_id, c, row_number() over (order by md5(fact_id || '|13'), fact_id) - 1 as at, count(*) over () as n from cc),
+t as (select ((2305843009213693951::hugeint % (n * (n - 1) // 2)) * k + 13) % (n * (n - 1) // 2) as t from (select any_value(n) as n from p), range(10000) r(k)),
+ij as (select t, floor((1 + sqrt(1 + 8 * t::double)) / 2)::bigint as j from t)
+select i.fact_id as i, j.fact_id as j, round(1 - list_dot_product(i.c, j.c), 9) as distance from ij join p j on j.at = ij.j join p i on i.at = ij.t - ij.j * (ij.j - 1) // 2
+""")
+def sampled_between_distances(spark, d):
+    """Exactly 10,000 of the 19,900 pairs of 200 facts."""
+    forms = table(spark, d, "embeddings").select((F.col("vec_id") % 200).cast("string").alias("fact_id"), F.col("embedding").alias("dense"))
+    return M.between_distances(M.centroids(forms)).select("i", "j", F.round("distance", 9).alias("distance"))
+
+
 @query(f"with {_INV} select fact_id, count(*) as pairs, round(avg(distance), 9) as mean, round(min(distance), 9) as least, round(max(distance), 9) as most from w group by 1")
 def within_distances(spark, d):
     w = M.within_distances(_forms_with_vectors(spark, d))

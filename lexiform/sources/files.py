@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiform.functions.text import ascii_json, sorted_value
+
 FORM = "struct<text:string,notation:string>"
 CLASS_SCHEMA = f"fact_id string, track string, forms array<{FORM}>, attrs map<string,string>, attr_lists map<string,array<string>>"
 FORM_SCHEMA = "form_id string, fact_id string, track string, notation string, text string, attrs map<string,string>, attr_lists map<string,array<string>>, split string"
@@ -21,9 +23,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = CLASS_SCHEMA) -> Da
     return spark.read.schema(schema).json(path)
 
 
+def json_lines(df: DataFrame) -> DataFrame:
+    """(value): each row as JSON in ASCII, keys in order at every depth, nulls stated."""
+    row = F.named_struct(*(x for f in sorted(df.schema.fields, key=lambda f: f.name) for x in (F.lit(f.name), sorted_value(F.col(f"`{f.name}`"), f.dataType))))
+    return df.select(ascii_json(F.to_json(row, {"ignoreNullFields": "false"})).alias("value"))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines with sorted keys and explicit nulls."""
-    df.select(*(F.col(f"`{c}`") for c in sorted(df.columns))).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    json_lines(df).write.mode("overwrite").text(path)
 
 
 def with_order(df: DataFrame) -> DataFrame:
@@ -32,9 +39,13 @@ def with_order(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, quoted: bool = True) -> DataFrame:
-    """A tab-separated file with a header, all columns text; a ``#`` before the first name goes. Missing trailing fields are null."""
+    """A tab-separated file with a header, all columns text; a ``#`` before the first name goes. Missing trailing fields are null.
+
+    A quoted or packed file cannot be divided, so one task reads it; behind the scan its rows are dealt out, with ``ord`` from before.
+    """
     reader = spark.read.option("sep", "\t").option("header", True).option("multiLine", quoted).option("quote", '"' if quoted else "").option("escape", '"')
     df = with_order(reader.csv(path))
+    df = df.repartition("ord") if quoted else df
     first = df.columns[0]
     return df.withColumnRenamed(first, first.lstrip("#")) if first.startswith("#") else df
 
@@ -51,9 +62,10 @@ def read_variant_summary(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path)
 
 
-def read_hgvs(spark: SparkSession, path: str) -> DataFrame:
-    """hgvs4variation: comment lines and rows of another arity than 13 go; there is no quoting."""
+def read_hgvs(spark: SparkSession, path: str, packed: bool = True) -> DataFrame:
+    """hgvs4variation: comment lines and rows of another arity than 13 go; there is no quoting. ``packed``: gzip files, whose rows are dealt out behind the scan."""
     lines = with_order(spark.read.text(path)).filter(~F.col("value").startswith("#"))
+    lines = lines.repartition("ord") if packed else lines
     parts = lines.select("ord", F.split("value", "\t", -1).alias("p")).filter(F.size("p") == len(HGVS_COLUMNS))
     return parts.select("ord", *(F.col("p")[i].alias(c) for i, c in enumerate(HGVS_COLUMNS)))
 
@@ -73,6 +85,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     return old.join(new, key, "left_anti").unionByName(new)
 
 
+def stamped(rows: DataFrame, name: str = "fetched_at") -> DataFrame:
+    """rows with the present time in UTC as ISO 8601 text, for a manifest."""
+    return rows.withColumn(name, F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+
+
 def metrics_json(metrics: DataFrame) -> DataFrame:
     """A row of metrics as one JSON text with sorted keys."""
     return metrics.select(F.to_json(F.struct(*(F.col(c) for c in sorted(metrics.columns))), {"ignoreNullFields": "false"}).alias("metrics"))
