@@ -1,18 +1,25 @@
 """Byte encoders in numpy, applied to Arrow batches, and a student that is fitted by a contrastive loss.
 
 Deep-learning frameworks are not needed: the mean encoder's gradient is written out and
-fitted on a bounded sample of pairs; the convolutional and attention encoders
-run forward with given weights.
+fitted on all pairs, by workers whose parameters are averaged after each epoch; the
+convolutional, attention and numeric encoders run forward with the weights that they are given, or
+with seeded ones.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiform.functions.text import shuffle_key
+from lexiform.sources.shared import materialize
+
 VOCABULARY, MAX_LENGTH = 257, 96
 
 
@@ -29,8 +36,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function to about 1e-7, by a rational fit of its complement."""
+    t = 1 / (1 + 0.5 * np.abs(x))
+    fit = np.polynomial.polynomial.polyval(t, [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277])
+    return np.sign(x) * (1 - t * np.exp(-x * x + fit))
+
+
 def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3)))
+    return 0.5 * x * (1 + erf(x / np.sqrt(2)))
 
 
 def _weights(rng: np.random.Generator, *shape: int) -> np.ndarray:
@@ -61,35 +75,51 @@ class MeanEncoder:
         return unit(self.parts(ids)[2])
 
 
+def _given(p: dict, seeded: dict) -> dict:
+    """Weights by name: the given ones, else the seeded ones; an unknown name is an error."""
+    if unknown := sorted(set(p) - set(seeded)):
+        raise ValueError(f"unknown weights: {', '.join(unknown)}")
+    return {k: np.asarray(p.get(k, w), float) for k, w in seeded.items()}
+
+
 @dataclass
 class ConvEncoder:
-    """Convolutions of widths 3, 5 and 7, each with GELU and a masked maximum, then a hidden layer, unit length."""
+    """Convolutions of several widths, each with GELU and a masked maximum, then a hidden layer, unit length.
+
+    Weights: e, k<width> (width, hidden, hidden) and c<width> (bias) of each branch, a, a_bias, b, b_bias.
+    """
 
     hidden: int = 48
     out: int = 64
     widths: tuple[int, ...] = (3, 5, 7)
     seed: int = 13
+    p: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        rng = np.random.default_rng(self.seed)
-        self.e, self.k = rng.normal(0, 0.3, (VOCABULARY, self.hidden)), {w: _weights(rng, w, self.hidden, self.hidden) for w in self.widths}
-        self.a, self.b = _weights(rng, self.hidden * len(self.widths), self.hidden), _weights(rng, self.hidden, self.out)
-        self.e[0] = 0
+        rng, h = np.random.default_rng(self.seed), self.hidden
+        seeded = {"e": rng.normal(0, 0.3, (VOCABULARY, h)), **{f"k{w}": _weights(rng, w, h, h) for w in self.widths}, "a": _weights(rng, h * len(self.widths), h), "b": _weights(rng, h, self.out)}
+        self.p = _given(self.p, seeded | {f"c{w}": np.zeros(h) for w in self.widths} | {"a_bias": np.zeros(h), "b_bias": np.zeros(self.out)})
+
+    def token_features(self, ids: np.ndarray) -> np.ndarray:
+        return self.p["e"][ids] * (ids > 0)[..., None]
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
-        mask, pooled = (ids > 0)[..., None], []
-        x = self.e[ids] * mask
-        for w, kernel in self.k.items():
+        mask, pooled, x = (ids > 0)[..., None], [], self.token_features(ids)
+        for w in self.widths:
             padded = np.pad(x, ((0, 0), (w // 2, w // 2), (0, 0)))
-            y = gelu(sum(padded[:, j : j + ids.shape[1]] @ kernel[j] for j in range(w)))
+            y = gelu(sum(padded[:, j : j + ids.shape[1]] @ self.p[f"k{w}"][j] for j in range(w)) + self.p[f"c{w}"])
             top = np.where(mask, y, -np.inf).max(1)
             pooled.append(np.where(np.isfinite(top), top, 0))
-        return unit(gelu(np.concatenate(pooled, 1) @ self.a) @ self.b)
+        return unit(gelu(np.concatenate(pooled, 1) @ self.p["a"] + self.p["a_bias"]) @ self.p["b"] + self.p["b_bias"])
 
 
 @dataclass
 class AttentionEncoder:
-    """Learned positions, pre-norm self-attention blocks, masked mean, unit length; padding has no influence."""
+    """Learned positions, pre-norm self-attention blocks, masked mean, unit length; padding has no influence.
+
+    Weights: e, pos, b, scale and shift of the last norm, and for block i q<i>, k<i>, v<i>, o<i>, up<i>, down<i> and the
+    scales and shifts of its two norms (scale_a<i>, shift_a<i>, scale_f<i>, shift_f<i>).
+    """
 
     hidden: int = 64
     out: int = 64
@@ -97,79 +127,285 @@ class AttentionEncoder:
     heads: int = 4
     max_length: int = 256
     seed: int = 13
+    p: dict = field(default_factory=dict)
 
     def __post_init__(self):
         rng, h = np.random.default_rng(self.seed), self.hidden
-        self.e, self.pos = rng.normal(0, 0.3, (VOCABULARY, h)), rng.normal(0, 0.1, (self.max_length, h))
-        self.blocks = [{n: _weights(rng, *s) for n, s in (("q", (h, h)), ("k", (h, h)), ("v", (h, h)), ("o", (h, h)), ("up", (h, 4 * h)), ("down", (4 * h, h)))} for _ in range(self.layers)]
-        self.b = _weights(rng, h, self.out)
-
-    @staticmethod
-    def _norm(x: np.ndarray) -> np.ndarray:
-        return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5)
+        seeded = {"e": rng.normal(0, 0.3, (VOCABULARY, h)), "pos": rng.normal(0, 0.1, (self.max_length, h))}
+        for i in range(self.layers):
+            seeded |= {f"{n}{i}": _weights(rng, *s) for n, s in (("q", (h, h)), ("k", (h, h)), ("v", (h, h)), ("o", (h, h)), ("up", (h, 4 * h)), ("down", (4 * h, h)))}
+            seeded |= {f"scale_{n}{i}": np.ones(h) for n in "af"} | {f"shift_{n}{i}": np.zeros(h) for n in "af"}
+        self.p = _given(self.p, seeded | {"b": _weights(rng, h, self.out), "scale": np.ones(h), "shift": np.zeros(h)})
+
+    def _norm(self, x: np.ndarray, name: str) -> np.ndarray:
+        return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5) * self.p[f"scale{name}"] + self.p[f"shift{name}"]
+
+    def token_features(self, ids: np.ndarray) -> np.ndarray:
+        """States of all positions; those of padding are 0."""
+        ids = ids[:, : self.max_length]
+        mask, (n, t), p = ids > 0, ids.shape, self.p
+        x, split = p["e"][ids] + p["pos"][:t], lambda y: y.reshape(n, t, self.heads, -1).transpose(0, 2, 1, 3)
+        for i in range(self.layers):
+            y = self._norm(x, f"_a{i}")
+            q, k, v = (split(y @ p[f"{c}{i}"]) for c in "qkv")
+            score = np.where(mask[:, None, None], q @ k.transpose(0, 1, 3, 2) / np.sqrt(self.hidden / self.heads), -1e9)
+            a = np.exp(score - score.max(-1, keepdims=True))
+            x = x + ((a / a.sum(-1, keepdims=True)) @ v).transpose(0, 2, 1, 3).reshape(n, t, -1) @ p[f"o{i}"]
+            x = x + gelu(self._norm(x, f"_f{i}") @ p[f"up{i}"]) @ p[f"down{i}"]
+        return self._norm(x, "") * mask[..., None]
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
         used = max(1, int((ids > 0).sum(1).max(initial=0)))
-        ids = ids[:, : min(used, self.max_length)]
-        mask, (n, t) = ids > 0, ids.shape
-        x, split = self.e[ids] + self.pos[:t], lambda y: y.reshape(n, t, self.heads, -1).transpose(0, 2, 1, 3)
-        for w in self.blocks:
-            y = self._norm(x)
-            q, k, v = (split(y @ w[c]) for c in "qkv")
-            score = np.where(mask[:, None, None], q @ k.transpose(0, 1, 3, 2) / np.sqrt(self.hidden / self.heads), -1e9)
-            a = np.exp(score - score.max(-1, keepdims=True))
-            x = x + ((a / a.sum(-1, keepdims=True)) @ v).transpose(0, 2, 1, 3).reshape(n, t, -1) @ w["o"]
-            x = x + gelu(self._norm(x) @ w["up"]) @ w["down"]
-        m = mask[..., None]
-        return unit((self._norm(x) * m).sum(1) / np.maximum(m.sum(1), 1) @ self.b)
+        ids = ids[:, :used]
+        return unit(pooled_states(self.token_features(ids), ids[:, : self.max_length] > 0, "mean") @ self.p["b"])
+
+
+def pooled_states(states: np.ndarray, mask: np.ndarray, mode: str = "mean") -> np.ndarray:
+    """One vector a text of its token states: the masked ``mean``, or the first token's (``cls``)."""
+    if mode == "cls":
+        return states[:, 0]
+    if mode != "mean":
+        raise ValueError(f"unknown pooling: {mode}")
+    m = mask[..., None]
+    return (states * m).sum(1) / np.maximum(m.sum(1), 1)
+
+
+@dataclass
+class PooledEncoder:
+    """A dense encoder of anything that gives token states: pooled, unit length."""
+
+    tokens: object
+    mode: str = "mean"
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        states = self.tokens.token_features(ids)
+        return unit(pooled_states(states, ids[:, : states.shape[1]] > 0, self.mode))
+
+
+@dataclass
+class NumericEncoder:
+    """Vectors of numeric fields: ``explicit`` values and flags, ``sinusoidal`` features, or ``xval`` (an embedding a field, scaled by its value), then two layers with GELU.
+
+    Weights: a, a_bias, b, b_bias, and for xval one row a field in fields.
+    """
+
+    inputs: int
+    out: int = 64
+    mode: str = "explicit"
+    depth: int = 16
+    seed: int = 13
+    p: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        if self.mode not in ("explicit", "sinusoidal", "xval"):
+            raise ValueError(f"unknown numeric mode: {self.mode}")
+        rng, width = np.random.default_rng(self.seed), {"explicit": self.inputs * 2, "sinusoidal": self.inputs * (2 * self.depth + 1), "xval": self.out}[self.mode]
+        seeded = {"a": _weights(rng, width, self.out), "a_bias": np.zeros(self.out), "b": _weights(rng, self.out, self.out), "b_bias": np.zeros(self.out)}
+        self.p = _given(self.p, seeded | ({"fields": rng.normal(0, 0.02, (self.inputs, self.out))} if self.mode == "xval" else {}))
+
+    def features(self, values: np.ndarray, present: np.ndarray) -> np.ndarray:
+        if self.mode == "explicit":
+            return np.concatenate([values, present], 1)
+        if self.mode == "xval":
+            return (values * present) @ self.p["fields"]
+        phase = values[..., None] * 2.0 ** np.arange(self.depth) * np.pi
+        both = [f(phase) * present[..., None] for f in (np.sin, np.cos)]
+        return np.concatenate([*(x.reshape(len(values), -1) for x in both), present], 1)
+
+    def __call__(self, values: np.ndarray, present: np.ndarray) -> np.ndarray:
+        return gelu(self.features(values, present) @ self.p["a"] + self.p["a_bias"]) @ self.p["b"] + self.p["b_bias"]
+
+
+@dataclass
+class Student:
+    """Unit-length sum of the weighted text vector and, if there is one, the numeric vector; heads read attributes and numbers from it.
+
+    attribute_heads and numeric_heads: field to (weights, bias).
+    """
+
+    text: object
+    numeric: NumericEncoder | None = None
+    text_weight: float = 1.0
+    attribute_heads: dict = field(default_factory=dict)
+    numeric_heads: dict = field(default_factory=dict)
+
+    def encode(self, ids: np.ndarray, values: np.ndarray | None = None, present: np.ndarray | None = None) -> np.ndarray:
+        x = self.text(ids) * self.text_weight
+        return unit(x if self.numeric is None or values is None else x + self.numeric(values, present))
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        return self.encode(ids)
+
+    def logits(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        return {f: x @ w + b for f, (w, b) in (self.attribute_heads | self.numeric_heads).items()}
+
+
+def encode_student(forms: DataFrame, student: Student, max_length: int = MAX_LENGTH) -> DataFrame:
+    """forms (text, numeric as encode_numeric() makes it) with dense and, for each head, logits_<field>."""
+    held, names = forms.sparkSession.sparkContext.broadcast(student), [*student.attribute_heads, *student.numeric_heads]  # a model: fixed size
+
+    def run(batches):
+        import pandas as pd
+
+        for text, numeric in batches:
+            rows = [[(x["value"], x["present"]) for x in n] if n is not None else [] for n in numeric]
+            both = np.array(rows, float).reshape(len(rows), -1, 2)
+            x = held.value.encode(byte_matrix(list(text), max_length), both[..., 0], both[..., 1])
+            out = {"dense": list(x)} | {f"logits_{f}": list(z) for f, z in held.value.logits(x).items()}
+            yield pd.DataFrame(out)
+
+    import pandas as pd
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    udf = F.pandas_udf(run, ", ".join(f"{c} array<double>" for c in ("dense", *(f"logits_{f}" for f in names))))
+    return forms.withColumn("_out", udf(F.col("text"), F.col("numeric"))).select("*", "_out.*").drop("_out")
 
 
 def encode(forms: DataFrame, encoder, max_length: int = MAX_LENGTH, text_col: str = "text") -> DataFrame:
     """forms with dense: the encoder's vector of each text. Any callable from byte ids to vectors will do; equal texts are encoded once."""
     held = forms.sparkSession.sparkContext.broadcast(encoder)  # a model: fixed size
 
-    def run(texts):
-        import pandas as pd
+    import pandas as pd
 
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for text in texts:
             rows = [held.value(byte_matrix(list(text[i : i + 512]), max_length)) for i in range(0, len(text), 512)]
             yield pd.Series(list(np.concatenate(rows)) if rows else [], dtype=object)
 
-    udf = F.pandas_udf(run, "array<double>", functionType=F.PandasUDFType.SCALAR_ITER)
+    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    udf = F.pandas_udf(run, "array<double>")
     vectors = forms.select(F.col(text_col).alias("_text")).distinct().withColumn("dense", udf(F.col("_text")))
     return forms.join(vectors, F.col(text_col).eqNullSafe(F.col("_text")), "left").drop("_text")
 
 
-def fit_student(pairs: DataFrame, bound: int = 20_000, epochs: int = 3, batch: int = 128, rate: float = 3e-3, temperature: float = 0.07, seed: int = 13) -> MeanEncoder:
-    """A MeanEncoder fitted by symmetric InfoNCE with several positives on at most ``bound`` pairs in md5 order (fact_id, left_text, right_text)."""
-    from lexiform.functions.text import shuffle_key
-
-    rows = pairs.select("fact_id", "left_text", "right_text")
-    rows = rows.orderBy(shuffle_key(F.concat_ws("|", "fact_id", "left_text", "right_text"), seed)).limit(bound).collect()  # bounded by a parameter
-    model, rng = MeanEncoder(seed=seed), np.random.default_rng(seed)
-    left, right = byte_matrix([r[1] for r in rows]), byte_matrix([r[2] for r in rows])
-    fact = np.unique([r[0] for r in rows], return_inverse=True)[1] if rows else np.zeros(0, int)
-    m, v, step = {k: np.zeros_like(w) for k, w in model.p.items()}, {k: np.zeros_like(w) for k, w in model.p.items()}, 0
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), batch):
-            some = order[at : at + batch]
-            grads = {k: np.zeros_like(w) for k, w in model.p.items()}
-            sides = [(ids, *model.parts(ids)) for ids in (left[some], right[some])]
-            x, y = unit(sides[0][3]), unit(sides[1][3])
-            positive = (fact[some][:, None] == fact[some][None]).astype(float)
-            z = x @ y.T / temperature
-            soft = lambda s, axis: np.exp(s - s.max(axis, keepdims=True)) / np.exp(s - s.max(axis, keepdims=True)).sum(axis, keepdims=True)
-            dz = (soft(z, 1) - positive / positive.sum(1, keepdims=True) + soft(z, 0) - positive / positive.sum(0, keepdims=True)) / (2 * len(some) * temperature)
-            for (ids, mean, h, raw), du, u in zip(sides, (dz @ y, dz.T @ x), (x, y), strict=True):
-                draw = (du - (du * u).sum(1, keepdims=True) * u) / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-12)
-                dh = (draw @ model.p["b"].T) * (h > 0)
-                grads["b"] += h.T @ draw
-                grads["a"] += mean.T @ dh
-                de = (dh @ model.p["a"].T) / np.maximum((ids > 0).sum(1, keepdims=True), 1)
-                np.add.at(grads["e"], ids, np.broadcast_to(de[:, None], (*ids.shape, de.shape[1])))
-            grads["e"][0], step = 0, step + 1
-            for k, g in grads.items():
-                m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                model.p[k] -= rate * (m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8) + 1e-4 * model.p[k])
+def cached_encode(forms: DataFrame, encoder, path: str, name: str, max_length: int = MAX_LENGTH) -> DataFrame:
+    """encode() through a written cache: texts that the model ``name`` has encoded before are read from path, the others are encoded and added."""
+    spark, schema = forms.sparkSession, "model string, text string, dense array<double>"
+    texts = forms.select("text").distinct()
+    try:
+        held = spark.read.schema(schema).parquet(path).filter(F.col("model") == name).select("text", "dense")
+        texts = texts.join(held.select("text"), "text", "left_anti")
+    except AnalysisException:  # no cache yet
+        held = None
+    new = encode(texts, encoder, max_length)
+    new.select(F.lit(name).alias("model"), "text", "dense").write.mode("append").parquet(path)
+    held = spark.read.schema(schema).parquet(path).filter(F.col("model") == name).select(F.col("text").alias("_text"), "dense")
+    return forms.join(held, F.col("text") == F.col("_text"), "left").drop("_text")
+
+
+def token_features(forms: DataFrame, encoder, max_length: int = MAX_LENGTH, text_col: str = "text", name: str = "states") -> DataFrame:
+    """forms with the token states of each text, without those of padding."""
+    held = forms.sparkSession.sparkContext.broadcast(encoder)  # a model: fixed size
+    import pandas as pd
+
+    def run(texts):
+        for text in texts:
+            ids = byte_matrix(list(text), max_length)
+            states = held.value.token_features(ids)
+            yield pd.Series([s[: int(n)].tolist() for s, n in zip(states, (ids > 0).sum(1), strict=True)], dtype=object)
+
+    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return forms.withColumn(name, F.pandas_udf(run, "array<array<double>>")(F.col(text_col)))
+
+
+def save_student(spark, model: MeanEncoder, path: str, history: list[dict] | None = None) -> None:
+    """A checkpoint: settings, weights and the metrics of each epoch, through Spark's writer."""
+    rows = [("settings", json.dumps({"hidden": model.hidden, "out": model.out, "seed": model.seed}), None), ("history", json.dumps(history or []), None)]
+    rows += [(k, json.dumps(w.shape), np.ascontiguousarray(w, float).tobytes()) for k, w in model.p.items()]
+    spark.createDataFrame(rows, "name string, said string, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_student(spark, path: str) -> tuple[MeanEncoder, list[dict]]:
+    rows = {r["name"]: r for r in spark.read.parquet(path).collect()}  # a model: fixed size
+    weights = {k: np.frombuffer(r["data"], float).reshape(json.loads(r["said"])).copy() for k, r in rows.items() if r["data"] is not None}
+    return MeanEncoder(**json.loads(rows["settings"]["said"]), p=weights), json.loads(rows["history"]["said"])
+
+
+class _Adam:
+    """Decoupled weight decay; moments by parameter."""
+
+    def __init__(self, p: dict, rate: float):
+        self.p, self.rate, self.step = p, rate, 0
+        self.m, self.v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
+
+    def __call__(self, grads: dict) -> None:
+        self.step += 1
+        for k, g in grads.items():
+            self.m[k], self.v[k] = 0.9 * self.m[k] + 0.1 * g, 0.999 * self.v[k] + 0.001 * g * g
+            self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.step) / (np.sqrt(self.v[k] / (1 - 0.999**self.step)) + 1e-8) + 1e-4 * self.p[k])
+
+
+def info_nce(model: MeanEncoder, left: np.ndarray, right: np.ndarray, fact: np.ndarray, temperature: float) -> tuple[float, dict]:
+    """Symmetric loss with several positives of one batch, and its gradient."""
+    grads = {k: np.zeros_like(w) for k, w in model.p.items()}
+    sides = [(ids, *model.parts(ids)) for ids in (left, right)]
+    x, y = unit(sides[0][3]), unit(sides[1][3])
+    positive = (fact[:, None] == fact[None]).astype(float)
+    z = x @ y.T / temperature
+    soft = lambda s, axis: np.exp(s - s.max(axis, keepdims=True)) / np.exp(s - s.max(axis, keepdims=True)).sum(axis, keepdims=True)
+    rows, cols = soft(z, 1), soft(z, 0)
+    loss = sum(-(np.log(np.maximum(q, 1e-300)) * positive).sum(axis) / positive.sum(axis) for q, axis in ((rows, 1), (cols, 0))).mean() / 2
+    dz = (rows - positive / positive.sum(1, keepdims=True) + cols - positive / positive.sum(0, keepdims=True)) / (2 * len(fact) * temperature)
+    for (ids, mean, h, raw), du, u in zip(sides, (dz @ y, dz.T @ x), (x, y), strict=True):
+        draw = (du - (du * u).sum(1, keepdims=True) * u) / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-12)
+        dh = (draw @ model.p["b"].T) * (h > 0)
+        grads["b"] += h.T @ draw
+        grads["a"] += mean.T @ dh
+        de = (dh @ model.p["a"].T) / np.maximum((ids > 0).sum(1, keepdims=True), 1)
+        np.add.at(grads["e"], ids, np.broadcast_to(de[:, None], (*ids.shape, de.shape[1])))
+    grads["e"][0] = 0
+    return float(loss), grads
+
+
+def fit_student(pairs: DataFrame, epochs: int = 3, batch: int = 128, rate: float = 3e-3, temperature: float = 0.07, seed: int = 13, share: int = 20_000, history: list[dict] | None = None) -> MeanEncoder:
+    """A MeanEncoder fitted by symmetric InfoNCE on all pairs (fact_id, left_text, right_text).
+
+    Pairs are dealt over workers of about ``share`` each. In an epoch every worker starts from the same weights and
+    takes its batches in an order of that epoch; the weights are then averaged by the workers' pairs. What comes to the driver
+    is the model. ``history`` gets the mean loss of each epoch.
+    """
+    spark, model = pairs.sparkSession, MeanEncoder(seed=seed)
+    key = F.concat_ws("|", "fact_id", "left_text", "right_text")
+    rows = materialize(pairs.select("fact_id", "left_text", "right_text"), "train-pairs")
+    workers = max(1, -(-rows.count() // share))
+    for epoch in range(epochs):
+        held = spark.sparkContext.broadcast(model)  # a model: fixed size
+
+        def run(batches, held=held):  # noqa: B008
+            import pandas as pd
+
+            own = MeanEncoder(model.hidden, model.out, model.seed, {k: w.copy() for k, w in held.value.p.items()})
+            adam, n, total, rest = _Adam(own.p, rate), 0, 0.0, None
+
+            def step(rows):
+                nonlocal n, total
+                fact = np.unique(rows.fact_id.astype(str), return_inverse=True)[1]
+                loss, grads = info_nce(own, byte_matrix(list(rows.left_text)), byte_matrix(list(rows.right_text)), fact, temperature)
+                adam(grads)
+                n, total = n + len(rows), total + loss * len(rows)
+
+            for rows in batches:
+                rest = rows if rest is None else pd.concat([rest, rows])
+                while len(rest) >= batch:
+                    step(rest[:batch])
+                    rest = rest[batch:]
+            if rest is not None and len(rest):
+                step(rest)
+            if n:
+                flat = np.concatenate([own.p[k].ravel() for k in sorted(own.p)])
+                yield pd.DataFrame({"at": np.arange(len(flat) + 2), "x": np.concatenate([flat * n, [n, total]])})
+
+        order = shuffle_key(key, seed + epoch)
+        dealt = rows.withColumn("_worker", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(workers))).withColumn("_order", order)
+        dealt = dealt.repartition(workers, "_worker").sortWithinPartitions("_order", "fact_id").select("fact_id", "left_text", "right_text")
+        sums = {r["at"]: r["x"] for r in dealt.mapInPandas(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()}  # a row a weight
+        if not sums:
+            break
+        flat = np.array([sums[i] for i in range(len(sums))])
+        n, total, start = flat[-2], flat[-1], 0
+        for k in sorted(model.p):
+            model.p[k] = (flat[start : start + model.p[k].size] / n).reshape(model.p[k].shape)
+            start += model.p[k].size
+        if history is not None:
+            history.append({"epoch": epoch + 1, "loss": total / n, "pairs": int(n)})
     return model

@@ -85,3 +85,61 @@ def teacher(pairs: DataFrame, exact: float = 2.0, digit: float = 1.0) -> DataFra
     rows = rows.select("pair", F.transform("source", lambda s: let(F.transform("target", lambda t: weight(s, t)), spread)).alias("p"))
     rows = rows.select("pair", F.posexplode("p").alias("i", "row"))
     return rows.select("pair", "i", F.posexplode("row").alias("j", "p"))
+
+
+def attention_probs(pairs: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """(pair, i, j, p): a model's attention of each source position over the target's, from token states (source, target: arrays of vectors, padding left out).
+
+    Scores are dot products over the root of the dimension times the temperature; the softmax is taken in the row.
+    """
+    scale = F.sqrt(F.greatest(F.size(F.get("source", F.lit(0))), F.lit(1)).cast("double")) * max(temperature, 1e-6)
+
+    def softmax(z: Column) -> Column:
+        top = F.array_max(z)
+        return let(F.transform(z, lambda x: F.exp(x - top)), lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))
+
+    dot = lambda s, t: F.aggregate(F.zip_with(s, t, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    probs = let(scale, lambda k: F.transform("source", lambda s: let(F.transform("target", lambda t: dot(s, t) / k), softmax)))
+    rows = pairs.filter((F.size("source") > 0) & (F.size("target") > 0)).select("pair", F.posexplode(probs).alias("i", "row"))
+    return rows.select("pair", "i", F.posexplode("row").alias("j", "p"))
+
+
+def anchor_pairs(forms: DataFrame) -> DataFrame:
+    """(fact_id, left_id, right_id, left_text, right_text): the first form of each fact with each of its others. forms: fact_id, form_id, pos, text."""
+    first = forms.groupBy("fact_id").agg(F.min(F.struct("pos", "form_id", "text")).alias("a"))
+    out = forms.join(first, "fact_id").filter(F.struct("pos", "form_id") > F.struct("a.pos", "a.form_id"))
+    return out.select("fact_id", F.col("a.form_id").alias("left_id"), F.col("form_id").alias("right_id"), F.col("a.text").alias("left_text"), F.col("text").alias("right_text"))
+
+
+def attribute_labels(rows: DataFrame, vocabulary: DataFrame, fields: list[str], attrs: str = "attrs") -> DataFrame:
+    """rows with label_<field>: the index of its attribute in the vocabulary, -1 if there is none."""
+    held = vocabulary.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("value", "index"))).alias("m"))
+    held = held.agg(F.map_from_entries(F.collect_list(F.struct("field", "m"))).alias("_vocabulary"))  # the model's classes
+    out = rows.join(F.broadcast(held))
+    label = lambda f: F.coalesce(F.try_element_at(F.try_element_at(F.col("_vocabulary"), F.lit(f)), attribute(F.try_element_at(F.col(attrs), F.lit(f)))), F.lit(-1))
+    return out.select("*", *(label(f).cast("int").alias(f"label_{f}") for f in fields)).drop("_vocabulary")
+
+
+def xval_features(numeric: Column, table: list[list[float]]) -> Column:
+    """Sum over the fields of each field's embedding times its value; absent fields add nothing. table: one embedding a field."""
+    total = F.array(*(F.lit(0.0) for _ in table[0]))
+
+    def added(total: Column, x: Column, row: list[float]) -> Column:
+        return F.zip_with(total, F.array(*(F.lit(float(w)) for w in row)), lambda a, w: a + w * x["value"] * x["present"])
+
+    for f, row in enumerate(table):
+        total = added(total, F.get(numeric, F.lit(f)), row)
+    return total
+
+
+def fused(text: Column, numeric: Column, text_weight: float = 1.0) -> Column:
+    """Unit-length sum of the weighted text vector and the numeric vector."""
+    both = F.zip_with(text, numeric, lambda a, b: a.cast("double") * text_weight + b)
+    norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
+    return let(both, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / n)))
+
+
+def linear(v: Column, weights: list[list[float]], bias: list[float]) -> Column:
+    """A head: one value for each row of weights."""
+    dot = lambda row: F.aggregate(F.zip_with(v, F.array(*(F.lit(float(w)) for w in row)), lambda a, w: a.cast("double") * w), F.lit(0.0), lambda a, x: a + x)
+    return F.array(*(dot(row) + F.lit(float(b)) for row, b in zip(weights, bias, strict=True)))

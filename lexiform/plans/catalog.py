@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiform.plans import base, forms, retrieval, tables
+from lexiform.plans import base, forms, models, retrieval, tables
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    assert forms and retrieval and tables
+    assert forms and models and retrieval and tables
     return dict(base.QUERIES)
 
 

@@ -373,17 +373,19 @@ def metrics_as_json(spark, d):
 
 @query()
 def encoder_forward(spark, d):
-    """Vectors of all part names by the convolutional and the attention encoder (seeded weights)."""
-    p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"))
+    """Vectors of all conversation texts by the convolutional and the attention encoder (seeded weights): their sums, and the norms of both."""
+    p = table(spark, d, "conversations").select("conv_id", "turn", "text")
     out = E.encode(p, E.ConvEncoder()).withColumnRenamed("dense", "conv")
-    return E.encode(out, E.AttentionEncoder()).select("p_partkey", F.size("conv").alias("conv_dim"), F.round(M.dot(F.col("conv"), F.col("conv")), 6).alias("conv_norm"), F.size("dense").alias("attention_dim"), F.round(M.dot(F.col("dense"), F.col("dense")), 6).alias("attention_norm"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
+    out = E.encode(out, E.AttentionEncoder()).select("conv_id", "turn", total("conv").alias("conv_sum"), F.round(M.dot(F.col("conv"), F.col("conv")), 6).alias("conv_norm"), total("dense").alias("attention_sum"), F.round(M.dot(F.col("dense"), F.col("dense")), 6).alias("attention_norm"))
+    return out
 
 
 @query()
 def student_retrieval(spark, d):
     """A student fitted on (brand, type) pairs, then dense first-match ranks of types among brands."""
     forms = C.flatten(part_classes(spark, d)).select("form_id", "fact_id", "notation", "text")
-    model = E.fit_student(P.pairs_of_classes(part_classes(spark, d), "type", "brand"), bound=2000)
+    model = E.fit_student(P.pairs_of_classes(part_classes(spark, d), "type", "brand"))
     enc = lambda n: E.encode(forms.filter(F.col("notation") == n).drop("notation"), model)
     return R.dense_ranks(enc("type").drop("text"), enc("brand").drop("text"))
 
@@ -391,7 +393,7 @@ def student_retrieval(spark, d):
 @query()
 def hard_student_retrieval(spark, d):
     """The same student over hard pools: rank of the positive by dot product, then metrics."""
-    model = E.fit_student(P.pairs_of_classes(part_classes(spark, d), "name", "brand"), bound=2000)
+    model = E.fit_student(P.pairs_of_classes(part_classes(spark, d), "name", "brand"))
     pools = _pools(spark, d)
     texts = pools.select(F.col("query_text").alias("text")).unionByName(pools.select(F.col("cand_text").alias("text"))).distinct()
     vec = E.encode(texts, model)
@@ -439,14 +441,10 @@ def capped_pool(spark, d):
 @query("select event_type, time_bucket(interval '1 day', ts) as start, count(*) as n from events group by 1, 2")
 def streamed_windows(spark, d):
     """Daily counts from a stream over the events, as its last complete result."""
-    import tempfile
-
+    from lexiform.sources.shared import new_path
     from lexiform.streaming.forms import windowed_counts
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexiform-stream-")
-    import uuid
-
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = new_path(spark, "stream")
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     # Watermarks need instants: the table's clock time is read as UTC, whatever the session's zone.
