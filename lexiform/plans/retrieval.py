@@ -14,6 +14,7 @@ from lexiform.operators import ranking as R
 from lexiform.operators import splits as S
 from lexiform.plans.base import CONV_SQL, PART_SQL, conversation_classes, part_classes, query, table
 from lexiform.sources import files
+from lexiform.sources.shared import materialize
 
 
 @query(f"""
@@ -168,11 +169,11 @@ own as (select q.form_id, count(*) filter (where n.place < far.place) as before,
 select q.form_id, coalesce(near.near, far.place + own.size - own.before)::bigint as rank from q left join near using (p_size, p_type) left join far using (p_type) left join own using (form_id)
 """)
 def canonical_ranks(spark, d):
-    forms = C.flatten(part_classes(spark, d)).withColumn("size", S.attr("size")).withColumn("type", S.attr("type"))
+    forms = C.flatten(S.require_attr(part_classes(spark, d), "size")).withColumn("size", S.attr("size")).withColumn("type", S.attr("type"))
     return R.canonical_ranks(forms.filter("notation = 'name'"), forms.filter("notation = 'brand'"), "size", "type")
 
 
-_VEC = "e as (select lpad(vec_id::varchar, 9, '0') as form_id, label::varchar as fact_id, vec_id, embedding from embeddings), q as (select * from e where vec_id % 5 = 0), c as (select * from e)"
+_VEC = "e as (select lpad(vec_id::varchar, 9, '0') as form_id, label::varchar as fact_id, vec_id, embedding from embeddings), q as (select * from e), c as (select * from e)"
 _DENSE = f"""
 {_VEC}, sc as (select q.form_id, q.fact_id, c.form_id as c_form, c.fact_id as c_fact, round(list_dot_product(q.embedding::double[], c.embedding::double[]), 9) as score from q cross join c where q.form_id <> c.form_id),
 rk as (select *, row_number() over (partition by form_id order by score desc, c_form) as place from sc),
@@ -186,22 +187,30 @@ def _vectors(spark, d):
 
 @query(f"with {_DENSE} select form_id, fact_id, rank from ranks")
 def dense_retrieval(spark, d):
-    v = _vectors(spark, d)
-    return R.dense_ranks(v.filter("vec_id % 5 = 0").drop("vec_id"), v.drop("vec_id"))
+    v = _vectors(spark, d).drop("vec_id")
+    return R.dense_ranks(v, v)
 
 
 _MIX = f"""
-{_VEC.replace("embedding from embeddings", "embedding, p_name as text from embeddings join part on p_partkey = vec_id % 100 + 1")}, kf as (select form_id as key, text from e), kt as (select text from q union all select text from c), {_tfidf_sql('kf', 'kt')},
+{_VEC.replace("embedding from embeddings", "embedding, p_name as text from embeddings join part on p_partkey = vec_id % (select max(p_partkey) from part) + 1")}, kf as (select form_id as key, text from e), kt as (select text from q union all select text from c), {_tfidf_sql('kf', 'kt')},
 s as (select a.key as qk, b.key as ck, sum(a.w * b.w) as score from vec a join vec b using (gram) where a.key in (select form_id from q) group by 1, 2),
 sc as (select q.form_id, q.fact_id, c.form_id as c_form, c.fact_id as c_fact, round(0.3 * coalesce(s.score, 0) + 0.7 * list_dot_product(q.embedding::double[], c.embedding::double[]), 9) as score from q cross join c left join s on qk = q.form_id and ck = c.form_id where q.form_id <> c.form_id),
 rk as (select *, row_number() over (partition by form_id order by score desc, c_form) as place from sc)
 """
 
 
+def _named_vectors(spark, d):
+    """Every vector with the name of a part."""
+    p = table(spark, d, "part")
+    v = _vectors(spark, d).join(F.broadcast(p.agg(F.max("p_partkey").alias("_n"))))  # one row
+    named = p.select(F.col("p_partkey").alias("_p"), F.col("p_name").alias("text"))
+    return v.join(named, F.col("vec_id") % F.col("_n") + 1 == F.col("_p")).drop("_p", "_n", "vec_id")
+
+
 @query(f"with {_MIX} select form_id, any_value(fact_id) as fact_id, min(case when c_fact = fact_id then place end) as rank from rk group by form_id")
 def hybrid_retrieval(spark, d):
-    v = _vectors(spark, d).join(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("text")), F.col("vec_id") % 100 + 1 == F.col("p_partkey")).drop("p_partkey")
-    return R.hybrid_ranks(v.filter("vec_id % 5 = 0").drop("vec_id"), v.drop("vec_id"))
+    v = _named_vectors(spark, d)
+    return R.hybrid_ranks(v, v)
 
 
 _HARD = f"""
@@ -231,11 +240,9 @@ canon as (select form_id, 1 as rank from q)
 select 'hybrid' as method, {_EVAL} from ranks union all select 'dense', {_EVAL} from dense union all select 'char_ngram', {_EVAL} from lex union all select 'canonical', {_EVAL} from canon
 """)
 def method_comparison(spark, d):
-    v = _vectors(spark, d).join(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("text")), F.col("vec_id") % 100 + 1 == F.col("p_partkey")).drop("p_partkey")
-    q, c = v.filter("vec_id % 5 = 0").drop("vec_id"), v.drop("vec_id")
-    w = R.idf([q, c])
-    vec = lambda x: x.join(R.tfidf(x, w, "form_id"), "form_id")
-    q, c = vec(q).persist(), vec(c).persist()
+    v = _named_vectors(spark, d)
+    v = materialize(v.join(R.tfidf(v, R.idf([v, v]), "form_id"), "form_id"), "vectors")
+    q, c = v, R.fresh(v)
     named = lambda n, ranks: M.evaluate(ranks).select(F.lit(n).alias("method"), "*")
     out = named("char_ngram", R.first_match_ranks(q, c, 0.0)).unionByName(named("dense", R.first_match_ranks(q, c, 1.0))).unionByName(named("hybrid", R.first_match_ranks(q, c, 0.7)))
     return out.unionByName(named("canonical", R.canonical_ranks(q, c, "fact_id", "fact_id")))

@@ -10,6 +10,7 @@ from lexiform.operators import classes as C
 from lexiform.operators import encoders as E
 from lexiform.operators import features as X
 from lexiform.operators import metrics as M
+from lexiform.operators import ranking as R
 from lexiform.operators import splits as S
 
 
@@ -162,6 +163,22 @@ def test_linear_sums_equal_pairs(spark):
         M.invariance(df.filter("fact_id = '0'"), strict=True)
 
 
+def test_canonical_ranks_match_a_sort_of_the_pool(spark):
+    rng = np.random.default_rng(9)
+    cands = [(f"c{i:03d}", rng.choice(["hot", "hot", "a", "b", None]), str(rng.integers(0, 12))) for i in rng.permutation(160)]
+    queries = [(f"q{i:02d}", rng.choice(["hot", "a", "b", "none", None]), str(rng.integers(0, 14))) for i in range(60)]
+    want = {}
+    for f, k, r in queries:
+        order = sorted(cands, key=lambda c: (not (k is not None and c[1] == k), c[0]))
+        want[f] = next((n for n, c in enumerate(order, 1) if c[2] == r), None)
+    frame = lambda rows: spark.createDataFrame([tuple(None if x is None else str(x) for x in r) for r in rows], "form_id string, k string, r string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r.form_id: r["rank"] for r in R.canonical_ranks(frame(queries), frame(cands), "k", "r").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_checks_of_input(spark):
     classes = spark.createDataFrame([("f", [("a", "n")])], "fact_id string, forms array<struct<text:string,notation:string>>")
     assert C.validate(classes) is classes and C.as_forms(classes).count() == 1 and C.as_forms(C.as_forms(classes)).count() == 1
