@@ -14,11 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiform.llm import decontaminate, exact_dedup, ngram_join, prefix_bpe, toxicity
-from lexiform.llm.common import materialize, table
+from lexiform.llm.common import discard, materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -40,6 +39,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -56,7 +57,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows: doc_id with token counts and digests, without the texts. A stage's table is deleted when the next one has been written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
