@@ -356,9 +356,9 @@ def attribute_loss(spark, d):
     return L.attribute_loss(e).select(F.round("loss", 9).alias("loss"), F.round("accuracy", 9).alias("accuracy"))
 
 
-@query("select round((avg((l_discount - l_tax)**2) + avg((0.05 - l_tax)**2) + avg((l_discount - 0.05)**2)) / 3, 9) as loss, round((avg(abs(l_discount - l_tax)) + avg(abs(0.05 - l_tax))) / 2, 9) as mae from lineitem")
+@query("select round((avg((l_discount - l_tax)**2) + avg((l_quantity / 1000 - l_tax)**2) + avg((l_discount - l_quantity / 1000)**2)) / 3, 9) as loss, round((avg(abs(l_discount - l_tax)) + avg(abs(l_quantity / 1000 - l_tax))) / 2, 9) as mae from lineitem where l_linenumber % 3 <> 0")
 def numeric_consistency_loss(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_discount").alias("l"), F.lit(0.05).alias("r"), F.col("l_tax").alias("value"), F.lit(1).alias("present"))
+    rows = table(spark, d, "lineitem").select(F.col("l_discount").alias("l"), (F.col("l_quantity") / 1000).alias("r"), F.col("l_tax").alias("value"), F.when(F.col("l_linenumber") % 3 == 0, 0).otherwise(1).alias("present"))
     return L.numeric_consistency(rows).select(F.round("loss", 9).alias("loss"), F.round("mae", 9).alias("mae"))
 
 
