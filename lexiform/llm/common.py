@@ -35,11 +35,11 @@ def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
 
 
 def iterator_udf(f, kind: str):
-    """A Pandas UDF from a function over an iterator of series; the hints are set here so that pandas is imported on use only."""
-    import pandas as pd
+    """An Arrow UDF from a function over an iterator of arrays; the hints are set here so that pyarrow is imported on use only."""
+    import pyarrow as pa
 
-    f.__annotations__ = {f.__code__.co_varnames[0]: Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(f, kind)
+    f.__annotations__ = {f.__code__.co_varnames[0]: Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(f, kind)
 
 
 def let(value: Column, use) -> Column:

@@ -299,13 +299,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_col: str = "it
     indexes = _indexes(docs, benchmark, item_col, text_col)
 
     def clean(texts):
-        import pandas as pd
         import pyarrow as pa
 
-        for held in _gathered(texts, lambda t: sum(map(len, t.dropna())), len(indexes) > 1):
-            found = _overlaps([pa.array(t, pa.string(), from_pandas=True) for t in held], indexes)
+        for held in _gathered(texts, lambda t: t.nbytes, len(indexes) > 1):
+            found = _overlaps(held, indexes)
             for t in held:
-                yield pd.Series([not x for x in found[: len(t)]], dtype=bool)
+                yield pa.array([not x for x in found[: len(t)]], pa.bool_())
                 found = found[len(t) :]
 
     return docs.filter(iterator_udf(clean, "boolean")(F.col("text").cast("string")))

@@ -172,11 +172,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
     held = spark.sparkContext.broadcast(train(docs, labels))
 
     def score(texts):
-        import pandas as pd
         import pyarrow as pa
 
         for text in texts:
-            found = [score_block(block, held.value)[0] for _, block in blocks(pa.array(text, pa.string(), from_pandas=True))]
-            yield pd.Series(np.concatenate([*found, np.zeros(0)]))
+            yield pa.array(np.concatenate([*(score_block(block, held.value)[0] for _, block in blocks(text)), np.zeros(0)]))
 
     return docs.filter(iterator_udf(score, "double")(F.col("text").cast("string")) < threshold)

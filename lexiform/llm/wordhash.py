@@ -71,8 +71,12 @@ def blocks(column, size: int = BLOCK) -> Iterator[tuple[int, Block]]:
 
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    off = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    if column.null_count:
+        column = column.fill_null("")
+    if not len(column):
+        return
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    off = np.frombuffer(column.buffers()[1], kind, len(column) + 1, column.offset * np.dtype(kind).itemsize).astype(np.int64)
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None and len(data) else np.zeros(0, np.uint8)
     first = 0
