@@ -377,6 +377,8 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     named = materialize(named.select("sid", "class_id", "copies", F.coalesce("label", "sid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
     least = materialize(named.groupBy("label").agg(F.min("class_id").alias("component_id"), F.count("*").alias("classes")), "least")
     named = materialize(join_stats(named, least, "label", "classes").select("sid", "copies", "class_id", "component_id", "n_links"), "named")
+    for written in (classes, sets, sizes, posts, members, inside, links, least):
+        discard(written)
     # A set may have a third of all rows as copies, a component a third of all sets.
     joined = join_stats(some.select("doc_id", F.col("n").alias("n_shingles"), "sid"), named, "sid", "copies").select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
     alone = rows.filter("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
