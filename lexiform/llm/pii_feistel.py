@@ -80,7 +80,7 @@ def phone(text: str, key: bytes) -> str | None:
     code = re.match(r"\+([0-9]{1,3})(?![0-9])", text)
     keep = len(code[1]) if code else 0
     n = len(digits) - keep
-    if not 7 <= n <= 12 or not 9 <= len(digits) <= 15:
+    if not 7 <= n <= 15 or not 9 <= len(digits) <= 15:
         return None
     first = lambda v: f"{v:0{n}d}"[0] > "1"
     value = int(digits[keep:])
@@ -165,7 +165,7 @@ KINDS: list[tuple[str, re.Pattern, Callable[[str, bytes], str | None]]] = [
     ("date", re.compile(r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9])|[-/][0-9])"), date),
     ("ssn", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"), ssn),
     ("card", re.compile(r"(?<![0-9A-Za-z+])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1(?:[0-9]{4}\1[0-9]{1,3}|[0-9]{1,4})|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])"), card),
-    ("phone", re.compile(r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-][0-9]{1,4}){2,6}(?![0-9A-Za-z]|[ .-][0-9])|(?<![0-9A-Za-z.,-])0[1-9](?:([ .-])[0-9]{2})(?:\1[0-9]{2}){3}(?![0-9A-Za-z]|[.,-][0-9])|(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{9,15}(?![0-9A-Za-z])"), phone),
+    ("phone", re.compile(r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?([ .-])[0-9]{1,4}(?:\1[0-9]{1,4}){1,5}(?![0-9A-Za-z]|\.[0-9])|(?<![0-9A-Za-z.,-])0[1-9](?:([ .-])[0-9]{2})(?:\2[0-9]{2}){3}(?![0-9A-Za-z]|[.,-][0-9])|(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{9,15}(?![0-9A-Za-z])"), phone),
 ]
 _TOKEN = re.compile("[0-9A-Za-z]+")
 _ANY = re.compile(r"[0-9@]")
