@@ -380,11 +380,11 @@ def metrics_as_json(spark, d):
 
 @query()
 def encoder_forward(spark, d):
-    """Vectors of all conversation texts by the convolutional and the attention encoder (seeded weights): their sums, and the norms of both."""
+    """Vectors of all conversation texts (48 bytes of each) by the convolutional and the attention encoder (seeded weights): their sums, and the norms of both."""
     p = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    out = E.encode(p, E.ConvEncoder()).withColumnRenamed("dense", "conv")
+    out = E.encode(p, E.ConvEncoder(), 48).withColumnRenamed("dense", "conv")
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
-    out = E.encode(out, E.AttentionEncoder()).select("conv_id", "turn", total("conv").alias("conv_sum"), F.round(M.dot(F.col("conv"), F.col("conv")), 6).alias("conv_norm"), total("dense").alias("attention_sum"), F.round(M.dot(F.col("dense"), F.col("dense")), 6).alias("attention_norm"))
+    out = E.encode(out, E.AttentionEncoder(), 48).select("conv_id", "turn", total("conv").alias("conv_sum"), F.round(M.dot(F.col("conv"), F.col("conv")), 6).alias("conv_norm"), total("dense").alias("attention_sum"), F.round(M.dot(F.col("dense"), F.col("dense")), 6).alias("attention_norm"))
     return out
 
 
