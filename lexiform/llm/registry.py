@@ -75,6 +75,19 @@ def op10_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiform.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose vec_id is divisible by 20."""
+    from lexiform.llm.additive_ann import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 PROBE = r"\### Assistant: </turn> ok"
 OP8_SQL = r"""
 with rows as (
@@ -96,6 +109,24 @@ g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t
 select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d.t) as text_sha256
 from d join g on d.t = g.t
 """
+OP11_SQL = r"""
+with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+f as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws, min(doc_id) over (partition by t) as least from w),
+b as (
+  select part, (len(ws) < 200)::int + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > least, false)::int as m,
+    doc_id in (select doc_id from labels where quality = 1 and doc_id is not null) as good, doc_id in (select doc_id from labels where toxic = 1 and doc_id is not null) as toxic from f),
+c as (select part, m, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from b group by 1, 2),
+l(l, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o as (select v.l || w.l || x.l || y.l || z.l as filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] as bits from l v, l w, l x, l y, l z where v.bit | w.bit | x.bit | y.bit | z.bit = 31),
+s as (select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from o, range(1, 6) r(step)),
+r as (
+  select part, filter_order, step, bit, sum(n) filter (where m & (before | bit) = 0) as kept, sum(n) filter (where m & bit <> 0 and m & before = 0) as removed, sum(n) filter (where m & bit <> 0 and m & before <> 0) as redundant,
+    sum(n) filter (where m = bit) as unique_fails, sum(good) filter (where m & bit <> 0 and m & before = 0) as good_lost, sum(toxic) filter (where m & bit <> 0 and m & before = 0) as toxic_lost
+  from c, s group by 1, 2, 3, 4)
+select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+  coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost, coalesce(sum(removed) over (partition by part, bit), 0)::bigint as shapley from r
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -110,9 +141,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_chat_fingerprints,
         op9_feistel_pseudonyms,
         op10_bloom_exact_dedup,
+        op11_filter_audit,
+        op13_additive_ann,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_fingerprints": OP8_SQL, "op10_bloom_exact_dedup": OP10_SQL}
+    return {"op8_chat_fingerprints": OP8_SQL, "op10_bloom_exact_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL}
