@@ -81,6 +81,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lexiform.llm.token_alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries are the rows whose vec_id is divisible by 20."""
     from lexiform.llm.additive_ann import neighbours
@@ -142,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_feistel_pseudonyms,
         op10_bloom_exact_dedup,
         op11_filter_audit,
+        op12_token_alignment,
         op13_additive_ann,
     ]
     return {f.__name__: f for f in found}
