@@ -2,18 +2,20 @@
 
 Two tokenizers cut the same bytes. Tokens are exploded with their places, windows sum
 their lengths to ends, and an equi-join on (text, end) finds the offsets where both cut; running
-counts of these cuts number the groups of tokens that cover the same bytes. The join keeps the rows
-of either side without a partner, so that its rows are the byte ranges between neighbouring ends of any
+counts of these cuts number the groups of tokens that cover the same bytes. Rows of either side without
+a partner stay, so the joined rows are the byte ranges between neighbouring ends of any
 kind. Each of them lies in exactly one token of either side, and two overlapping tokens share exactly one
 of them: with the next token of both sides filled in, the rows are the links.
 
 Both tokenizers work on words alone where the vocabularies prove it (``Tokenizers.by_words``): the pattern of
 the first one ends a match before a space between two other characters, and no piece of the second
-one holds such a space behind its first character. So texts are taken apart there, and each distinct segment of
-the corpus is tokenized and aligned once. Vocabularies that do not prove it leave texts whole; nothing else changes.
+one holds such a space behind its first character. So texts are taken apart there. Documents travel in chunks of
+bounded size, as codes of their segments; the distinct segments of a chunk, joined by spaces, are one text, which is
+tokenized and aligned once. Segments that start or end with white space or fail are texts of their own.
+Vocabularies that do not prove it leave texts whole; nothing else changes.
 
-Documents travel in chunks of bounded size, each with a dictionary of its segments: a segment is asked for once
-a chunk, so no frequent one is a hot key, and documents are put together again from codes.
+A chunk sends each of its id pairs once, with the number of its documents, so no frequent pair is a
+hot key; the corpus-wide counts come back the same way.
 
 Defined cases: null and empty texts, and texts whose joined token bytes differ from a space and the text, have
 no tokens: zeros and an empty digest column, and they do not count as documents of a pair; rows and ids may
@@ -26,19 +28,37 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import discard, join_stats, materialize
+from lexiform.llm.common import discard, materialize
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-#: A space between two characters that are no white space.
-BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+CHUNKS = "chunk long, doc_ids array<long>, sizes binary, codes binary, lengths binary, a array<array<int>>, b array<array<int>>"
+PASSED = "chunk long, doc_ids array<long>, figures binary, digests array<string>, sizes binary, codes binary, bad binary, n_links binary, links binary, pairs array<long>, documents array<long>"
+#: A space between two characters that are no white space, and one beside white space.
+BETWEEN, BESIDE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s")
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes."""
+    import pyarrow as pa
+
+    raw = np.ascontiguousarray(x).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind=np.int32) -> np.ndarray:
+    import pyarrow as pa
+
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
 def byte_of_char() -> dict[str, int]:
@@ -49,7 +69,7 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers from the bytes of their files, and the bytes of every entry. ``a(texts)`` has a space put before each text, ``b`` adds its own."""
+    """Both tokenizers from the bytes of their files, and the bytes of every entry. The first has a space put before each text, the second adds its own."""
 
     def __init__(self, a_file: bytes, b_file: bytes):
         import sentencepiece
@@ -72,54 +92,69 @@ class Tokenizers:
 
     def segments(self, text: str) -> list[str]:
         """What stands between the spaces at which both always cut; joined by a space they are the text."""
-        return BETWEEN.split(text) if self.by_words else [text]
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides; none where either side's bytes are not a space and the text."""
-        a = [x.ids for x in self._a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        b = self._b.encode(texts, num_threads=1)
-        whole = lambda ids, table, want: b"".join(map(table.__getitem__, ids)) == want
-        for i, t in enumerate(texts):
-            want = (" " + t).encode()
-            if not t or not (whole(a[i], self.a_bytes, want) and whole(b[i], self.b_bytes, want)):
-                a[i], b[i] = [], []
-        return a, b
+        if not self.by_words:
+            return [text]
+        plain = text[0] != " " and text[-1] != " " and not BESIDE.search(text)
+        return text.split(" ") if plain else BETWEEN.split(text)
+
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of both sides; none if either side's bytes are not a space and the text."""
+        a, b, want = self._a.encode(" " + text, add_special_tokens=False).ids, self._b.encode(text), (" " + text).encode()
+        whole = lambda ids, table: b"".join(map(table.__getitem__, ids)) == want
+        return (a, b) if text and whole(a, self.a_bytes) and whole(b, self.b_bytes) else ([], [])
+
+    def units(self, words: list[str]) -> tuple[list[int], list[str], list[tuple[list[int], list[int]]]]:
+        """(order, joined words, ids by unit): words in an order in which the joined ones come first; unit 0 is their text, each other word is a unit."""
+        odd = [not self.by_words or not w or w[0].isspace() or w[-1].isspace() or "▁" in w for w in words]
+        order = [i for i, x in enumerate(odd) if not x]
+        joined = self.encode(" ".join([words[i] for i in order]))
+        if order and not joined[0]:  # some word fails: find it
+            odd = [x or not self.encode(w)[0] for x, w in zip(odd, words, strict=True)]
+            order = [i for i, x in enumerate(odd) if not x]
+            joined = self.encode(" ".join([words[i] for i in order]))
+        rest = [i for i, x in enumerate(odd) if x]
+        return order + rest, len(order), [joined, *(self.encode(words[i]) for i in rest)]
 
 
 def _tokenizers(files, held: dict = {}) -> Tokenizers:  # noqa: B006
     """A worker's tokenizers outlive the task. files: a broadcast of both files."""
-    a, b = files.value
-    key = hashlib.sha256(a + b).digest() if held.get("files") is not files.value else held["key"]
+    content = files.value
+    key = tuple(hashlib.sha256(x).digest() for x in content)
     if held.get("key") != key:
-        held.update(key=key, both=Tokenizers(a, b))
-    held["files"] = files.value
+        held.update(key=key, both=Tokenizers(*content))
     return held["both"]
 
 
 def chunked(docs: DataFrame, files, size: int = CHUNK) -> DataFrame:
-    """(chunk, doc_ids, sizes, codes, words): documents in chunks; sizes are their numbers of segments, codes (32-bit) their segments' places in words."""
+    """Documents in chunks (CHUNKS): sizes are their numbers of segments, codes the segments' places in the chunk's order, lengths the segments' bytes
+    in that order (their sign tells units apart: a segment of its own counts negative), a and b the token ids by unit."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        both = _tokenizers(files)
-        first, ids, sizes, codes, words, held = None, [], [], [], {}, 0
+        both, lists = _tokenizers(files), pa.list_(pa.list_(pa.int32()))
+        first, ids, sizes, codes, words, held = None, [], [], [], defaultdict(count().__next__), 0
 
         def sent():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([np.array(codes, np.int32).tobytes()], pa.binary()), pa.array([list(words)], pa.list_(pa.string()))],
-                ["chunk", "doc_ids", "sizes", "codes", "words"],
-            )
+            names = list(words)
+            order, n_joined, ids_of = both.units(names)
+            place = np.zeros(len(names), np.int32)
+            place[order] = np.arange(len(names), dtype=np.int32)
+            lengths = np.array([len(names[i].encode()) + 1 for i in order], np.int32)
+            lengths[n_joined:] *= -1
+            own = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+            row = [pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([packed(np.array(sizes, np.int32))]), pa.array([packed(place[own])]), pa.array([packed(lengths)])]
+            return pa.RecordBatch.from_arrays([*row, *(pa.array([[x[k] for x in ids_of]], lists) for k in (0, 1))], ["chunk", "doc_ids", "sizes", "codes", "lengths", "a", "b"])
 
         for batch in batches:
             for rid, doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = value.as_py() or ""
                 if first is not None and held + len(text) > size:
                     yield sent()
-                    first, ids, sizes, codes, words, held = None, [], [], [], {}, 0
+                    first, ids, sizes, codes, words, held = None, [], [], [], defaultdict(count().__next__), 0
                 first = rid if first is None else first
                 own = both.segments(text) if text else []
-                codes += [words.setdefault(w, len(words)) for w in own]
+                codes.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
                 ids.append(doc_id)
                 sizes.append(len(own))
                 held += len(text)
@@ -127,121 +162,137 @@ def chunked(docs: DataFrame, files, size: int = CHUNK) -> DataFrame:
             yield sent()
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "chunk long, doc_ids array<long>, sizes array<int>, codes binary, words array<string>")
+    return rows.mapInArrow(run, CHUNKS)
 
 
-def tokens(segments: DataFrame, files) -> DataFrame:
-    """(sid, a, b): token ids of each segment by both tokenizers. segments: sid, segment."""
+def ends(texts: DataFrame, side: str, lengths: DataFrame) -> DataFrame:
+    """(chunk, unit, end, <side>): every token of one side with the offset where it ends. texts: chunk and ids by unit; lengths: id, len of the whole vocabulary."""
+    units = texts.select("chunk", F.posexplode(side).alias("unit", "ids"))
+    placed = units.select("chunk", "unit", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(lengths), "id")
+    w = Window.partitionBy("chunk", "unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.select("chunk", "unit", F.sum("len").over(w).alias("end"), F.col("id").alias(side))
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        both, ints = _tokenizers(files), pa.list_(pa.int32())
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                a, b = both.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a, ints), pa.array(b, ints)], ["sid", "a", "b"])
+def aligned(chunks: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame, partitions: int) -> DataFrame:
+    """(chunk, unit, end, a, b, group, a_over, b_over): the tokens that end at each offset, the number of cuts before it, and the tokens that lie over the bytes up to it.
 
-    return segments.select("sid", "segment").mapInArrow(run, "sid long, a array<int>, b array<int>")
+    All of it works by chunk, on one partitioning. The full join is stated as the left rows with their partners
+    and the right rows without one, which keeps that partitioning.
+    """
+    by, key = lambda c: chunks.select("chunk", c).repartition(partitions, "chunk"), ["chunk", "unit", "end"]
+    left, right = ends(by("a"), "a", a_lengths), ends(by("b"), "b", b_lengths)
+    alone = right.join(left.select(*key), key, "left_anti").select(*key, F.lit(None).cast("int").alias("a"), "b")
+    merged = left.join(right, key, "left").select(*key, "a", "b").unionAll(alone)
+    text = Window.partitionBy("chunk", "unit")
+    over = lambda c: F.last(c, ignorenulls=True).over(text.orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0))
+    cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
+    before = F.coalesce(F.sum(cut).over(text.orderBy("end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return merged.withColumn("a_over", over("a")).withColumn("b_over", over("b")).withColumn("group", before)
 
 
-def ends(rows: DataFrame, side: str, lengths: DataFrame) -> DataFrame:
-    """(sid, end, <side>): every token of one side with the offset where it ends. lengths: id, len of the whole vocabulary."""
-    placed = rows.select("sid", F.posexplode(side).alias("pos", "id")).join(F.broadcast(lengths), "id")
-    w = Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.select("sid", F.sum("len").over(w).alias("end"), F.col("id").alias(side))
+def pair(a: Column, b: Column) -> Column:
+    """An id pair as one number."""
+    return F.shiftleft(a.cast("bigint"), 32).bitwiseOR(b.cast("bigint"))
 
 
-def aligned(rows: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame) -> DataFrame:
-    """(sid, end, a, b, group, a_over, b_over): the tokens that end at each offset, the number of cuts before it, and the tokens that lie over the bytes up to it."""
-    merged = ends(rows, "a", a_lengths).join(ends(rows, "b", b_lengths), ["sid", "end"], "full")
-    by_end, back = Window.partitionBy("sid").orderBy("end"), Window.partitionBy("sid").orderBy(F.desc("end"))
-    cuts = F.coalesce(F.sum(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(by_end.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    over = lambda c: F.last(c, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    return merged.withColumn("group", cuts).withColumn("a_over", over("a")).withColumn("b_over", over("b"))
+def _of_segments(table, lengths: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], list[bytes], np.ndarray]:
+    """From a chunk's aligned rows: links (id pairs) by segment, the segments' figures, their groups as text, and the links' number by segment."""
+    joined, n = lengths[lengths > 0], len(lengths)
+    unit, end = table.column("unit").to_numpy(), table.column("end").to_numpy()
+    order = np.lexsort((end, unit))
+    unit, end = unit[order], end[order]
+    seg = np.where(unit == 0, np.searchsorted(np.cumsum(joined), end), len(joined) + unit - 1)
+    numbers = {c: table.column(c).fill_null(-1).to_numpy()[order] for c in ("a", "b", "group", "links")}
+    a, b = numbers["a"], numbers["b"]
+    figures = {"n_a": a >= 0, "n_b": b >= 0, "n_groups": (a >= 0) & (b >= 0), "n_links": np.ones(len(a), bool)}
+    figures = {k: np.bincount(seg[v], minlength=n) for k, v in figures.items()}
+    # A group's rows follow each other: its ids of either side, then the groups of a segment.
+    start = np.flatnonzero(np.diff(numbers["group"], prepend=-1) | np.diff(unit, prepend=-1))
+    a_said, b_said = ([str(x) if x >= 0 else "" for x in side.tolist()] for side in (a, b))
+    edges = [*start.tolist(), len(a)]
+    said = [f"{a_said[i]}|{b_said[i]}" if j == i + 1 else ",".join(filter(None, a_said[i:j])) + "|" + ",".join(filter(None, b_said[i:j])) for i, j in zip(edges, edges[1:], strict=False)]
+    first = np.searchsorted(seg[start], np.arange(n + 1)).tolist()
+    return numbers["links"], figures, [";".join(said[i:j]).encode() for i, j in zip(first, first[1:], strict=False)], figures["n_links"]
 
 
-def pair(a: Column, b: Column) -> Column:
-    """An id pair as one number."""
-    return F.shiftleft(a.cast("bigint"), 32).bitwiseOR(b.cast("bigint"))
+def _named(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns of new identity, so that two frames of one origin can be grouped together."""
+    return df.select(*(F.col(c).alias(c) for c in columns))
+
+
+FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
 
 
-def by_segment(rows: DataFrame) -> DataFrame:
-    """(sid, n_a, n_b, n_groups, groups, links) of aligned rows: groups as text, links as id pairs."""
-    ids = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).alias("id"))))), lambda x: x["id"].cast("string")), ",")
-    groups = rows.groupBy("sid", "group").agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("said"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.collect_list(pair(F.col("a_over"), F.col("b_over"))).alias("links"))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "said"))), lambda x: x["said"]), ";")
-    return groups.groupBy("sid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), said.alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
+def _by_document(doc_first: np.ndarray, codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(own[codes], dtype=np.int64)])
+    return total[doc_first[1:]] - total[doc_first[:-1]]
 
 
-def document_pairs(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """(pair, n): in how many documents of each chunk a pair is linked. asked: chunk, at, links of each segment of a chunk (null: no tokens)."""
+def composed(chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """A row a chunk (PASSED): its documents' figures and digests, and its id pairs with the number of its documents that hold them linked."""
 
     def run(left, right):
         import pyarrow as pa
 
-        out = {"pair": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
-        for codes, doc, bad in _documents(left, right, "links"):
-            order = np.argsort(right.column("at").to_numpy())
-            links = right.column("links").combine_chunks().take(pa.array(order))
-            start, flat = links.value_lengths().fill_null(0).to_numpy(), links.flatten().to_numpy()
-            known, flat = np.unique(flat, return_inverse=True)  # pairs of this chunk by number
-            at = np.concatenate([[0], np.cumsum(start)])
-            held = np.unique(doc[~bad[doc]] * len(order) + codes[~bad[doc]])  # distinct segments of each document
-            d, s = held // len(order), held % len(order)
-            n = start[s]
-            place = np.repeat(at[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            both = np.unique(np.repeat(d, n) * max(len(known), 1) + flat[place])
-            times = np.bincount(both % max(len(known), 1), minlength=len(known))
-            out = {"pair": known[times > 0], "n": times[times > 0]}
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
-
-    sent = chunks.select("chunk", "doc_ids", "sizes", "codes").groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, "pair long, n long")
-    return sent.groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def _documents(left, right, need: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The chunk's codes, the document of each code, and for each document whether it has no tokens."""
-    if not left.num_rows:
-        return
-    codes = np.frombuffer(left.column("codes")[0].as_py(), np.int32).astype(np.int64)
-    sizes = left.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    lost = np.ones(right.num_rows, bool)
-    lost[right.column("at").to_numpy()] = right.column(need).is_null().to_numpy(zero_copy_only=False)
-    bad = sizes == 0
-    bad[doc[lost[codes]]] = True
-    yield codes, doc, bad
-
-
-SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-
-
-def documents(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """The result's rows: sums over the segments of each document, and the digest of their groups in order. asked: chunk, at, the sums and groups of each segment."""
+        out = {}
+        if left.num_rows:
+            codes, sizes, lengths = (unpacked(left.column(c)[0].as_py()) for c in ("codes", "sizes", "lengths"))
+            links, figures, said, n_links = _of_segments(right, lengths)
+            first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            bad = sizes == 0
+            bad[doc[figures["n_a"][codes] == 0]] = True
+            table = np.stack([np.where(bad, 0, _by_document(first, codes, figures[c])) for c in FIGURES])
+            digests = ["" if bad[i] else hashlib.sha256(b";".join([said[k] for k in codes[first[i] : first[i + 1]].tolist()])).hexdigest() for i in range(len(sizes))]
+            pairs, place = np.unique(links, return_inverse=True)
+            # Distinct segments of each document, then distinct pairs, one document after the other in blocks.
+            times, at = np.zeros(len(pairs), np.int64), np.concatenate([[0], np.cumsum(n_links)])
+            good = ~bad[doc]
+            held = np.unique(doc[good] * len(lengths) + codes[good])
+            d, s = held // max(len(lengths), 1), held % max(len(lengths), 1)
+            for i in range(0, len(d), 1 << 20):
+                # A block ends where a document does.
+                lo, hi = (np.searchsorted(d, d[x]) if x < len(d) else len(d) for x in (i, i + (1 << 20)))
+                n = n_links[s[lo:hi]]
+                spot = np.repeat(at[s[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.unique(np.repeat(d[lo:hi], n) * len(pairs) + place[spot])
+                times += np.bincount(both % max(len(pairs), 1), minlength=len(pairs))
+            row = [left.column("chunk"), left.column("doc_ids"), [packed(table)], [digests], [packed(sizes)], [packed(codes)], [packed(bad)], [packed(n_links.astype(np.int32))], [packed(place.astype(np.int32))], [pairs], [times]]
+            out = dict(zip(names, row, strict=True))
+        return pa.table({k: pa.array(out.get(k, []), t) if isinstance(out.get(k, []), list) else out[k].cast(t) for k, t in kinds.items()})
+
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in PASSED.split(", ")]
+    of = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    kinds = {x.split()[0]: of[x.split()[1]] for x in PASSED.split(", ")}
+    told = rows.select("chunk", "unit", "end", "a", "b", "group", pair(F.col("a_over"), F.col("b_over")).alias("links"))
+    return _named(chunks, "chunk", "doc_ids", "sizes", "codes", "lengths").groupBy("chunk").cogroup(_named(told, *told.columns).groupBy("chunk")).applyInArrow(run, PASSED)
+
+
+def finished(passed: DataFrame, counts: DataFrame) -> DataFrame:
+    """The result's rows. counts: chunk, at (the pair's place in its chunk), n (its documents corpus-wide), is_best."""
 
     def run(left, right):
         import pyarrow as pa
 
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        out = {c: pa.array([], pa.string() if c == "groups_sha256" else pa.int64()) for c in names}
-        for codes, doc, bad in _documents(left, right, "groups"):
-            at = right.column("at").to_numpy()
-            said = np.empty(right.num_rows, object)
-            said[at] = [(x or "").encode() for x in right.column("groups").to_pylist()]
-            out["doc_id"] = left.column("doc_ids").combine_chunks().flatten()
-            for c in SUMS:
-                own = np.zeros(right.num_rows, np.int64)
-                own[at] = right.column(c).fill_null(0).to_numpy()
-                total = np.concatenate([[0], np.cumsum(own[codes])])
-                first = np.searchsorted(doc, np.arange(len(bad) + 1))
-                out[c] = pa.array(np.where(bad, 0, total[first[1:]] - total[first[:-1]]))
-            out["groups_sha256"] = pa.array(["" if bad[i] else hashlib.sha256(b";".join(said[codes[first[i] : first[i + 1]]].tolist())).hexdigest() for i in range(len(bad))], pa.string())
-        return pa.table(out).select(names)
-
-    held = chunks.select("chunk", "doc_ids", "sizes", "codes")
-    return held.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, SCHEMA)
+        out = [pa.array([], pa.string() if c == "groups_sha256" else pa.int64()) for c in names]
+        if left.num_rows:
+            codes, sizes, n_links, links = (unpacked(left.column(c)[0].as_py()) for c in ("codes", "sizes", "n_links", "links"))
+            bad = unpacked(left.column("bad")[0].as_py(), bool)
+            first, starts = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (sizes, n_links))
+            figures = unpacked(left.column("figures")[0].as_py(), np.int64).reshape(len(FIGURES), -1)
+            out = [left.column("doc_ids").combine_chunks().flatten(), *map(pa.array, figures)]
+            for c in ("is_best", "n"):
+                own = np.zeros(len(left.column("pairs")[0]), np.int64)
+                own[right.column("at").to_numpy()] = right.column(c).to_numpy()
+                total = np.concatenate([[0], np.cumsum(own[links])])
+                out.append(pa.array(np.where(bad, 0, _by_document(first, codes, total[starts[1:]] - total[starts[:-1]]))))
+            out.append(left.column("digests").combine_chunks().flatten())
+        return pa.Table.from_arrays(out, names)
+
+    return _named(passed, *(c for c in passed.columns if c != "documents")).groupBy("chunk").cogroup(_named(counts, *counts.columns).groupBy("chunk")).applyInArrow(run, SCHEMA)
 
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -253,18 +304,11 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     a_lengths, b_lengths = (spark.createDataFrame([(i, len(x)) for i, x in enumerate(side)], "id int, len int") for side in (both.a_bytes, both.b_bytes))
 
     chunks = materialize(chunked(docs, files), "chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("at", "segment"))
-    segments = materialize(words.select("segment").distinct().withColumn("sid", F.monotonically_increasing_id()), "segments")
-    ids = materialize(tokens(segments, files), "tokens")
-    found = materialize(by_segment(aligned(ids, a_lengths, b_lengths)), "aligned")
-    asked = materialize(words.join(segments, "segment").select("chunk", "at", "sid"), "asked")
-
-    counts = document_pairs(chunks, asked.join(found.select("sid", "links"), "sid", "left").select("chunk", "at", "links"))
-    of_segment = found.select("sid", F.explode("links").alias("pair"))
-    times = of_segment.groupBy("pair").agg(F.count("*").alias("times"))
-    counts = materialize(times.join(counts, "pair", "left").select("pair", "times", F.coalesce("n", F.lit(0)).alias("n"), F.shiftright("pair", 32).alias("a")), "pairs")
-    best = counts.groupBy("a").agg(F.max("n").alias("most"))  # an A id a row: at most the vocabulary
-    counts = materialize(counts.join(F.broadcast(best), "a").select("pair", "times", "n", (F.col("n") == F.col("most")).cast("int").alias("is_best")), "pair-counts")
-    sums = join_stats(of_segment, counts, "pair", "times").groupBy("sid").agg(F.count("*").alias("n_links"), F.sum("is_best").alias("n_best"), F.sum("n").alias("count_sum"))
-    told = materialize(found.drop("links").join(sums, "sid"), "told")
-    return documents(chunks, asked.join(told, "sid", "left").select("chunk", "at", "groups", *SUMS))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count())
+    passed = materialize(composed(chunks, aligned(chunks, a_lengths, b_lengths, partitions)), "composed")
+    discard(chunks)
+    own = passed.select("chunk", F.posexplode(F.arrays_zip("pairs", "documents")).alias("at", "x")).select("chunk", "at", F.col("x.pairs").alias("pair"), F.col("x.documents").alias("n"))
+    counts = materialize(own.groupBy("pair").agg(F.sum("n").alias("n")), "pairs").withColumn("a", F.shiftright("pair", 32))
+    best = counts.groupBy("a").agg(F.max("n").alias("most"))  # a row an A id: at most the vocabulary
+    counts = counts.join(F.broadcast(best), "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("is_best"))
+    return finished(passed, own.drop("n").join(counts, "pair").select("chunk", "at", "n", "is_best"))
