@@ -2,9 +2,9 @@
 
 Two tokenizers cut the same bytes. Tokens are exploded with their places, windows sum
 their lengths to ends, and an equi-join on (text, end) finds the offsets where both cut; running
-counts of these cuts number the groups of tokens that cover the same bytes. Rows of either side without
-a partner stay, so the joined rows are the byte ranges between neighbouring ends of any
-kind. Each of them lies in exactly one token of either side, and two overlapping tokens share exactly one
+counts of these cuts number the groups of tokens that cover the same bytes. It is a full join, stated as a grouping of both
+sides by its key (ends are unique on a side), because Spark keeps the partitioning of a grouping but not that of a full
+join: its rows are the byte ranges between neighbouring ends of any kind. Each of them lies in exactly one token of either side, and two overlapping tokens share exactly one
 of them: with the next token of both sides filled in, the rows are the links.
 
 Both tokenizers work on words alone where the vocabularies prove it (``Tokenizers.by_words``): the pattern of
@@ -30,7 +30,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lexiform.llm.common import discard, materialize
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK = 8 << 20
+CHUNK = 16 << 20
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 CHUNKS = "chunk long, doc_ids array<long>, sizes binary, codes binary, lengths binary, a array<array<int>>, b array<array<int>>"
 PASSED = "chunk long, doc_ids array<long>, figures binary, digests array<string>, sizes binary, codes binary, bad binary, n_links binary, links binary, pairs array<long>, documents array<long>"
@@ -97,23 +97,32 @@ class Tokenizers:
         plain = text[0] != " " and text[-1] != " " and not BESIDE.search(text)
         return text.split(" ") if plain else BETWEEN.split(text)
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of both sides; none if either side's bytes are not a space and the text."""
-        a, b, want = self._a.encode(" " + text, add_special_tokens=False).ids, self._b.encode(text), (" " + text).encode()
-        whole = lambda ids, table: b"".join(map(table.__getitem__, ids)) == want
-        return (a, b) if text and whole(a, self.a_bytes) and whole(b, self.b_bytes) else ([], [])
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both sides over the texts one after the other, a space before each; none if either side's bytes differ from that."""
+        a = [x.ids for x in self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b, none = self._b.encode(texts, num_threads=1), np.zeros(0, np.int32)
+        for t, x, y in zip(texts, a, b, strict=True):
+            want = (" " + t).encode()
+            if not t or any(b"".join(map(table.__getitem__, ids)) != want for ids, table in ((x, self.a_bytes), (y, self.b_bytes))):
+                return none, none
+        flat = lambda side: np.fromiter(chain.from_iterable(side), np.int32, sum(map(len, side)))
+        return flat(a), flat(b)
+
+    def units(self, words: list[str], part: int = 1000) -> tuple[list[int], int, list[tuple[np.ndarray, np.ndarray]]]:
+        """(order, number of joined words, ids by unit): words in an order in which the joined ones come first; unit 0 is their text, each other word is a unit."""
+
+        def joined(held: list[int]) -> tuple[np.ndarray, np.ndarray]:
+            return self.encode([" ".join([words[i] for i in held[k : k + part]]) for k in range(0, len(held), part)])
 
-    def units(self, words: list[str]) -> tuple[list[int], list[str], list[tuple[list[int], list[int]]]]:
-        """(order, joined words, ids by unit): words in an order in which the joined ones come first; unit 0 is their text, each other word is a unit."""
         odd = [not self.by_words or not w or w[0].isspace() or w[-1].isspace() or "▁" in w for w in words]
         order = [i for i, x in enumerate(odd) if not x]
-        joined = self.encode(" ".join([words[i] for i in order]))
-        if order and not joined[0]:  # some word fails: find it
-            odd = [x or not self.encode(w)[0] for x, w in zip(odd, words, strict=True)]
+        ids = joined(order)
+        if order and not len(ids[0]):  # some word fails: find it
+            odd = [x or not len(self.encode([w])[0]) for x, w in zip(odd, words, strict=True)]
             order = [i for i, x in enumerate(odd) if not x]
-            joined = self.encode(" ".join([words[i] for i in order]))
+            ids = joined(order)
         rest = [i for i, x in enumerate(odd) if x]
-        return order + rest, len(order), [joined, *(self.encode(words[i]) for i in rest)]
+        return order + rest, len(order), [ids, *(self.encode([words[i]]) for i in rest)]
 
 
 def _tokenizers(files, held: dict = {}) -> Tokenizers:  # noqa: B006
@@ -132,7 +141,12 @@ def chunked(docs: DataFrame, files, size: int = CHUNK) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        both, lists = _tokenizers(files), pa.list_(pa.list_(pa.int32()))
+        both = _tokenizers(files)
+
+        def by_unit(ids: list[np.ndarray]):
+            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)), pa.array(np.concatenate(ids)))
+            return pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), inner)
+
         first, ids, sizes, codes, words, held = None, [], [], [], defaultdict(count().__next__), 0
 
         def sent():
@@ -144,7 +158,7 @@ def chunked(docs: DataFrame, files, size: int = CHUNK) -> DataFrame:
             lengths[n_joined:] *= -1
             own = np.concatenate(codes) if codes else np.zeros(0, np.int32)
             row = [pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([packed(np.array(sizes, np.int32))]), pa.array([packed(place[own])]), pa.array([packed(lengths)])]
-            return pa.RecordBatch.from_arrays([*row, *(pa.array([[x[k] for x in ids_of]], lists) for k in (0, 1))], ["chunk", "doc_ids", "sizes", "codes", "lengths", "a", "b"])
+            return pa.RecordBatch.from_arrays([*row, *(by_unit([x[k] for x in ids_of]) for k in (0, 1))], ["chunk", "doc_ids", "sizes", "codes", "lengths", "a", "b"])
 
         for batch in batches:
             for rid, doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -176,13 +190,11 @@ def ends(texts: DataFrame, side: str, lengths: DataFrame) -> DataFrame:
 def aligned(chunks: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame, partitions: int) -> DataFrame:
     """(chunk, unit, end, a, b, group, a_over, b_over): the tokens that end at each offset, the number of cuts before it, and the tokens that lie over the bytes up to it.
 
-    All of it works by chunk, on one partitioning. The full join is stated as the left rows with their partners
-    and the right rows without one, which keeps that partitioning.
+    All of it works by chunk, on one partitioning.
     """
-    by, key = lambda c: chunks.select("chunk", c).repartition(partitions, "chunk"), ["chunk", "unit", "end"]
-    left, right = ends(by("a"), "a", a_lengths), ends(by("b"), "b", b_lengths)
-    alone = right.join(left.select(*key), key, "left_anti").select(*key, F.lit(None).cast("int").alias("a"), "b")
-    merged = left.join(right, key, "left").select(*key, "a", "b").unionAll(alone)
+    by, key, none = lambda c: chunks.select("chunk", c).repartition(partitions, "chunk"), ["chunk", "unit", "end"], F.lit(None).cast("int")
+    left, right = ends(by("a"), "a", a_lengths).select(*key, "a", none.alias("b")), ends(by("b"), "b", b_lengths).select(*key, none.alias("a"), "b")
+    merged = left.unionAll(right).groupBy(*key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
     text = Window.partitionBy("chunk", "unit")
     over = lambda c: F.last(c, ignorenulls=True).over(text.orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0))
     cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
