@@ -8,13 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiform.functions.text import attribute, let, number, shuffle_key
+from lexiform.operators.skew import looked_up, numbered, spread
 
 
 def vocabularies(rows: DataFrame, fields: list[str], attrs: str = "attrs") -> DataFrame:
-    """(field, value, index): distinct values of each field in order; fields without values are absent."""
+    """(field, value, index): distinct values of each field in order; fields without values are absent.
+
+    All values are numbered together by ranges; a field's own numbers start at its first value.
+    """
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), attribute(F.try_element_at(F.col(attrs), F.lit(f))).alias("value")) for f in fields)))
     values = rows.select(pairs.alias("p")).select("p.*").filter("value is not null").distinct()
-    return values.withColumn("index", F.row_number().over(Window.partitionBy("field").orderBy("value")) - 1)
+    placed = numbered(values, ["field", "value"])
+    starts = placed.groupBy("field").agg(F.min("place").alias("_start"))  # a row a field
+    return placed.join(F.broadcast(starts), "field").select("field", "value", (F.col("place") - F.col("_start")).cast("int").alias("index"))
 
 
 def numeric_stats(rows: DataFrame, fields: list[str], attrs: str = "attrs", strict: bool = False) -> DataFrame:
@@ -68,39 +74,98 @@ def class_forms(forms: DataFrame, per_class: int, notations: list[str] | None =
     return held.join(enough, "fact_id").withColumn("take", F.row_number().over(w)).filter(F.col("take") <= per_class)
 
 
+def is_digit(byte: Column) -> Column:
+    return byte.between(ord("0") + 1, ord("9") + 1)
+
+
 def teacher(pairs: DataFrame, exact: float = 2.0, digit: float = 1.0) -> DataFrame:
     """(pair, i, j, p): distribution over target bytes for each source byte. pairs: pair, source, target (byte ids, 0 pads).
 
     Equal bytes weigh ``exact``, digit pairs ``digit`` more; a source byte without any match is uniform over the target.
-    Source and target stand in one row, so the distributions are made in it; nothing is shuffled.
+    For callers that want the matrix; sums over it are closed forms (teacher_rows, teacher_divergence).
     """
-    is_digit = lambda c: c.between(ord("0") + 1, ord("9") + 1)
-    weight = lambda s, t: F.when(s == t, exact).otherwise(0.0) + F.when(is_digit(s) & is_digit(t), digit).otherwise(0.0)
-
-    def spread(w: Column) -> Column:
-        total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-        return let(total, lambda t: F.transform(w, lambda x: F.when(t > 0, x / t).otherwise(1.0 / F.size(w))))
-
-    rows = pairs.select("pair", F.filter("source", lambda s: s > 0).alias("source"), F.filter("target", lambda t: t > 0).alias("target"))
-    rows = rows.select("pair", F.transform("source", lambda s: let(F.transform("target", lambda t: weight(s, t)), spread)).alias("p"))
+    rows = spread(pairs.select("pair", *_unpadded())).withColumn("p", _by_source(lambda s, law: F.transform("target", lambda t: F.when(law["total"] == 0, law["even"]).when(t == s, law["same_p"]).when(is_digit(t), law["digit_p"]).otherwise(0.0)), exact, digit))
     rows = rows.select("pair", F.posexplode("p").alias("i", "row"))
     return rows.select("pair", "i", F.posexplode("row").alias("j", "p"))
 
 
-def attention_probs(pairs: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """(pair, i, j, p): a model's attention of each source position over the target's, from token states (source, target: arrays of vectors, padding left out).
+def _unpadded() -> list[Column]:
+    return [F.filter(c, lambda x: x > 0).alias(c) for c in ("source", "target")]
+
+
+def _by_source(use, exact: float, digit: float, source="source", target="target") -> Column:
+    """use(byte, law) for each source byte. All of a row of the teacher follows from two counts in the target, of the byte itself and of digits:
+
+    law: same and others (how many target bytes are the byte, or other digits if it is one), their chances same_p and digit_p, the weights' total
+    (0: every byte has the chance ``even``), n.
+    """
+
+    def law(s: Column, digits: Column) -> Column:
+        n = F.size(target)
+        same = n - F.size(F.array_remove(target, s))
+        others = F.when(is_digit(s), digits - same).otherwise(0)
+        each = F.when(is_digit(s), exact + digit).otherwise(exact)
+        total = same * each + others * digit
+        return F.struct(
+            same.alias("same"), others.alias("others"), total.alias("total"), n.alias("n"), (F.lit(1.0) / n).alias("even"),
+            F.when(total > 0, each / total).otherwise(0.0).alias("same_p"), F.when((total > 0) & is_digit(s), digit / total).otherwise(0.0).alias("digit_p"),
+        )
+
+    return let(F.size(F.filter(target, is_digit)), lambda digits: F.transform(source, lambda s: let(law(s, digits), lambda x: use(s, x))))
+
+
+def teacher_rows(pairs: DataFrame, exact: float = 2.0, digit: float = 1.0) -> DataFrame:
+    """(pair, i, mass, top, entropy, targets): sum, largest chance and entropy of each row of teacher(), without its matrix."""
+
+    def told(s: Column, law: Column) -> Column:
+        plogp = lambda p: F.when(p > 0, p * F.log(p)).otherwise(0.0)
+        even = law["total"] == 0
+        mass = F.when(even, law["n"] * law["even"]).otherwise(law["same"] * law["same_p"] + law["others"] * law["digit_p"])
+        top = F.when(even, law["even"]).when(law["same"] > 0, law["same_p"]).otherwise(law["digit_p"])
+        entropy = F.when(even, F.log(law["n"].cast("double"))).otherwise(-law["same"] * plogp(law["same_p"]) - law["others"] * plogp(law["digit_p"]))
+        return F.struct(mass.alias("mass"), top.alias("top"), entropy.alias("entropy"), law["n"].cast("bigint").alias("targets"))
+
+    rows = spread(pairs.select("pair", *_unpadded())).filter(F.size("target") > 0)
+    return rows.select("pair", F.posexplode(_by_source(told, exact, digit)).alias("i", "x")).select("pair", "i", "x.*")
+
+
+def teacher_divergence(source, target, student, exact: float = 2.0, digit: float = 1.0) -> Column:
+    """Mean over the source bytes of sum p * (log p - log q), q at least 1e-8. student: an array of q over the target for each source byte; source and target without padding.
+
+    The first part is the teacher's entropy, which two counts give; the second needs the student's logarithms summed over the
+    target bytes that are the source byte, and over digits. Null without source or target bytes.
+    """
+    plogp = lambda p: F.when(p > 0, p * F.log(p)).otherwise(0.0)
+
+    def one(s: Column, law: Column) -> Column:
+        own = F.when(law["total"] == 0, F.log(law["even"])).otherwise(law["same"] * plogp(law["same_p"]) + law["others"] * plogp(law["digit_p"]))
+        chance = lambda t: F.when(law["total"] == 0, law["even"]).when(t == s, law["same_p"]).when(is_digit(t), law["digit_p"]).otherwise(0.0)
+        return F.struct(own.alias("own"), F.transform(target, chance).alias("chance"))
+
+    rows = _by_source(one, exact, digit, source, target)
+    cross = lambda r, q: r["own"] - F.aggregate(F.zip_with(r["chance"], q, lambda p, x: F.when(p > 0, p * F.log(F.greatest(x, F.lit(1e-8)))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    each = F.zip_with(rows, student, cross)
+    return F.when((F.size(source) > 0) & (F.size(target) > 0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(source))
+
+
+def attention(source, target, temperature: float = 1.0) -> Column:
+    """A model's attention of each source position over the target's, from token states (arrays of vectors, padding left out), as an array of arrays.
 
     Scores are dot products over the root of the dimension times the temperature; the softmax is taken in the row.
     """
-    scale = F.sqrt(F.greatest(F.size(F.get("source", F.lit(0))), F.lit(1)).cast("double")) * max(temperature, 1e-6)
+    scale = F.sqrt(F.greatest(F.size(F.get(source, F.lit(0))), F.lit(1)).cast("double")) * max(temperature, 1e-6)
 
     def softmax(z: Column) -> Column:
         top = F.array_max(z)
         return let(F.transform(z, lambda x: F.exp(x - top)), lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))
 
     dot = lambda s, t: F.aggregate(F.zip_with(s, t, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    probs = let(scale, lambda k: F.transform("source", lambda s: let(F.transform("target", lambda t: dot(s, t) / k), softmax)))
-    rows = pairs.filter((F.size("source") > 0) & (F.size("target") > 0)).select("pair", F.posexplode(probs).alias("i", "row"))
+    return let(scale, lambda k: F.transform(source, lambda s: let(F.transform(target, lambda t: dot(s, t) / k), softmax)))
+
+
+def attention_probs(pairs: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """(pair, i, j, p): attention() as rows. pairs: pair, source, target."""
+    rows = spread(pairs).filter((F.size("source") > 0) & (F.size("target") > 0)).select("pair", F.posexplode(attention("source", "target", temperature)).alias("i", "row"))
     return rows.select("pair", "i", F.posexplode("row").alias("j", "p"))
 
 
@@ -112,12 +177,12 @@ def anchor_pairs(forms: DataFrame) -> DataFrame:
 
 
 def attribute_labels(rows: DataFrame, vocabulary: DataFrame, fields: list[str], attrs: str = "attrs") -> DataFrame:
-    """rows with label_<field>: the index of its attribute in the vocabulary, -1 if there is none."""
-    held = vocabulary.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("value", "index"))).alias("m"))
-    held = held.agg(F.map_from_entries(F.collect_list(F.struct("field", "m"))).alias("_vocabulary"))  # the model's classes
-    out = rows.join(F.broadcast(held))
-    label = lambda f: F.coalesce(F.try_element_at(F.try_element_at(F.col("_vocabulary"), F.lit(f)), attribute(F.try_element_at(F.col(attrs), F.lit(f)))), F.lit(-1))
-    return out.select("*", *(label(f).cast("int").alias(f"label_{f}") for f in fields)).drop("_vocabulary")
+    """rows with label_<field>: the index of its attribute in the vocabulary, -1 if there is none. Vocabularies and rows of any size: labels come by joins that divide frequent values."""
+    for f in fields:
+        held = vocabulary.filter(F.col("field") == f)
+        rows = looked_up(rows, attribute(F.try_element_at(F.col(attrs), F.lit(f))), held, "value", "index", f"label_{f}")
+        rows = rows.withColumn(f"label_{f}", F.coalesce(F.col(f"label_{f}"), F.lit(-1)).cast("int"))
+    return rows
 
 
 def xval_features(numeric: Column, table: list[list[float]]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexiform.functions.text import byte_ids
 from lexiform.operators import classes as C
 from lexiform.operators import features as X
-from lexiform.operators import losses as L
+from lexiform.operators.skew import spread
 from lexiform.plans.base import attrs, part_classes, query, table
 
 DIM = 4
@@ -63,14 +63,9 @@ def class_distillation_loss(spark, d):
     forms = C.flatten(part_classes(spark, d)).select("fact_id", "form_id", "pos", "text")
     pairs = X.anchor_pairs(forms).select(F.col("right_id").alias("pair"), F.col("left_text").alias("l"), F.col("right_text").alias("r"))
 
-    def one(source: str, target: str):
-        ids = lambda c: byte_ids(F.col(c), 64)
-        teacher = X.teacher(pairs.select("pair", ids(source).alias("source"), ids(target).alias("target")))
-        student = X.attention_probs(pairs.select("pair", _states(F.col(source)).alias("source"), _states(F.col(target)).alias("target")))
-        return L.attention_kl(teacher, student.withColumnRenamed("p", "q"))
-
-    both = one("l", "r").join(one("r", "l").withColumnRenamed("loss", "back"), "pair")
-    return both.select("pair", F.round((F.col("loss") + F.col("back")) / 2, 8).alias("loss"))
+    rows = spread(pairs).select("pair", *(f(F.col(c)).alias(f"{n}_{c}") for c in ("l", "r") for n, f in (("s", _states), ("b", lambda x: F.filter(byte_ids(x, 64), lambda i: i > 0)))))
+    one = lambda s, t: X.teacher_divergence(f"b_{s}", f"b_{t}", X.attention(f"s_{s}", f"s_{t}"))
+    return rows.select("pair", F.round((one("l", "r") + one("r", "l")) / 2, 8).alias("loss"))
 
 
 _SIZES = "z as (select p_partkey, p_type, p_size, p_retailprice, min(p_size) over () as s0, greatest(max(p_size) over () - min(p_size) over (), 1) as s1, min(p_retailprice) over () as r0, greatest(max(p_retailprice) over () - min(p_retailprice) over (), 1) as r1 from part)"

@@ -12,6 +12,7 @@ from lexiform.operators import metrics as M
 from lexiform.operators import pairs as P
 from lexiform.operators import ranking as R
 from lexiform.operators import splits as S
+from lexiform.operators.skew import spread
 from lexiform.plans.base import CONV_SQL, PART_SQL, conversation_classes, part_classes, query, table
 from lexiform.sources import files
 from lexiform.sources.shared import materialize
@@ -317,7 +318,7 @@ def teacher_distribution(spark, d):
     from lexiform.functions.text import byte_ids
 
     pairs = table(spark, d, "part").select(F.col("p_partkey").alias("pair"), byte_ids(F.col("p_brand"), 64).alias("source"), byte_ids(F.col("p_name"), 64).alias("target"))
-    return X.teacher(pairs).groupBy("pair", "i").agg(F.round(F.sum("p"), 9).alias("mass"), F.round(F.max("p"), 9).alias("top"), F.count("*").alias("targets"))
+    return X.teacher_rows(pairs).select("pair", "i", F.round("mass", 9).alias("mass"), F.round("top", 9).alias("top"), "targets")
 
 
 _LOGITS = """
@@ -424,11 +425,10 @@ def attention_distillation_loss(spark, d):
     """Divergence of a uniform student from the byte teacher."""
     from lexiform.functions.text import byte_ids
 
-    pairs = table(spark, d, "part").select(F.col("p_partkey").alias("pair"), byte_ids(F.col("p_brand"), 64).alias("source"), byte_ids(F.col("p_name"), 64).alias("target"))
-    t = X.teacher(pairs)
-    n = t.groupBy("pair", "i").agg((1.0 / F.count("*")).alias("q"))
-    student = t.select("pair", "i", "j").join(n, ["pair", "i"])
-    return L.attention_kl(t, student).select("pair", F.round("loss", 8).alias("loss"))
+    ids = lambda c: F.filter(byte_ids(F.col(c), 64), lambda x: x > 0)
+    pairs = spread(table(spark, d, "part").select(F.col("p_partkey").alias("pair"), "p_brand", "p_name")).select("pair", ids("p_brand").alias("source"), ids("p_name").alias("target"))
+    uniform = F.transform("source", lambda s: F.transform("target", lambda t: F.lit(1.0) / F.size("target")))
+    return pairs.select("pair", F.round(X.teacher_divergence("source", "target", uniform), 8).alias("loss"))
 
 
 @query(f"""
