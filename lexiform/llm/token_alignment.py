@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lexiform.llm.common import discard, materialize
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 CHUNKS = "chunk long, doc_ids array<long>, sizes binary, codes binary, lengths binary, a array<array<int>>, b array<array<int>>"
 PASSED = "chunk long, doc_ids array<long>, figures binary, digests array<string>, sizes binary, codes binary, bad binary, n_links binary, links binary, pairs array<long>, documents array<long>"
@@ -218,13 +218,22 @@ def _of_segments(table, lengths: np.ndarray) -> tuple[np.ndarray, dict[str, np.n
     a, b = numbers["a"], numbers["b"]
     figures = {"n_a": a >= 0, "n_b": b >= 0, "n_groups": (a >= 0) & (b >= 0), "n_links": np.ones(len(a), bool)}
     figures = {k: np.bincount(seg[v], minlength=n) for k, v in figures.items()}
-    # A group's rows follow each other: its ids of either side, then the groups of a segment.
+    # A group's rows follow each other: its ids of either side, then the groups of a segment. Text is made for some segments at a time.
     start = np.flatnonzero(np.diff(numbers["group"], prepend=-1) | np.diff(unit, prepend=-1))
-    a_said, b_said = ([str(x) if x >= 0 else "" for x in side.tolist()] for side in (a, b))
-    edges = [*start.tolist(), len(a)]
-    said = [f"{a_said[i]}|{b_said[i]}" if j == i + 1 else ",".join(filter(None, a_said[i:j])) + "|" + ",".join(filter(None, b_said[i:j])) for i, j in zip(edges, edges[1:], strict=False)]
-    first = np.searchsorted(seg[start], np.arange(n + 1)).tolist()
-    return numbers["links"], figures, [";".join(said[i:j]).encode() for i, j in zip(first, first[1:], strict=False)], figures["n_links"]
+    first = np.searchsorted(seg[start], np.arange(n + 1))
+    edges, said = np.append(start, len(a)), []
+    for k in range(0, n, SAID):
+        own = edges[first[k] : first[min(k + SAID, n)] + 1].tolist()
+        a_said, b_said = ([str(x) if x >= 0 else "" for x in side[own[0] : own[-1]].tolist()] for side in (a, b))
+        own = [x - own[0] for x in own]
+        groups = [f"{a_said[i]}|{b_said[i]}" if j == i + 1 else ",".join(filter(None, a_said[i:j])) + "|" + ",".join(filter(None, b_said[i:j])) for i, j in zip(own, own[1:], strict=False)]
+        at = (first[k : min(k + SAID, n) + 1] - first[k]).tolist()
+        said += [";".join(groups[i:j]).encode() for i, j in zip(at, at[1:], strict=False)]
+    return numbers["links"], figures, said, figures["n_links"]
+
+
+#: Segments whose groups are made text at a time.
+SAID = 20_000
 
 
 def _named(df: DataFrame, *columns: str) -> DataFrame:
