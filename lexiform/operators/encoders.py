@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiform.functions.text import shuffle_key
-from lexiform.sources.shared import materialize
+from lexiform.sources.shared import discard, materialize
 
-VOCABULARY, MAX_LENGTH = 257, 96
+VOCABULARY, MAX_LENGTH = 257, 256
 
 
 def byte_matrix(texts: list[str | None], max_length: int = MAX_LENGTH) -> np.ndarray:
@@ -262,35 +262,67 @@ def encode_student(forms: DataFrame, student: Student, max_length: int = MAX_LEN
 
 
 def encode(forms: DataFrame, encoder, max_length: int = MAX_LENGTH, text_col: str = "text") -> DataFrame:
-    """forms with dense: the encoder's vector of each text. Any callable from byte ids to vectors will do; equal texts are encoded once."""
-    held = forms.sparkSession.sparkContext.broadcast(encoder)  # a model: fixed size
+    """forms with dense: the encoder's vector of each text. Any callable from byte ids to vectors will do; equal texts are encoded once.
+
+    Distinct texts are dealt out by number, because adaptive execution would join them into few tasks by their bytes; texts
+    of like length are encoded together, so that little padding is computed.
+    """
+    spark = forms.sparkSession
+    held = spark.sparkContext.broadcast(encoder)  # a model: fixed size
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     import pandas as pd
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for text in texts:
-            rows = [held.value(byte_matrix(list(text[i : i + 512]), max_length)) for i in range(0, len(text), 512)]
-            yield pd.Series(list(np.concatenate(rows)) if rows else [], dtype=object)
+            size = text.map(lambda t: len((t or "").encode())).clip(upper=max_length).to_numpy()
+            order, out = np.argsort(size, kind="stable"), [None] * len(text)
+            for i in range(0, len(text), 128):
+                part = order[i : i + 128]
+                for k, v in zip(part, held.value(byte_matrix(list(text.iloc[part]), max(1, int(size[part[-1]])))), strict=True):
+                    out[k] = v
+            yield pd.Series(out, dtype=object)
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     udf = F.pandas_udf(run, "array<double>")
-    vectors = forms.select(F.col(text_col).alias("_text")).distinct().withColumn("dense", udf(F.col("_text")))
+    vectors = forms.select(F.col(text_col).alias("_text")).distinct().repartition(partitions).withColumn("dense", udf(F.col("_text")))
     return forms.join(vectors, F.col(text_col).eqNullSafe(F.col("_text")), "left").drop("_text")
 
 
+#: Parts of a model's cache; a run reads and writes only those that its texts fall into.
+BUCKETS = 256
+
+
 def cached_encode(forms: DataFrame, encoder, path: str, name: str, max_length: int = MAX_LENGTH) -> DataFrame:
-    """encode() through a written cache: texts that the model ``name`` has encoded before are read from path, the others are encoded and added."""
-    spark, schema = forms.sparkSession, "model string, text string, dense array<double>"
-    texts = forms.select("text").distinct()
-    try:
-        held = spark.read.schema(schema).parquet(path).filter(F.col("model") == name).select("text", "dense")
-        texts = texts.join(held.select("text"), "text", "left_anti")
-    except AnalysisException:  # no cache yet
-        held = None
-    new = encode(texts, encoder, max_length)
-    new.select(F.lit(name).alias("model"), "text", "dense").write.mode("append").parquet(path)
-    held = spark.read.schema(schema).parquet(path).filter(F.col("model") == name).select(F.col("text").alias("_text"), "dense")
-    return forms.join(held, F.col("text") == F.col("_text"), "left").drop("_text")
+    """encode() through a written cache: texts that the model ``name`` has encoded before are read from path, the others are encoded and added.
+
+    Texts fall into buckets by their hash. A bucket is written whole, its old rows with the new ones, one row a text, in place of
+    what it held: a repeated or retried run leaves the same rows, and of two runs at once the later one's bucket stays. Texts may be null.
+    """
+    spark, schema = forms.sparkSession, "text string, dense array<double>, model string, bucket int"
+    bucket = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(BUCKETS)).cast("int")
+    texts = materialize(forms.select("text").distinct().withColumn("bucket", bucket), "texts")
+
+    def held(buckets: list[int]) -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(path).filter((F.col("model") == name) & F.col("bucket").isin(buckets)).select("text", "dense", "bucket")
+        except AnalysisException:  # no cache yet
+            return spark.createDataFrame([], "text string, dense array<double>, bucket int")
+
+    asked = [r["bucket"] for r in texts.select("bucket").distinct().collect()]  # BUCKETS rows at most
+    old = held(asked).select(F.col("text").alias("_text"), F.col("bucket").alias("_bucket"))
+    same = (F.col("bucket") == F.col("_bucket")) & F.col("text").eqNullSafe(F.col("_text"))
+    new = materialize(encode(texts.join(old, same, "left_anti"), encoder, max_length).select("text", "dense", "bucket"), "new-texts")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+    if touched:
+        rows = materialize(held(touched).unionByName(new).dropDuplicates(["bucket", "text"]).withColumn("model", F.lit(name)), "buckets")
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "bucket").parquet(path)
+        discard(rows)
+    found = held(asked).select(F.col("text").alias("_text"), "dense")
+    out = forms.join(found, F.col("text").eqNullSafe(F.col("_text")), "left").drop("_text")
+    discard(texts)
+    discard(new)
+    return out
 
 
 def token_features(forms: DataFrame, encoder, max_length: int = MAX_LENGTH, text_col: str = "text", name: str = "states") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiform.operators import classes as C
@@ -12,6 +15,7 @@ from lexiform.operators import metrics as M
 from lexiform.operators import pairs as P
 from lexiform.operators import ranking as R
 from lexiform.operators import splits as S
+from lexiform.operators.bounded import first_match
 from lexiform.operators.skew import spread
 from lexiform.plans.base import CONV_SQL, PART_SQL, conversation_classes, part_classes, query, table
 from lexiform.sources import files
@@ -68,16 +72,16 @@ def pool_composition(spark, d):
     return P.composition(_pools(spark, d))
 
 
-def _tfidf_sql(texts: str, vocabulary: str) -> str:
-    """Common table expressions: grams of ``texts`` (key, text), idf over ``vocabulary`` (text, with repeats), unit vectors."""
+def _tfidf_sql(texts: str, vocabulary: str, n: str = "") -> str:
+    """Common table expressions: grams of ``texts`` (key, text), idf over ``vocabulary`` (text, with repeats), unit vectors vec<n>."""
     gram = "unnest(flatten(list_transform([2, 3, 4, 5], lambda n: list_transform(range(1, greatest(length(t) - n + 2, 1)), lambda i: substr(t, i::int, n))))) as gram"
     return f"""
-tg as (select key, gram, count(*) as tf from (select key, {gram} from (select key, ' ' || lower(text) || ' ' as t from {texts})) group by 1, 2),
-vg as (select distinct id, gram from (select id, {gram} from (select row_number() over () as id, ' ' || lower(text) || ' ' as t from {vocabulary}))),
-idf as (select gram, ln((1 + (select count(*) from {vocabulary})) / (1 + count(*))) + 1 as idf from vg group by gram),
-raw as (select key, gram, tf * idf as w from tg join idf using (gram)),
-norm as (select key, sqrt(sum(w * w)) as norm from raw group by key),
-vec as (select key, gram, w / norm as w from raw join norm using (key))
+tg{n} as (select key, gram, count(*) as tf from (select key, {gram} from (select key, ' ' || lower(text) || ' ' as t from {texts})) group by 1, 2),
+vg{n} as (select distinct id, gram from (select id, {gram} from (select row_number() over () as id, ' ' || lower(text) || ' ' as t from {vocabulary}))),
+idf{n} as (select gram, ln((1 + (select count(*) from {vocabulary})) / (1 + count(*))) + 1 as idf from vg{n} group by gram),
+raw{n} as (select key, gram, tf * idf as w from tg{n} join idf{n} using (gram)),
+norm{n} as (select key, sqrt(sum(w * w)) as norm from raw{n} group by key),
+vec{n} as (select key, gram, w / norm as w from raw{n} join norm{n} using (key))
 """
 
 
@@ -111,16 +115,23 @@ def char_ngram_metrics(spark, d):
     return M.evaluate(_chat_ranks(spark, d))
 
 
-_BOOT = """
-with s as (select nullif(label, 0) as rank, count(*)::double as c from embeddings group by 1),
-r as (select rank, c, case when rank <= 1 then 1.0 else 0.0 end::double as top1, case when rank <= 5 then 1.0 else 0.0 end::double as top5, coalesce(1.0::double / rank, 0) as rr, greatest(0, floor(c - 12 * sqrt(c) - 20))::bigint as low, ceil(c + 12 * sqrt(c) + 20)::bigint as high from s),
-k as (select *, unnest(range(low, high + 1)) as k from r),
-l as (select *, sum(case when k > low then ln(c / k) else 0.0 end) over (partition by rank order by k) as lg from k),
-w as (select *, exp(lg - max(lg) over (partition by rank)) as w from l),
-p as (select *, sum(w) over (partition by rank order by k) / sum(w) over (partition by rank) as below from w),
-u as (select b, rank, ('0x' || substr(md5(b || '|' || coalesce(rank::varchar, 'none') || '|13'), 1, 13))::bigint / 4503599627370496.0 as chance from r, range(1000) t(b)),
-d as (select b, any_value(p.top1) as top1, any_value(p.top5) as top5, any_value(p.rr) as rr, any_value(p.low) + count(*) filter (where p.below < u.chance) as times from u join p on u.rank is not distinct from p.rank group by b, u.rank),
-mm as (select b, round(sum(top1 * times) / sum(times), 9) as top1, round(sum(top5 * times) / sum(times), 9) as top5, round(sum(rr * times) / sum(times), 9) as rr from d group by b)
+def _halved(step: int) -> str:
+    """Common table expressions: d<step + 1>, the draws of d<step> handed on to the halves of each range of ranks. For up to 2^5 distinct ranks."""
+    return f"""
+s{step} as (select b, lo, hi, (lo + hi) // 2 as mid, m, ('0x' || substr(md5(b || '|0|' || lo || '|' || hi || '|13'), 1, 13))::bigint / 4503599627370496.0 as chance from d{step} where hi - lo > 1),
+n{step} as (select *, (select sum(c) from r where i >= lo and i < mid) as cl, (select sum(c) from r where i >= mid and i < hi) as cr from (select distinct lo, mid, hi, m from s{step})),
+k{step} as (select *, unnest(range(greatest(0, floor(m * p - reach))::bigint, least(m, ceil(m * p + reach))::bigint + 1)) as k from (select *, cl / (cl + cr) as p, 12 * sqrt(m * (cl / (cl + cr)) * (cr / (cl + cr))) + 20 as reach from n{step})),
+l{step} as (select *, sum(case when k > greatest(0, floor(m * p - reach)) then ln((m - k + 1) / k * cl / cr) else 0.0 end) over (partition by lo, hi, m order by k) as lg from k{step}),
+w{step} as (select *, exp(lg - max(lg) over (partition by lo, hi, m)) as w from l{step}),
+p{step} as (select lo, hi, m, k, sum(w) over (partition by lo, hi, m order by k) / sum(w) over (partition by lo, hi, m) as below from w{step}),
+h{step} as (select s.b, s.lo, s.mid, s.hi, s.m, least(min(p.k) + count(*) filter (where p.below < s.chance), max(p.k)) as part from s{step} s join p{step} p using (lo, hi, m) group by 1, 2, 3, 4, 5),
+d{step + 1} as (select b, lo, hi, m from d{step} where hi - lo <= 1 union all select b, lo, mid, part from h{step} union all select b, mid, hi, m - part from h{step})"""
+
+
+_BOOT = f"""
+with r as (select rank, count(*)::double as c, row_number() over (order by rank nulls first) - 1 as i from (select nullif(label, 0) as rank from embeddings) group by 1),
+d0 as (select b, 0 as lo, (select count(*) from r) as hi, (select count(*) from embeddings) as m from range(1000) t(b)), {", ".join(map(_halved, range(5)))},
+mm as (select b, round(sum(case when rank <= 1 then m else 0 end) / sum(m), 9) as top1, round(sum(case when rank <= 5 then m else 0 end) / sum(m), 9) as top5, round(sum(coalesce(m / rank::double, 0)) / sum(m), 9) as rr from d5 join r on i = lo group by b)
 select round(quantile_cont(top1, 0.025), 9) as top1_ci_low, round(quantile_cont(top1, 0.975), 9) as top1_ci_high, round(quantile_cont(top5, 0.025), 9) as top5_ci_low, round(quantile_cont(top5, 0.975), 9) as top5_ci_high,
   round(quantile_cont(rr, 0.025), 9) as mean_reciprocal_rank_ci_low, round(quantile_cont(rr, 0.975), 9) as mean_reciprocal_rank_ci_high, 0.95::double as confidence_level, count(*) as bootstrap_resamples from mm
 """
@@ -231,22 +242,48 @@ def hard_lexical_retrieval(spark, d):
 _EVAL = "round(avg(case when rank <= 1 then 1.0 else 0.0 end), 9) as top1, round(avg(case when rank <= 5 then 1.0 else 0.0 end), 9) as top5, round(avg(coalesce(1.0 / rank, 0)), 9) as mean_reciprocal_rank, count(*) as query_count"
 
 
+#: Every vector has a notation by its number: one of candidates, three of queries, each a task with its own idf.
+TASKS = ["approved", "alias", "previous", "name"]
+
+
+def _task_sql(t: int) -> str:
+    """Common table expressions: r<t>(method, rank), the ranks of one task by each method."""
+    scores = {"char_ngram": "coalesce(s.score, 0)", "dense": "dot", "hybrid": "0.3 * coalesce(s.score, 0) + 0.7 * dot"}
+    ranked = " union all ".join(f"select '{m}' as method, form_id, c_fact = fact_id as hit, row_number() over (partition by form_id order by round({x}, 9) desc, c_form) as place from sc{t} s" for m, x in scores.items())
+    return f"""
+q{t} as (select * from e where vec_id % 4 = {t}), kf{t} as (select form_id as key, text from q{t} union all select form_id, text from c0), kt{t} as (select text from kf{t}), {_tfidf_sql(f"kf{t}", f"kt{t}", str(t))},
+s{t} as (select a.key as qk, b.key as ck, sum(a.w * b.w) as score from vec{t} a join vec{t} b using (gram) where a.key in (select form_id from q{t}) and b.key in (select form_id from c0) group by 1, 2),
+sc{t} as (select q.form_id, q.fact_id, c.form_id as c_form, c.fact_id as c_fact, s.score, list_dot_product(q.embedding::double[], c.embedding::double[]) as dot from q{t} q cross join c0 c left join s{t} s on qk = q.form_id and ck = c.form_id),
+k{t} as ({ranked} union all select 'canonical', q.form_id, c.fact_id = q.fact_id, row_number() over (partition by q.form_id order by q.key <> c.key, c.form_id) from q{t} q cross join c0 c),
+r{t} as (select '{TASKS[t]}' as task, method, q.form_id, min(case when hit then place end) as rank from k{t} right join (select form_id, unnest(['char_ngram', 'dense', 'hybrid', 'canonical']) as method from q{t}) q using (form_id, method) group by 1, 2, 3)"""
+
+
 @query(f"""
-with {_MIX}, ranks as (select form_id, min(case when c_fact = fact_id then place end) as rank from rk group by form_id),
-d1 as (select q.form_id, q.fact_id, c.form_id as c_form, c.fact_id as c_fact, round(list_dot_product(q.embedding::double[], c.embedding::double[]), 9) as score from q cross join c where q.form_id <> c.form_id),
-d2 as (select *, row_number() over (partition by form_id order by score desc, c_form) as place from d1), dense as (select form_id, min(case when c_fact = fact_id then place end) as rank from d2 group by 1),
-l1 as (select q.form_id, q.fact_id, c.form_id as c_form, c.fact_id as c_fact, coalesce(round(s.score, 9), 0) as score from q cross join c left join s on qk = q.form_id and ck = c.form_id where q.form_id <> c.form_id),
-l2 as (select *, row_number() over (partition by form_id order by score desc, c_form) as place from l1), lex as (select form_id, min(case when c_fact = fact_id then place end) as rank from l2 group by 1),
-canon as (select form_id, 1 as rank from q)
-select 'hybrid' as method, {_EVAL} from ranks union all select 'dense', {_EVAL} from dense union all select 'char_ngram', {_EVAL} from lex union all select 'canonical', {_EVAL} from canon
+with e as (select lpad(vec_id::varchar, 9, '0') as form_id, label::varchar as fact_id, vec_id, (vec_id // 4) % 25 as key, embedding, p_name as text from embeddings join part on p_partkey = vec_id % (select max(p_partkey) from part) + 1),
+c0 as (select * from e where vec_id % 4 = 0), {", ".join(map(_task_sql, (1, 2, 3)))}
+select task, method, {_EVAL} from (select * from r1 union all select * from r2 union all select * from r3) group by 1, 2
 """)
 def method_comparison(spark, d):
-    v = _named_vectors(spark, d)
-    v = materialize(v.join(R.tfidf(v, R.idf([v, v]), "form_id"), "form_id"), "vectors")
-    q, c = v, R.fresh(v)
-    named = lambda n, ranks: M.evaluate(ranks).select(F.lit(n).alias("method"), "*")
-    out = named("char_ngram", R.first_match_ranks(q, c, 0.0)).unionByName(named("dense", R.first_match_ranks(q, c, 1.0))).unionByName(named("hybrid", R.first_match_ranks(q, c, 0.7)))
-    return out.unionByName(named("canonical", R.canonical_ranks(q, c, "fact_id", "fact_id")))
+    """Three query notations against one pool of candidates by four methods: all ranks but the canonical ones come from one run over the blocks of candidates."""
+    v = _named_vectors(spark, d).withColumn("number", F.col("form_id").cast("long"))
+    v = materialize(v.select("form_id", "fact_id", "text", "dense", (F.col("number") % 4).cast("int").alias("task"), F.floor(F.col("number") / 4 % 25).alias("key")), "vectors")
+    pool, queries, sides = v.filter("task = 0"), [], []
+    for t in (1, 2, 3):
+        q = v.filter(F.col("task") == t)
+        weights = R.idf([q, pool])
+        # A form of the pool has other weights in each task: it stands once for each.
+        shown = lambda df, t=t, weights=weights: df.join(R.tfidf(df, weights, "form_id"), "form_id").withColumn("form_id", F.concat(F.lit(f"{t}|"), "form_id"))
+        queries.append(shown(q).select("form_id", "fact_id", "g", "w", "dense", F.lit(t).alias("task")))
+        sides.append(shown(pool).select("form_id", "fact_id", "g", "w", "dense", F.array(F.lit(t)).alias("serves")))
+    q, c = (materialize(reduce(DataFrame.unionByName, side), "task-vectors") for side in (queries, sides))
+    ranks = first_match(q, c, [0.0, 1.0, 0.7], n_tasks=4)
+    rows = ranks.select("task", F.posexplode("ranks").alias("m", "rank")).select("task", F.element_at(F.array(*map(F.lit, ("char_ngram", "dense", "hybrid"))), F.col("m") + 1).alias("method"), "rank")
+    rows = rows.unionByName(ranks.filter("ranks is null").select("task", F.explode(F.array(*map(F.lit, ("char_ngram", "dense", "hybrid")))).alias("method"), F.lit(None).cast("long").alias("rank")))
+    canonical = R.canonical_ranks(v.filter("task > 0"), pool, "key", "fact_id").join(v.select("form_id", "task"), "form_id")
+    rows = rows.unionByName(canonical.select("task", F.lit("canonical").alias("method"), "rank"))
+    mean = lambda c: F.round(F.avg(c), 9)
+    names = F.element_at(F.array(*map(F.lit, TASKS)), F.col("task") + 1).alias("task")
+    return M.per_query(rows).groupBy(names, "method").agg(mean("top1").alias("top1"), mean("top5").alias("top5"), mean("rr").alias("mean_reciprocal_rank"), F.count("*").alias("query_count"))
 
 
 @query("""
@@ -297,8 +334,8 @@ def sampled_between_distances(spark, d):
 
 @query(f"with {_INV} select fact_id, count(*) as pairs, round(avg(distance), 9) as mean, round(min(distance), 9) as least, round(max(distance), 9) as most from w group by 1")
 def within_distances(spark, d):
-    w = M.within_distances(_forms_with_vectors(spark, d))
-    return w.groupBy("fact_id").agg(F.count("*").alias("pairs"), *(F.round(f("distance"), 9).alias(n) for f, n in ((F.avg, "mean"), (F.min, "least"), (F.max, "most"))))
+    w = M.within_extremes(_forms_with_vectors(spark, d))
+    return w.select("fact_id", "pairs", *(F.round(c, 9).alias(c) for c in ("mean", "least", "most")))
 
 
 @query(f"with {_INV} select fact_id, round(c[1], 9) as first, round(c[64], 9) as last, round(list_sum(c), 8) as total from cc")

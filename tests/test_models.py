@@ -1,4 +1,4 @@
-"""Encoders with given weights, numeric modes, students, caches, checkpoints and the Poisson bootstrap, against plain formulas."""
+"""Encoders with given weights, numeric modes, students, caches, checkpoints and the bootstrap, against plain formulas."""
 
 import math
 
@@ -11,6 +11,7 @@ from lexiform.operators import encoders as E
 from lexiform.operators import features as X
 from lexiform.operators import metrics as M
 from lexiform.operators import ranking as R
+from lexiform.operators import resample as RS
 from lexiform.operators import splits as S
 
 
@@ -134,7 +135,7 @@ def test_gradient_of_the_loss():
         assert grads[k][at] == pytest.approx((loss[0] - loss[1]) / 2e-5, rel=1e-3, abs=1e-6)
 
 
-def test_poisson_bootstrap_is_close_to_resampling(spark):
+def test_bootstrap_is_close_to_resampling(spark):
     rng = np.random.default_rng(2)
     ranks = [int(r) if r else None for r in rng.integers(0, 9, 400)]
     got = M.bootstrap(spark.createDataFrame([(i, r) for i, r in enumerate(ranks)], "id int, rank int"), 400).first()
@@ -144,6 +145,31 @@ def test_poisson_bootstrap_is_close_to_resampling(spark):
     for k, name in enumerate(M.METRICS):
         assert got[f"{name}_ci_low"] == pytest.approx(want[0, k], abs=0.02) and got[f"{name}_ci_high"] == pytest.approx(want[1, k], abs=0.02)
     assert M.bootstrap(spark.createDataFrame([(0, 1)], "id int, rank int"), 20).first().bootstrap_resamples == 20
+    assert M.bootstrap(spark.createDataFrame([], "id int, rank int"), 20).first().bootstrap_resamples == 0
+
+
+def test_resamples_have_exactly_n_rows(spark):
+    """45,000 distinct ranks: two levels of the tree. Sizes are exact, means and deviations those of a multinomial draw."""
+    n = 45_000
+    ranks = spark.range(n).select((F.col("id") + 1).alias("rank")).unionByName(spark.range(5000).select(F.lit(1).cast("long").alias("rank")))
+    rows = ranks.select("rank", (F.col("rank") <= 1).cast("double").alias("top1"), (F.col("rank") > n / 2).cast("double").alias("late"))
+    got = RS.resampled_sums(rows, "rank", ["top1", "late"], 40, 13).collect()
+    assert len(got) == 40 and {r.n for r in got} == {n + 5000}
+    for c, p in (("top1", 5001 / 50_000), ("late", 22_500 / 50_000)):
+        sd = math.sqrt(50_000 * p * (1 - p))
+        x = np.array([r[c] for r in got])
+        assert abs(x.mean() - 50_000 * p) < 5 * sd / math.sqrt(40) and 0.6 * sd < x.std() < 1.5 * sd
+
+
+def test_binomial_quantiles_match_exact_sums():
+    for m, left, right in ((0, 1, 2), (1, 1, 1), (7, 3, 1), (60, 1, 50), (1000, 999, 1)):
+        p, total, table = left / (left + right), 0.0, []
+        for k in range(m + 1):
+            total += math.comb(m, k) * p**k * (1 - p) ** (m - k)
+            table.append(total)
+        u = np.array([0.0, 1e-9, 0.1, 0.5, 0.77, 0.999, 1 - 1e-12])
+        want = [next((k for k, x in enumerate(table) if x >= c - 1e-15), m) for c in u]
+        assert RS.quantiles(np.full(len(u), m), left, right, u).tolist() == want, m
 
 
 def test_sampled_pairs_are_exact_in_number():

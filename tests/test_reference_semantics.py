@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiform.functions import text as T
+from lexiform.operators import bounded as B
 from lexiform.operators import classes as C
 from lexiform.operators import encoders as E
 from lexiform.operators import features as X
@@ -252,12 +253,65 @@ def test_first_match_ranks_over_blocks(spark, monkeypatch):
         score = {g: round(float(np.dot(v, w)), 9) for g, _, w in vec if g != f}
         order = sorted(score, key=lambda g: (-score[g], g))
         want[f] = next(k for k, g in enumerate(order, 1) if dict((a, b) for a, b, _ in vec)[g] == fact)
-    monkeypatch.setattr(R, "QUERY_BLOCK", 16)
-    monkeypatch.setattr(R, "CANDIDATE_BLOCK", 16)
-    got = {r.form_id: r["rank"] for r in R.dense_ranks(df, df).collect()}
-    assert got == want
-    top = R.scored(df.withColumn("idx", F.col("form_id")), df.withColumn("idx", F.col("form_id")), 1.0, 3)
-    assert top.groupBy("q_form").count().filter("count <> 3").isEmpty()
+    monkeypatch.setattr(B, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(B, "BLOCK", 16)
+    for size in (5, 16, 1000):
+        got = {r.form_id: r.ranks[0] for r in B.first_match(df, df, [1.0], size=size).collect()}
+        assert got == want
+        top = {(r.q_form, r["rank"]): r.c_form for r in B.top_k(df, df, 1.0, 3, size=size).collect()}
+        scores = {f: sorted((-round(float(np.dot(v, w)), 9), g) for g, _, w in vec if g != f) for f, _, v in vec}
+        assert top == {(f, k): scores[f][k - 1][1] for f in scores for k in (1, 2, 3)}
+
+
+def pools_by_hand(rows, blends, tasks):
+    """Ranks and numbers of candidates from plain loops. rows: form_id, fact_id, sparse dict, dense, task, serves."""
+    out = {}
+    for f, fact, s, d, task, _ in rows:
+        for i, b in enumerate(blends):
+            score = {g: round((1 - b) * sum(s.get(k, 0) * x for k, x in s2.items()) + b * float(np.dot(d, d2)), 9) for g, _, s2, d2, _, serves in rows if g != f and task in serves}
+            order = sorted(score, key=lambda g: (-score[g], g))
+            facts = {g: h for g, h, *_ in rows}
+            out[f, i] = next((k for k, g in enumerate(order, 1) if facts[g] == fact), None)
+    return out
+
+
+@pytest.mark.parametrize("spread_out", [0.02, 1.0])
+def test_bounds_leave_ranks_exact(spark, spread_out):
+    """Tight and loose clusters, ties at the threshold, repeated vectors, zero vectors, several blends and tasks at once."""
+    rng = np.random.default_rng(7)
+    centres, rows = rng.normal(size=(6, 5)), []
+    for i in range(150):
+        c = i % 6
+        d = np.round(centres[c] + spread_out * rng.normal(size=5), 3) * (0.0 if i % 40 == 39 else rng.choice([0.5, 1.0, 2.0]))
+        s = {int(k): round(float(w), 2) for k, w in zip(rng.integers(c * 5, c * 5 + 8, 4), rng.random(4), strict=True)} if i % 25 else {}
+        if i % 10 == 3:
+            s, d = rows[-1][2], rows[-1][3]  # a tie
+        rows.append((f"{i:03d}", str(rng.integers(0, 30)), s, d, int(rng.integers(0, 2)), [[0], [1], [0, 1], []][int(rng.integers(0, 4))]))
+    frame = [(f, k, list(s), list(s.values()), d.tolist(), t, v) for f, k, s, d, t, v in rows]
+    df = spark.createDataFrame(frame, "form_id string, fact_id string, g array<long>, w array<double>, dense array<double>, task int, serves array<int>")
+    blends = [0.0, 1.0, 0.7]
+    want = pools_by_hand(rows, blends, 2)
+    got = B.first_match(df.drop("serves"), df.drop("task"), blends, n_tasks=2, size=8).collect()
+    assert len(got) == 150 and {(r.form_id, i): r.ranks[i] if r.ranks else None for r in got for i in range(3)} == want
+    pairs, asked = sum(r.scored or 0 for r in got), sum(sum(r[4] in v for *_, v in rows) for r in rows if want[r[0], 0] is not None)
+    assert pairs < asked if spread_out < 0.5 else pairs <= asked  # bounds tell tight clusters apart
+
+
+def test_dense_blocks_are_counted_without_scores(spark):
+    """Blocks before and behind the threshold: of 40 clusters on a circle a few are scored for each query."""
+    rng = np.random.default_rng(3)
+    at = np.repeat(np.arange(40) * np.pi / 40, 25) + rng.normal(size=1000) * 1e-3
+    rows = [(f"{i:04d}", str((i // 25 * 7 + i) % 90), [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(at)]
+    df = spark.createDataFrame(rows, "form_id string, fact_id string, dense array<double>")
+    got = B.first_match(df, df, [1.0], size=25).collect()
+    x = np.array([v for *_, v in rows])
+    score = np.round(x @ x.T, 9)
+    facts, forms = np.array([f for _, f, _ in rows]), np.arange(1000)
+    for r in got:
+        i = int(r.form_id)
+        order = [j for j in np.lexsort((forms, -score[i])) if j != i]
+        assert (r.ranks[0] if r.ranks else None) == next((k for k, j in enumerate(order, 1) if facts[j] == facts[i]), None)
+    assert sum(r.scored or 0 for r in got) < 0.2 * 1000 * 1000
 
 
 def test_teacher_golden(spark):
