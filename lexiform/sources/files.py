@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiform.functions.text import ascii_json, sorted_value
+from lexiform.sources import members
+from lexiform.sources.quoted import read_quoted
 
 FORM = "struct<text:string,notation:string>"
 CLASS_SCHEMA = f"fact_id string, track string, forms array<{FORM}>, attrs map<string,string>, attr_lists map<string,array<string>>"
@@ -51,7 +53,8 @@ def read_table(spark: SparkSession, path: str, quoted: bool = True) -> DataFrame
 
 
 def read_hgnc(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path)
+    """The gene table, whose lists are quoted: plain files are read split by split, with line breaks inside quotes."""
+    return read_quoted(spark, path)
 
 
 def read_allele_gene(spark: SparkSession, path: str) -> DataFrame:
@@ -62,12 +65,12 @@ def read_variant_summary(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path)
 
 
-def read_hgvs(spark: SparkSession, path: str, packed: bool = True) -> DataFrame:
-    """hgvs4variation: comment lines and rows of another arity than 13 go; there is no quoting. ``packed``: gzip files, whose rows are dealt out behind the scan."""
-    lines = with_order(spark.read.text(path)).filter(~F.col("value").startswith("#"))
-    lines = lines.repartition("ord") if packed else lines
-    parts = lines.select("ord", F.split("value", "\t", -1).alias("p")).filter(F.size("p") == len(HGVS_COLUMNS))
-    return parts.select("ord", *(F.col("p")[i].alias(c) for i, c in enumerate(HGVS_COLUMNS)))
+def read_hgvs(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """hgvs4variation: comment lines and rows of another arity than 13 go; there is no quoting. Packed files are read member by member, with filters pushed down."""
+    members.register(spark)
+    reader = spark.read.format("gene_table").option("path", path).option("columns", ",".join(HGVS_COLUMNS)).option("numbered", "true")
+    rows = (reader if split_bytes is None else reader.option("splitBytes", split_bytes)).load()
+    return rows.select(F.struct("file", "row").alias("ord"), *HGVS_COLUMNS)
 
 
 def by_entrez(hgnc: DataFrame) -> DataFrame:

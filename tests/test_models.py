@@ -107,6 +107,52 @@ def test_cache_is_read_through(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3 and np.allclose(first["a"], calls(E.byte_matrix(["a"]))[0])
 
 
+def test_cache_rows_do_not_multiply(spark, tmp_path):
+    """Two models and interleaved, repeated runs, null texts: one row a text and model; a run reads and writes its own buckets only."""
+    path, enc = str(tmp_path / "cache"), E.MeanEncoder()
+    frame = lambda *t: spark.createDataFrame([(x,) for x in t], "text string")
+    a, b = frame("a", "b", None, "a"), frame("b", "c", None)
+    for name in ("m", "n", "m"):
+        for df in (a, b, a):
+            rows = E.cached_encode(df, enc, path, name).collect()
+            assert len(rows) == df.count() and all(r.dense is not None for r in rows)
+    held = spark.read.parquet(path)
+    assert held.count() == 8 and held.groupBy("model", "text").count().filter("count > 1").isEmpty()
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    E.cached_encode(frame("zz"), enc, path, "m").collect()
+    after = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    new = {p.parent for p in set(after) - set(before)}
+    assert len(new) == 1 and all(after.get(p) == t for p, t in before.items() if p.parent not in new)
+
+
+def test_vocabulary_and_labels_of_a_million_values(spark):
+    """Numbers by ranges instead of one window a field; labels by joins, with a value that a third of the rows hold."""
+    n = 1_000_000
+    rows = spark.range(n).select("id", F.create_map(F.lit("k"), F.lpad(F.col("id").cast("string"), 7, "0"), F.lit("few"), (F.col("id") % 3).cast("string")).alias("attrs"))
+    vocabulary = X.vocabularies(rows, ["k", "few", "none"]).cache()
+    assert vocabulary.count() == n + 3 and vocabulary.filter("field = 'k' and cast(value as int) <> index").isEmpty()
+    assert sorted((r.value, r["index"]) for r in vocabulary.filter("field = 'few'").collect()) == [("0", 0), ("1", 1), ("2", 2)]
+    asked = spark.range(30_000).select("id", F.create_map(F.lit("k"), F.when(F.col("id") % 3 == 0, "0000007").when(F.col("id") % 3 == 1, F.lpad((F.col("id") * 31).cast("string"), 7, "0")), F.lit("few"), F.lit("9")).alias("attrs"))
+    got = X.attribute_labels(asked, vocabulary, ["k", "few"])
+    want = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") * 31).otherwise(-1)
+    assert got.count() == 30_000 and got.filter(want != F.col("label_k")).isEmpty() and got.filter("label_few <> -1").isEmpty()
+    vocabulary.unpersist()
+
+
+def test_pairs_of_blocks_cover_hot_facts(spark):
+    """Extremes equal those over all pairs; no group of a fact of 100,000 forms is larger than two blocks."""
+    rng = np.random.default_rng(1)
+    rows = [("hot" if i % 3 else str(i % 40), f"{i:04d}", E.unit(rng.normal(size=3)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "fact_id string, form_id string, dense array<double>")
+    w = M.within_distances(df).groupBy("fact_id").agg(F.count("*").alias("n"), F.avg("distance").alias("m"), F.min("distance").alias("a"), F.max("distance").alias("b")).collect()
+    for size in (7, 2048):
+        got = {r.fact_id: r for r in M.within_extremes(df, size).collect()}
+        assert len(got) == len(w) and all((got[r.fact_id].pairs, got[r.fact_id].mean, got[r.fact_id].least, got[r.fact_id].most) == pytest.approx((r.n, r.m, r.a, r.b), abs=1e-9) for r in w)
+    many = spark.range(100_000).select(F.lit("f").alias("fact_id"), F.col("id").cast("string").alias("form_id"), F.array(F.lit(1.0)).alias("dense"))
+    sizes = M.block_pairs(many).groupBy("group").count().agg(F.max("count").alias("most"), F.count("*").alias("groups")).first()
+    assert sizes.most <= 2.3 * M.BLOCK and sizes.groups == 49 * 50 / 2
+
+
 def test_training_over_workers_and_checkpoints(spark, tmp_path):
     pairs = spark.createDataFrame([(f"f{i}", f"gene {i} alpha", f"{i} alpha!") for i in range(200)], "fact_id string, left_text string, right_text string")
     history = []

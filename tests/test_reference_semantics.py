@@ -17,6 +17,7 @@ from lexiform.operators import pairs as P
 from lexiform.operators import ranking as R
 from lexiform.operators import splits as S
 from lexiform.sources import files, registry, synthetic
+from lexiform.sources import quoted as Q
 from lexiform.streaming import forms as streaming
 
 HGNC = ["hgnc_id", "symbol", "name", "locus_group", "locus_type", "status", "location", "alias_symbol", "alias_name", "prev_symbol", "prev_name", "refseq_accession", "uniprot_ids", "mane_select", "entrez_id", "ensembl_gene_id"]
@@ -145,6 +146,56 @@ def test_summary_classes(spark, tmp_path):
     assert got.attr_lists["assemblies"] == ["GRCh37", "GRCh38"] and got.attr_lists["phenotypes"] == ["p0", "p1", "p2"]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Splits of text files of a few bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "37")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quoted_table_in_splits(spark, tmp_path, small_splits):
+    """Line breaks, separators and doubled quotes inside quotes, records over several splits: as one task reads them."""
+    rng = np.random.default_rng(4)
+    rows = [["x", "y", "z"]]
+    for i in range(60):
+        rows.append([str(i), "".join(rng.choice(["a", "bc", "\n", "\t", '"', "\n\n", " "]) for _ in range(rng.integers(0, 30))), "w" * int(rng.integers(0, 9))])
+    shown = lambda v: '"' + v.replace('"', '""') + '"' if set(v) & set('\n\t"') else v
+    for k, part in enumerate((rows[:30], rows[:1] + rows[30:])):
+        (tmp_path / f"{k}.txt").write_text("\n".join("\t".join(map(shown, r)) for r in part) + "\n")
+    df = Q.read_quoted(spark, str(tmp_path))
+    assert Q.quoted_records(spark, str(tmp_path)).select("ord.row").distinct().count() > 20
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    got = [tuple(r) for r in df.orderBy("ord").select("x", "y", "z").collect()]
+    assert sorted((a, b or "", c or "") for a, b, c in got) == sorted((a, b, c) for a, b, c in rows[1:])
+    whole = spark.read.options(sep="\t", header=True, multiLine=True, quote='"', escape='"').csv(str(tmp_path))
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in whole.collect())
+    assert [int(a) for a, *_ in got if int(a) < 29] == sorted(int(a) for a, *_ in got if int(a) < 29)
+
+
+def test_members_of_packed_files(spark, tmp_path):
+    """Members that end inside lines, comments, rows of another arity; any split size gives each row once; filters reach the reader."""
+    lines = ["# comment"] + ["\t".join([f"S{i % 5}", str(i), *(f"v{i}c{k}" for k in range(11))]) for i in range(3000)] + ["a\tb"]
+    text = ("\n".join(lines) + "\n").encode()
+    cuts = [0, 1, *range(700, len(text), 7001), len(text)]
+    (tmp_path / "h.gz").write_bytes(b"".join(gzip.compress(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)))
+    path = str(tmp_path / "h.gz")
+    for split in (500, 3000, 40_000, 1 << 30):
+        rows = files.read_hgvs(spark, path, split)
+        assert sorted(int(r.GeneID) for r in rows.collect()) == list(range(3000))
+        assert [int(r.GeneID) for r in rows.orderBy("ord").collect()] == list(range(3000))
+    many = files.read_hgvs(spark, path, 3000)
+    assert many.rdd.getNumPartitions() >= (tmp_path / "h.gz").stat().st_size // 3000
+    found = many.filter((F.col("GeneID").isin("7", "8", "2999")) & (F.col("Symbol") == "S4"))
+    assert [r.GeneID for r in found.collect()] == ["2999"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "gene_table" in plan and "Filter (" not in plan.replace("PushedFilters", "")
+    one = spark.read.format("gene_table").option("path", gz(tmp_path, "n.gz", "#A\tB\n1\t2\n3\n4\t5\n")).load()
+    assert one.columns == ["A", "B"] and [tuple(r) for r in one.collect()] == [("1", "2"), ("4", "5")]
+
+
 def test_file_runs_over_splits(spark):
     keys = ["a", "a", "b", "b", "b", "a", "c", "c"]
     rows = [((f"f{i // 5}", (i % 5 // 2 << 33) + i), k) for i, k in enumerate(keys)]
