@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lexiform.llm.common import discard, materialize
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 CHUNKS = "chunk long, doc_ids array<long>, sizes binary, codes binary, lengths binary, a array<array<int>>, b array<array<int>>"
 PASSED = "chunk long, doc_ids array<long>, figures binary, digests array<string>, sizes binary, codes binary, bad binary, n_links binary, links binary, pairs array<long>, documents array<long>"
