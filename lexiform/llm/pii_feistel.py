@@ -10,8 +10,9 @@ with a day up to 12 or among the others, so no order of theirs becomes readable
 
 Defined cases: null text stays null; empty text and text without PII stay as they
 are; values that fail their check stay; of overlapping finds the first kind of KINDS
-holds; cards are runs of 13 to 19 digits, or groups of 4 or of 4, 6 and 5; phones have separators
-or a plus sign, in groups of 2 to 4 digits; texts of any length are handled whole; rows and ids may repeat; an empty
+holds; cards are runs of 13 to 19 digits, or groups of 4 or of 4, 6 and 5; phones have a
+plus sign, an area code in brackets, a trunk zero with pairs of digits, or the groups and first digits of the North American plan (223-456-7890);
+version numbers of four parts (10.0.0.1) pass as addresses; texts of any length are handled whole; rows and ids may repeat; an empty
 table gives no rows; other columns are ignored. Left as they are, for want of a check: runs of
 digits without separators that are no card (phones, social security numbers), years outside 1000
 to 2999, names of months, IPv6 and street addresses.
@@ -165,7 +166,7 @@ KINDS: list[tuple[str, re.Pattern, Callable[[str, bytes], str | None]]] = [
     ("date", re.compile(r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9])|[-/][0-9])"), date),
     ("ssn", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"), ssn),
     ("card", re.compile(r"(?<![0-9A-Za-z+])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1(?:[0-9]{4}\1[0-9]{1,3}|[0-9]{1,4})|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])"), card),
-    ("phone", re.compile(r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?([ .-])[0-9]{1,4}(?:\1[0-9]{1,4}){1,5}(?![0-9A-Za-z]|\.[0-9])|(?<![0-9A-Za-z.,-])0[1-9](?:([ .-])[0-9]{2})(?:\2[0-9]{2}){3}(?![0-9A-Za-z]|[.,-][0-9])|(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{9,15}(?![0-9A-Za-z])"), phone),
+    ("phone", re.compile(r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?([ .-])[0-9]{1,4}(?:\1[0-9]{1,4}){1,5}(?![0-9A-Za-z]|\.[0-9])|(?<![0-9A-Za-z.,-])0[1-9](?:([ .-])[0-9]{2})(?:\2[0-9]{2}){3}(?![0-9A-Za-z]|[.,-][0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\((?:0[0-9]{1,4}|[0-9]{2,3})\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[.,-][0-9])|(?<![0-9A-Za-z.,+-])[2-9][0-9]{2}([.-])[2-9][0-9]{2}\3[0-9]{4}(?![0-9A-Za-z]|[.,-][0-9])|(?<![0-9A-Za-z])\+[0-9]{9,15}(?![0-9A-Za-z])"), phone),
 ]
 _TOKEN = re.compile("[0-9A-Za-z]+")
 _ANY = re.compile(r"[0-9@]")
@@ -183,7 +184,7 @@ class Pseudonyms:
         return self.known[kind, text]
 
     def __call__(self, text: str) -> tuple[str, dict[str, int]]:
-        """The text with all finds replaced, and their number by kind."""
+        """The text with all finds replaced, and how many of each kind changed (an address whose local part has no letter or digit stays)."""
         count = dict.fromkeys((k[0] for k in KINDS), 0)
         if not _ANY.search(text):
             return text, count
@@ -209,7 +210,7 @@ class Pseudonyms:
                     at = first.end() if first else start + 1
                 else:
                     taken.append((start, end, new))
-                    count[kind] += 1
+                    count[kind] += new != m[0]
         out, at = [], 0
         for start, end, new in sorted(taken):
             out += [text[at:start], new]
