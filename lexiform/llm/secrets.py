@@ -20,7 +20,7 @@ scanned whole; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiform.llm.common import join_stats, let, materialize, prefix_sums
@@ -51,6 +51,7 @@ def matches(text: Column, pattern: str, group: int) -> Column:
 
 
 SPANS = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
+TOLD = "array<struct<start:int,ord:int,end:int,kind:string,owners:bigint,repos:bigint,occurrences:bigint,live:boolean>>"
 
 
 def _kind(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -64,15 +65,28 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: list[str]) -> DataFrame:
-    """A row for each row of docs, without its text: base spans in order, and candidates that no base span covers."""
+    """A row for each row of docs, without its text, numbered by rid: base spans in order, and mixed tokens, which base spans may cover."""
     text = F.coalesce(F.col("text"), F.lit(""))
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), known(owner_col).alias("owner"), F.concat_ws("\1", *map(known, repo_cols)).alias("repo"))
-    rows = rows.select("doc_id", F.sha2(text.cast("binary"), 256).alias("text_hash"), "owner", "repo", *(_kind(text, i, *k).alias(k[0]) for i, k in enumerate(BASE)), _kind(text, len(BASE), *OWNED).alias("other"))
+    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repo", *(_kind(text, i, *k).alias(k[0]) for i, k in enumerate(BASE)), _kind(text, len(BASE), *OWNED).alias("other"))
     base = F.array_sort(F.concat(*(F.col(k[0]) for k in BASE)))
     mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return rows.withColumn("base", base).withColumn("other", F.filter("other", lambda s: mixed(s) & free(s)))
+    return rows.withColumn("base", base).withColumn("other", F.filter("other", mixed))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(rid, owner, repo, start, ord, end, kind, hash): all base spans and the tokens that no base span covers.
+
+    In the order of places, base spans at their starts and tokens at their ends, a token is covered if an earlier base span ends behind
+    its start: a running maximum, linear but for the sort in the number of spans of a text.
+    """
+    spans = rows.select("rid", "owner", "repo", F.explode(F.concat("base", "other")).alias("s"))
+    spans = spans.select("rid", "owner", "repo", "s.start", "s.ord", "s.end", "s.kind", F.unhex(F.sha2(F.col("s.value").cast("binary"), 256)).alias("hash"))
+    own = F.col("ord") < len(BASE)
+    w = Window.partitionBy("rid").orderBy(F.when(own, F.col("start")).otherwise(F.col("end")), own).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(own, F.col("end"))).over(w)
+    return spans.withColumn("reach", reach).filter(own | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).drop("reach")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -88,26 +102,23 @@ def find_secrets(
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live (base spans with a live-looking value), ownership (counts of all candidates in order)."""
     rows = materialize(scan(docs, id_col, text_col, owner_col, list(repo_cols)), "spans")
     some = rows.filter((F.size("base") > 0) | (F.size("other") > 0))
-    held = some.select("doc_id", "text_hash", "owner", "repo", F.explode(F.concat("base", "other")).alias("s"))
-    held = materialize(held.select("doc_id", "text_hash", "owner", "repo", F.sha2(F.col("s.value").cast("binary"), 256).alias("hash")), "candidates")
+    held = materialize(candidates(some), "candidates")
     stats = materialize(ownership(held), "ownership")
-    counted = join_stats(held.select("doc_id", "text_hash", "hash").distinct(), stats, "hash", "occurrences")
     live = ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live")
-    known = counted.groupBy(F.col("doc_id").alias("v_id"), F.col("text_hash").alias("v_hash")).agg(F.map_from_entries(F.collect_list(F.struct("hash", F.struct("owners", "repos", "occurrences", live)))).alias("known"))
-    both = some.join(known, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("text_hash") == F.col("v_hash")), "left").drop("v_id", "v_hash")
-    of = lambda s: F.try_element_at(F.col("known"), F.sha2(s["value"].cast("binary"), 256))
-    both = both.withColumn("owned", F.filter("other", lambda s: of(s)["live"])).withColumn("n_live", F.size(F.filter("base", lambda s: of(s)["live"])).cast("long"))
-    counts = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *(of(s)[c].alias(c) for c in ("owners", "repos", "occurrences", "live")))
-    both = both.withColumn("ownership", F.transform(F.array_sort(F.concat("base", "other")), counts)).drop("known")
+    counted = join_stats(held.select("rid", "start", "ord", "end", "kind", "hash"), stats, "hash", "occurrences")
+    told = F.array_sort(F.collect_list(F.struct("start", "ord", "end", "kind", "owners", "repos", "occurrences", live)))
+    both = some.join(counted.groupBy("rid").agg(told.alias("told")), "rid", "left").withColumn("told", F.coalesce("told", F.array().cast(TOLD)))
+    both = both.withColumn("shown", F.filter("told", lambda s: (s["ord"] < len(BASE)) | s["live"])).withColumn("n_live", F.size(F.filter("told", lambda s: (s["ord"] < len(BASE)) & s["live"])).cast("long"))
+    both = both.withColumn("ownership", F.transform("told", lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "owners", "repos", "occurrences", "live")))))
     kind = both.schema["ownership"].dataType
     none = rows.filter((F.size("base") == 0) & (F.size("other") == 0))
-    none = none.withColumn("owned", F.array().cast(SPANS)).withColumn("n_live", F.lit(0).cast("long")).withColumn("ownership", F.array().cast(kind))
-    return both.unionByName(none).select(
+    none = none.withColumn("shown", F.array().cast(TOLD)).withColumn("n_live", F.lit(0).cast("long")).withColumn("ownership", F.array().cast(kind))
+    return both.drop("told").unionByName(none).select(
         "doc_id",
         *(F.size(k[0]).cast("long").alias(f"n_{k[0]}") for k in BASE),
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        _joined(F.array_sort(F.concat("base", "owned"))).alias("spans"),
-        F.size("owned").cast("long").alias("n_owned"),
+        _joined(F.col("shown")).alias("spans"),
+        F.size(F.filter("shown", lambda s: s["ord"] == len(BASE))).cast("long").alias("n_owned"),
         "n_live",
         "ownership",
     )

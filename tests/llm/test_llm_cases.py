@@ -316,6 +316,16 @@ def test_secret_verdicts_match_brute_force(spark):
     assert len({live(v) for v in owners}) == 2
 
 
+def test_a_text_of_distinct_tokens_is_linear(spark):
+    """5 MB of distinct tokens, some as values of assignments: no lookup runs over all other tokens of the text."""
+    tokens = [f"aB{i:07d}" + "x" * 20 for i in range(150_000)]
+    text = " ".join(f"token={t}" if i % 3 == 0 else t for i, t in enumerate(tokens))
+    start = time.perf_counter()
+    got = secrets.find_secrets(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).first()
+    assert (got.n_assign, got.n_owned, got.n_live, len(got.ownership)) == (50_000, 100_000, 50_000, 150_000)
+    assert len(text) > 4_700_000 and time.perf_counter() - start < 60
+
+
 # ---------------------------------------------------------------- 7
 
 
