@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiform.functions.text import clean, clean_summary, nucleotide_position, protein_position, split_values, strip, unquote
+from lexiform.sources import files, members
+from lexiform.sources.shared import discard, materialize
 
 NO_LISTS = "map<string,array<string>>"
 
@@ -182,6 +184,29 @@ def hgvs_classes(rows: DataFrame, hgnc: DataFrame, require_gene: bool = True, by
     return cap(out, [F.col("ord")], limit).drop("ord")
 
 
+def first_hgvs_classes(spark: SparkSession, path: str, hgnc: DataFrame, limit: int, require_gene: bool = True, split_bytes: int | None = None, splits_read: list[int] | None = None) -> DataFrame:
+    """The first ``limit`` classes of a file of variations in order, by runs, from a growing scan.
+
+    One split is read first, then twice as many while classes are short. The last run of what has been read may go on behind
+    the edge: it counts only when the file is read to its end. ``splits_read`` gets the number of splits of each scan.
+    """
+    total, k = max(1, members.split_count(path, split_bytes)), 1
+    while True:
+        rows = files.read_hgvs(spark, path, split_bytes, k)
+        if splits_read is not None:
+            splits_read.append(min(k, total))
+        if k < total:
+            # Rows behind the last change of the variation are left for a longer scan.
+            tail = rows.agg(F.max_by(clean(F.col("VariationID")), "ord").alias("vid")).first()["vid"]
+            edge = rows.filter(~clean(F.col("VariationID")).eqNullSafe(F.lit(tail))).agg(F.max("ord").alias("edge"))
+            rows = rows.join(F.broadcast(edge), F.col("ord") <= F.col("edge")).drop("edge")  # one row
+        out = materialize(hgvs_classes(rows, hgnc, require_gene, by_runs=True, limit=limit), "first-classes")
+        if k >= total or out.count() >= limit:
+            return out
+        discard(out)
+        k *= 2
+
+
 def summary_classes(rows: DataFrame, by_runs: bool = False, limit: int | None = None) -> DataFrame:
     """A class for each variation of a variant summary, with coordinates of its assemblies."""
     one = {"AlleleID": "allele", "GeneID": "gene", "GeneSymbol": "symbol", "HGNC_ID": "hgnc", "Assembly": "assembly", "Chromosome": "chr", "Start": "start", "Stop": "stop", "ReferenceAlleleVCF": "ref", "AlternateAlleleVCF": "alt", "PositionVCF": "pos", "Type": "type", "ClinicalSignificance": "significance", "ReviewStatus": "review", "Name": "name", "RS# (dbSNP)": "rs", "Cytogenetic": "band"}

@@ -19,7 +19,7 @@ from lexiform.operators.bounded import first_match
 from lexiform.operators.skew import spread
 from lexiform.plans.base import CONV_SQL, PART_SQL, conversation_classes, part_classes, query, table
 from lexiform.sources import files
-from lexiform.sources.shared import materialize
+from lexiform.sources.shared import materialize, new_path
 
 
 @query(f"""
@@ -426,6 +426,24 @@ def encoder_forward(spark, d):
     return out
 
 
+_RUNS = {"first": "turn % 2 = 0", "second": "turn <= 1", "first again": "turn % 2 = 0", "all": "true"}
+
+
+@query(" union all ".join(
+    f"select '{run}' as run, count(*) as rows, (select count(*) from (select distinct text from conversations where {' or '.join(list(_RUNS.values())[: i + 1])})) as entries, count(*) filter (where coalesce(text, '') = '') as without from conversations where {test}"
+    for i, (run, test) in enumerate(_RUNS.items())
+))
+def encoder_cache(spark, d):
+    """Interleaved and repeated runs over one cache: rows, entries of the cache behind each run, and rows without a vector of unit length."""
+    path, turns, out = new_path(spark, "cache"), table(spark, d, "conversations").select("turn", "text"), []
+    for run, test in _RUNS.items():
+        rows = E.cached_encode(turns.filter(test).select("text"), E.MeanEncoder(), path, "mean")
+        unit = F.coalesce(F.abs(M.dot(F.col("dense"), F.col("dense")) - 1) < 1e-6, F.lit(False))
+        told = rows.agg(F.count("*").alias("rows"), F.count_if(~unit).alias("without")).join(spark.read.parquet(path).agg(F.count("*").alias("entries")))  # single rows
+        out.append(materialize(told.select(F.lit(run).alias("run"), "rows", "entries", "without"), "run"))  # before the next run changes the cache
+    return reduce(DataFrame.unionByName, out)
+
+
 @query()
 def student_retrieval(spark, d):
     """A student fitted on (brand, type) pairs, then dense first-match ranks of types among brands."""
@@ -485,7 +503,6 @@ def capped_pool(spark, d):
 @query("select event_type, time_bucket(interval '1 day', ts) as start, count(*) as n from events group by 1, 2")
 def streamed_windows(spark, d):
     """Daily counts from a stream over the events, as its last complete result."""
-    from lexiform.sources.shared import new_path
     from lexiform.streaming.forms import windowed_counts
 
     out = new_path(spark, "stream")

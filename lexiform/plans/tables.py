@@ -66,6 +66,22 @@ def variant_file_classes(spark, d):
     return out.select("fact_id", a("gene_id"), a("hgnc_id"), a("hgnc_name"))
 
 
+@query("""
+with r as (select l_orderkey as v, l_linenumber as ln, l_partkey as p, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as n from lineitem),
+g as (select v, arg_min(p, n) as gene, min(n) as first from r group by v order by first limit 200) select 'clinvar_hgvs:' || v as fact_id, gene::varchar as gene_id from g
+""")
+def first_file_classes(spark, d):
+    """The first 200 classes of a packed file in its order; the scan stops when they are there."""
+    li, s = table(spark, d, "lineitem"), lambda c: F.col(c).cast("string")
+    fields = [F.lit("A"), s("l_partkey"), s("l_orderkey"), s("l_suppkey"), F.lit("coding"), F.lit("na"), F.concat(F.lit("NM_"), s("l_suppkey"), F.lit(".1:c."), s("l_partkey"), F.lit("A>G")), F.lit("-"), F.lit("-"), F.lit("-"), F.lit(""), F.lit(""), F.lit("")]
+    path = new_path(spark, "hgvs")
+    # Files are named by the range that they hold.
+    lines = li.repartitionByRange(4, "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").select(F.concat_ws("\t", *fields).alias("value"))
+    lines.write.option("compression", "gzip").text(path)
+    out = C.first_hgvs_classes(spark, path, files.by_entrez(P._genes(spark, d)), 200, split_bytes=1 << 16)
+    return out.select("fact_id", F.try_element_at("attrs", F.lit("gene_id")).alias("gene_id"))
+
+
 @query(base.SQL["variant_summary_classes"])
 def summary_file_classes(spark, d):
     """variant_summary_classes through packed files."""

@@ -65,11 +65,12 @@ def read_variant_summary(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path)
 
 
-def read_hgvs(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+def read_hgvs(spark: SparkSession, path: str, split_bytes: int | None = None, first_splits: int | None = None) -> DataFrame:
     """hgvs4variation: comment lines and rows of another arity than 13 go; there is no quoting. Packed files are read member by member, with filters pushed down."""
     members.register(spark)
     reader = spark.read.format("gene_table").option("path", path).option("columns", ",".join(HGVS_COLUMNS)).option("numbered", "true")
-    rows = (reader if split_bytes is None else reader.option("splitBytes", split_bytes)).load()
+    given = {"splitBytes": split_bytes, "firstSplits": first_splits}
+    rows = reader.options(**{k: v for k, v in given.items() if v is not None}).load()
     return rows.select(F.struct("file", "row").alias("ord"), *HGVS_COLUMNS)
 
 

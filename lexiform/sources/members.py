@@ -4,7 +4,7 @@ Gzip streams may follow each other in one file. A split of the file's bytes read
 file of many members is read by many tasks; as for plain text, the first line of a split belongs to the split before it, which reads one
 line beyond its end. Options: path (files, comma-separated), columns (comma-separated; else the first line names them, with ``#``
 before the first name), arity (rows with another number of fields go), numbered (adds file and row, which grows with the
-place in the file), splitBytes. Lines that start with ``#`` are comments. There is no quoting. Filters for equality with texts, and for lists of them, are applied while reading.
+place in the file), splitBytes, firstSplits (only so many splits, in the order of files and places, are read). Lines that start with ``#`` are comments. There is no quoting. Filters for equality with texts, and for lists of them, are applied while reading.
 """
 
 from __future__ import annotations
@@ -144,7 +144,9 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         split = int(self.options.get("splitbytes", self.options.get("splitBytes", SPLIT)))
-        return [_Part(path, at, min(at + split, size), size, at // split) for path, size in _files(self.options["path"]) for at in range(0, size, split)]
+        parts = [_Part(path, at, min(at + split, size), size, at // split) for path, size in _files(self.options["path"]) for at in range(0, size, split)]
+        first = self.options.get("firstsplits", self.options.get("firstSplits"))
+        return parts if first is None else parts[: int(first)] or parts
 
     def read(self, partition: _Part) -> Iterator:
         import pyarrow as pa
@@ -176,6 +178,10 @@ class _Reader(DataSourceReader):
                 yield batch(rows, sent)
 
 
+def split_count(paths: str, split_bytes: int | None = None) -> int:
+    return sum(-(-size // (split_bytes or SPLIT)) for _, size in _files(paths))
+
+
 def register(spark: SparkSession) -> None:
     """Makes the format known to the session, with filters handed to it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

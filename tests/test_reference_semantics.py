@@ -196,6 +196,20 @@ def test_members_of_packed_files(spark, tmp_path):
     assert one.columns == ["A", "B"] and [tuple(r) for r in one.collect()] == [("1", "2"), ("4", "5")]
 
 
+def test_first_classes_stop_early(spark, tmp_path):
+    """Two splits of many are read for a few classes; a run over the edge of the scan is finished; too high a limit reads all."""
+    hgnc = files.by_entrez(files.read_hgnc(spark, hgnc_file(tmp_path, [{"hgnc_id": "HGNC:1", "name": "gene a", "entrez_id": "7"}])))
+    lines = [hgvs_line(str(i // 3), ne=f"NM_1.1:c.{i}A>G") for i in range(3000)]
+    path = tmp_path / "h.gz"
+    path.write_bytes(b"".join(gzip.compress(("\n".join(lines[k : k + 100]) + "\n").encode()) for k in range(0, 3000, 100)))
+    split = path.stat().st_size // 12
+    for limit, most in ((5, 1), (120, 4), (5000, 13)):
+        read = []
+        got = C.first_hgvs_classes(spark, str(path), hgnc, limit, split_bytes=split, splits_read=read).collect()
+        assert sorted(int(r.fact_id.split(":")[1]) for r in got) == list(range(min(limit, 1000))) and max(read) <= most
+        assert all(sum(f.notation == "nucleotide_expression" for f in r.forms) == 3 for r in got)
+
+
 def test_file_runs_over_splits(spark):
     keys = ["a", "a", "b", "b", "b", "a", "c", "c"]
     rows = [((f"f{i // 5}", (i % 5 // 2 << 33) + i), k) for i, k in enumerate(keys)]
