@@ -324,9 +324,9 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     files, both = spark.sparkContext.broadcast(content), Tokenizers(*content)  # vocabularies: fixed size
     a_lengths, b_lengths = (spark.createDataFrame([(i, len(x)) for i, x in enumerate(side)], "id int, len int") for side in (both.a_bytes, both.b_bytes))
 
-    chunks = materialize(chunked(docs, files), "chunks")
+    chunks = materialize(chunked(docs, files), "chunks", codec="zstd")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count())
-    passed = materialize(composed(chunks, aligned(chunks, a_lengths, b_lengths, partitions)), "composed")
+    passed = materialize(composed(chunks, aligned(chunks, a_lengths, b_lengths, partitions)), "composed", codec="zstd")
     discard(chunks)
     own = passed.select("chunk", F.posexplode(F.arrays_zip("pairs", "documents")).alias("at", "x")).select("chunk", "at", F.col("x.pairs").alias("pair"), F.col("x.documents").alias("n"))
     counts = materialize(own.groupBy("pair").agg(F.sum("n").alias("n")), "pairs").withColumn("a", F.shiftright("pair", 32))
