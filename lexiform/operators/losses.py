@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiform.operators.metrics import dot
+from lexiform.operators.metrics import dot, per_query
 
 
 def logits(left: DataFrame, right: DataFrame, temperature: float = 0.07, batch: int = 128) -> DataFrame:
@@ -72,6 +72,18 @@ def hard_pool_loss(rows: DataFrame) -> DataFrame:
     return rows.groupBy("benchmark_id").agg((F.log(F.sum("e")) - F.log(F.sum(F.when(F.col("positive"), F.col("e"))))).alias("loss"))
 
 
+def hard_pool_evaluation(rows: DataFrame) -> DataFrame:
+    """One row, an evaluation step over hard pools: mean loss, mean place of the first positive, top1, top5, mean_reciprocal_rank, pools.
+
+    rows: benchmark_id, cand_idx, z, positive. Ties stand in order of cand_idx; a pool without a positive has no place and no loss.
+    """
+    place = F.row_number().over(Window.partitionBy("benchmark_id").orderBy(F.desc("z"), "cand_idx"))
+    ranks = rows.withColumn("place", place).groupBy("benchmark_id").agg(F.min(F.when(F.col("positive"), F.col("place"))).cast("bigint").alias("rank"))
+    both = per_query(ranks.join(hard_pool_loss(rows), "benchmark_id"))
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return both.agg(mean("loss").alias("loss"), F.avg("rank").alias("mean_rank"), mean("top1").alias("top1"), mean("top5").alias("top5"), mean("rr").alias("mean_reciprocal_rank"), F.count("*").alias("pools"))
+
+
 def history(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Means of batch values by key (an epoch)."""
     return rows.groupBy(*keys).agg(*(F.avg(v).alias(v) for v in values))

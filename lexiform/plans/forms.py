@@ -8,6 +8,7 @@ from lexiform.functions import text as T
 from lexiform.operators import classes as C
 from lexiform.operators import features as X
 from lexiform.operators import splits as S
+from lexiform.operators.skew import spread
 from lexiform.plans.base import CONV_SQL, PART_SQL, attrs, conversation_classes, part_classes, query, table
 from lexiform.sources import files, registry
 
@@ -346,7 +347,7 @@ with {_STATS}, q as (select low, scale from s where field = 'quantity')
 select l_orderkey, l_linenumber, round((l_quantity - low) / scale, 9) as value, 1.0::double as present, 0.0::double as absent, round(sin((l_quantity - low) / scale * 4 * pi()), 9) + 0.0 as sin2, round(cos((l_quantity - low) / scale * 4 * pi()), 9) + 0.0 as cos2 from lineitem, q
 """)
 def numeric_encoding(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", attrs(quantity=F.col("l_quantity"), none=F.lit("x")).alias("attrs"))
+    rows = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select("l_orderkey", "l_linenumber", attrs(quantity=F.col("l_quantity"), none=F.lit("x")).alias("attrs"))
     out = X.encode_numeric(rows, X.numeric_stats(rows, ["quantity"]), ["quantity", "none"])
     f, e = X.fourier_features(F.col("numeric"), 4), X.explicit_features(F.col("numeric"))
     return out.select("l_orderkey", "l_linenumber", F.round(e[0], 9).alias("value"), e[2].alias("present"), e[3].alias("absent"), (F.round(f[2], 9) + 0.0).alias("sin2"), (F.round(f[10], 9) + 0.0).alias("cos2"))

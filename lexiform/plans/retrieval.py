@@ -406,6 +406,20 @@ def hard_pool_loss(spark, d):
     return L.hard_pool_loss(z).select("benchmark_id", F.round("loss", 8).alias("loss"))
 
 
+@query(f"""
+with {_POOLS}, z as (select *, length(cand_text) / 10.0 + cand_idx / 100.0 as z from pools),
+l as (select benchmark_id, ln(sum(exp(z))) - ln(sum(exp(z)) filter (where decoy_kind = 'positive')) as loss from z group by 1),
+r as (select benchmark_id, min(place) filter (where decoy_kind = 'positive') as rank from (select *, row_number() over (partition by benchmark_id order by z desc, cand_idx) as place from z) group by 1)
+select round(avg(loss), 8) as loss, round(avg(rank), 9) as mean_rank, round(avg(case when rank <= 1 then 1.0 else 0 end), 9) as top1, round(avg(case when rank <= 5 then 1.0 else 0 end), 9) as top5, round(avg(1.0 / rank), 9) as mean_reciprocal_rank, count(*) as pools
+from l join r using (benchmark_id)
+""")
+def hard_pool_evaluation(spark, d):
+    """The evaluation step over hard pools: rank metrics beside the loss."""
+    z = _pools(spark, d).select("benchmark_id", "cand_idx", (F.length("cand_text") / 10 + F.col("cand_idx") / 100).alias("z"), (F.col("decoy_kind") == "positive").alias("positive"))
+    out = L.hard_pool_evaluation(z)
+    return out.select(F.round("loss", 8).alias("loss"), *(F.round(c, 9).alias(c) for c in ("mean_rank", "top1", "top5", "mean_reciprocal_rank")), "pools")
+
+
 @query("select event_type, round(avg(value), 6) as value from events group by 1")
 def batch_history(spark, d):
     return L.history(table(spark, d, "events"), ["event_type"], ["value"]).select("event_type", F.round("value", 6).alias("value"))
