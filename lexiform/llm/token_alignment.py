@@ -36,12 +36,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import discard, materialize
+from lexiform.llm.common import discard, iterator_udf, materialize
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-CHUNKS = "chunk long, doc_ids array<long>, sizes binary, codes binary, lengths binary, a array<array<int>>, b array<array<int>>"
+CHUNKS = "chunk long, doc_ids array<long>, sizes binary, codes binary, lengths binary, a binary, b binary"
 PASSED = "chunk long, doc_ids array<long>, figures binary, digests array<string>, sizes binary, codes binary, bad binary, n_links binary, links binary, pairs array<long>, documents array<long>"
 #: A space between two characters that are no white space, and one beside white space.
 BETWEEN, BESIDE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s")
@@ -136,7 +136,7 @@ def _tokenizers(files, held: dict = {}) -> Tokenizers:  # noqa: B006
 
 def chunked(docs: DataFrame, files, size: int = CHUNK) -> DataFrame:
     """Documents in chunks (CHUNKS): sizes are their numbers of segments, codes the segments' places in the chunk's order, lengths the segments' bytes
-    in that order (their sign tells units apart: a segment of its own counts negative), a and b the token ids by unit."""
+    in that order (their sign tells units apart: a segment of its own counts negative), a and b the token ids by unit, packed."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -144,8 +144,7 @@ def chunked(docs: DataFrame, files, size: int = CHUNK) -> DataFrame:
         both = _tokenizers(files)
 
         def by_unit(ids: list[np.ndarray]):
-            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)), pa.array(np.concatenate(ids)))
-            return pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), inner)
+            return pa.array([packed(np.concatenate([np.array([len(ids), *map(len, ids)], np.int32), *ids]))], pa.binary())
 
         first, ids, sizes, codes, words, held = None, [], [], [], defaultdict(count().__next__), 0
 
@@ -179,6 +178,21 @@ def chunked(docs: DataFrame, files, size: int = CHUNK) -> DataFrame:
     return rows.mapInArrow(run, CHUNKS)
 
 
+def _units(column: str) -> Column:
+    """The token ids by unit, as arrays, of a packed column. They travel packed, half as large as arrays."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rows in batches:
+            held = [unpacked(x.as_py()) for x in rows]
+            sizes = [x[1 : 1 + x[0]] for x in held]
+            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)), pa.array(np.concatenate([x[1 + x[0] :] for x in held])))
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sizes])]).astype(np.int32)), inner)
+
+    return iterator_udf(run, "array<array<int>>")(F.col(column))
+
+
 def ends(texts: DataFrame, side: str, lengths: DataFrame) -> DataFrame:
     """(chunk, unit, end, <side>): every token of one side with the offset where it ends. texts: chunk and ids by unit; lengths: id, len of the whole vocabulary."""
     units = texts.select("chunk", F.posexplode(side).alias("unit", "ids"))
@@ -192,7 +206,7 @@ def aligned(chunks: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame, parti
 
     All of it works by chunk, on one partitioning.
     """
-    by, key, none = lambda c: chunks.select("chunk", c).repartition(partitions, "chunk"), ["chunk", "unit", "end"], F.lit(None).cast("int")
+    by, key, none = lambda c: chunks.select("chunk", c).repartition(partitions, "chunk").withColumn(c, _units(c)), ["chunk", "unit", "end"], F.lit(None).cast("int")
     left, right = ends(by("a"), "a", a_lengths).select(*key, "a", none.alias("b")), ends(by("b"), "b", b_lengths).select(*key, none.alias("a"), "b")
     merged = left.unionAll(right).groupBy(*key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
     text = Window.partitionBy("chunk", "unit")
@@ -256,6 +270,7 @@ def composed(chunks: DataFrame, rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         out = {}
+        pa.default_memory_pool().release_unused()
         if left.num_rows:
             codes, sizes, lengths = (unpacked(left.column(c)[0].as_py()) for c in ("codes", "sizes", "lengths"))
             links, figures, said, n_links = _of_segments(right, lengths)
