@@ -179,7 +179,7 @@ def chunked(docs: DataFrame, files, size: int = CHUNK) -> DataFrame:
 
 
 def _units(column: str) -> Column:
-    """The token ids by unit, as arrays, of a packed column. They travel packed, half as large as arrays."""
+    """The token ids by unit, as arrays, of a packed column; written, they are smaller packed. Python operators lose the partitioning, so this comes before it."""
 
     def run(batches):
         import pyarrow as pa
@@ -206,7 +206,7 @@ def aligned(chunks: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame, parti
 
     All of it works by chunk, on one partitioning.
     """
-    by, key, none = lambda c: chunks.select("chunk", c).repartition(partitions, "chunk").withColumn(c, _units(c)), ["chunk", "unit", "end"], F.lit(None).cast("int")
+    by, key, none = lambda c: chunks.select("chunk", _units(c).alias(c)).repartition(partitions, "chunk"), ["chunk", "unit", "end"], F.lit(None).cast("int")
     left, right = ends(by("a"), "a", a_lengths).select(*key, "a", none.alias("b")), ends(by("b"), "b", b_lengths).select(*key, none.alias("a"), "b")
     merged = left.unionAll(right).groupBy(*key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
     text = Window.partitionBy("chunk", "unit")
