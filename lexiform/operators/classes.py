@@ -94,7 +94,7 @@ def _shaped(df: DataFrame, fact: Column, track: str, least: int, attrs: Column,
     return out.filter(F.size("forms") >= least)
 
 
-#: Pipe-delimited columns, in the order in which their forms follow.
+#: Pipe-delimited columns, in the order in which their forms follow; they name notations too, as do the builders' texts below.
 HGNC_LISTS = ["alias_symbol", "alias_name", "prev_symbol", "prev_name", "refseq_accession", "uniprot_ids"]
 
 

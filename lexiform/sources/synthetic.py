@@ -63,6 +63,7 @@ def variants(spark: SparkSession, n: int, seed: int = 13) -> DataFrame:
     v |= {f"{side}{k}": _pick(AMINO_ACIDS, k, F.col(side)) for side in ("r", "a") for k in range(3)}
     df = df.select((F.col("pos") * 3 - F.col("phase")).alias("cdna"), F.col("pos").cast("string").alias("p"), "pos", *(c.alias(k) for k, c in v.items()))
     c, l = F.col, F.lit
+    # The wording and the notation of each form.
     forms = [
         _form(F.concat("gene", l(" "), "r0", "p", "a0"), "protein_one_letter"),
         _form(F.concat("gene", l(" p."), "r1", "p", "a1"), "protein_three_letter"),
@@ -82,6 +83,7 @@ def labs(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(LABS, "name string, unit string, other string, factor double, low double, high double, vals array<double>")
     df = rows.withColumn("value", F.explode("vals")).withColumn("changed", F.col("value") * F.col("factor")).withColumn("status", status(F.col("value"), F.col("low"), F.col("high")))
     c, l = F.col, F.lit
+    # The wording and the notation of each form.
     forms = [
         _form(F.concat("name", l(" "), format_g(c("value")), l(" "), "unit"), "canonical_unit"),
         _form(F.concat("name", l(" "), format_g(c("changed"), 3), l(" "), "other"), "alternate_unit"),
