@@ -47,7 +47,8 @@ def hard_pools(
     Facts of equal values of all ``fields`` stand in a seeded circle, and each takes those that follow it, one
     form each, up to the room that the positives leave. ``fill_random`` adds, where a circle is too small,
     facts of other keys: those that follow a seeded place in the circle of all facts. So each fact
-    meets max_candidates others by equal joins, whatever the size of its key. Facts with a missing
+    meets max_candidates others by equal joins, whatever the size of its key. Both sides of these joins grow with the facts: they
+    are merged, as packed files look small enough for a broadcast long after their rows are not. Facts with a missing
     field, without positives or with too few decoys have no pool.
     """
     if max_candidates < positives + min_decoys:
@@ -67,7 +68,7 @@ def hard_pools(
     asked = facts.filter((F.size("queries") > 0) & (F.col("of") > F.greatest(F.lit(min_decoys), F.lit(1))))
     decoys = facts.select("key", F.col("at").alias("d_at"), F.col("fact_id").alias("d_fact"), "d_text")
     step = F.explode(F.sequence(F.lit(1), F.least(F.lit(room), F.col("of") - 1))).alias("step")
-    drawn = asked.select("fact_id", "key", "at", "of", step).withColumn("d_at", (F.col("at") + F.col("step")) % F.col("of")).join(decoys, ["key", "d_at"])
+    drawn = asked.select("fact_id", "key", "at", "of", step).withColumn("d_at", (F.col("at") + F.col("step")) % F.col("of")).join(decoys.hint("merge"), ["key", "d_at"])
     drawn = drawn.select("fact_id", F.col("step").alias("n"), "d_fact", "d_text", F.lit("matched").alias("kind"))
     if fill_random:
         start = F.conv(F.substring(F.md5(F.concat("fact_id", F.lit(f"|random|{seed}"))), 1, 15), 16, 10).cast("bigint")
@@ -75,10 +76,10 @@ def hard_pools(
         step = F.explode(F.sequence(F.lit(0), F.least(F.lit(room), F.col("of_all") - 1))).alias("step")
         spare = asked.filter(F.col("of") - 1 < room).select("fact_id", "key", "of_all", start.alias("start"), step).withColumn("at_all", (F.col("start") + F.col("step")) % F.col("of_all"))
         others = facts.select("at_all", F.col("key").alias("d_key"), F.col("fact_id").alias("d_fact"), "d_text")
-        spare = spare.join(others, "at_all").filter(~F.col("key").eqNullSafe(F.col("d_key")))
+        spare = spare.join(others.hint("merge"), "at_all").filter(~F.col("key").eqNullSafe(F.col("d_key")))
         drawn = drawn.unionByName(spare.select("fact_id", (F.col("step") + room + 1).alias("n"), "d_fact", "d_text", F.lit("random").alias("kind")))
     held = F.slice(F.array_sort(F.collect_list(F.struct("n", "d_fact", "d_text", "kind"))), 1, room)
-    pool = asked.select("fact_id", "queries", "pos").join(drawn.groupBy("fact_id").agg(held.alias("decoys")), "fact_id")
+    pool = asked.select("fact_id", "queries", "pos").join(drawn.groupBy("fact_id").agg(held.alias("decoys")).hint("merge"), "fact_id")
     goods = F.transform(F.slice("pos", 1, positives), lambda t: F.struct(F.lit(0).cast("bigint").alias("n"), F.col("fact_id").alias("d_fact"), t.alias("d_text"), F.lit("positive").alias("kind"))).cast("array<struct<n:bigint,d_fact:string,d_text:string,kind:string>>")
     pool = pool.select("fact_id", F.posexplode("queries").alias("q", "query_text"), F.concat("decoys", goods).alias("pool"))
     pool = pool.withColumn("benchmark_id", F.concat("fact_id", F.lit("::"), F.lit(query_notation), F.lit("::"), F.col("q").cast("string")))

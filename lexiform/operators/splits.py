@@ -72,7 +72,7 @@ def placed_in(df: DataFrame, by: list[str], id_col: str, seed: int, at: str, of:
     before = F.coalesce(F.sum("_n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(*by, "_bucket", before.alias("_before"), F.sum("_n").over(group).alias(of))
     inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_key", F.col(id_col)))
-    ranked = keyed.withColumn("_in", inside).join(offsets if by else F.broadcast(offsets), [*by, "_bucket"])
+    ranked = keyed.withColumn("_in", inside).join(offsets.hint("merge") if by else F.broadcast(offsets), [*by, "_bucket"])
     return ranked.withColumn(at, F.col("_before") + F.col("_in") - 1).drop("_key", "_bucket", "_in", "_before")
 
 
