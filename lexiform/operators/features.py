@@ -63,7 +63,7 @@ def fourier_features(numeric: Column, depth: int = 16) -> Column:
 def hard_attributes(pools: DataFrame, attributes: DataFrame) -> DataFrame:
     """Attributes of all queries and candidates of hard pools, for statistics. attributes: fact_id, attrs."""
     facts = pools.select("benchmark_id", F.col("fact_id")).distinct().select("fact_id").unionByName(pools.select(F.col("cand_fact").alias("fact_id")))
-    return facts.join(attributes, "fact_id")
+    return facts.join(attributes.hint("merge"), "fact_id")  # as large as the pools: a packed file of it looks small enough for a broadcast
 
 
 def class_forms(forms: DataFrame, per_class: int, notations: list[str] | None = None, seed: int = 13) -> DataFrame:

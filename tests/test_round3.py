@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from lexiform.operators import classes as C
+from lexiform.operators import features as X
+from lexiform.operators import pairs as P
+from lexiform.operators import ranking as R
 
 
 def plan(df):
@@ -28,3 +31,16 @@ def test_first_allele_row_with_three_forms_stays(spark):
     # Of the rows only their own columns are sorted by fact: no forms, no maps.
     fact = [line for line in plan(out).splitlines() if "Aggregate [fact" in line]
     assert fact and all("attrs" not in line and "forms" not in line for line in fact)
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pools_broadcast_no_facts(spark):
+    rows = spark.range(60).selectExpr("cast(id as string) fact_id", "map('size', cast(id % 3 as string)) attrs", "array(named_struct('text', concat('n', id), 'notation', 'name'), named_struct('text', concat('b', id), 'notation', 'brand')) forms")
+    pools = P.hard_pools(rows, "name", "brand", ["size"], max_candidates=30, fill_random=True)
+    assert "BroadcastHashJoin" not in executed(pools)
+    assert "BroadcastHashJoin" not in executed(X.hard_attributes(pools, rows.select("fact_id", "attrs")))
+    assert "BroadcastHashJoin" not in executed(R.hard_lexical_ranks(pools)).replace("BroadcastHashJoin [gram", "")  # idf by gram may be small
+    assert pools.count() == 60 * 30
