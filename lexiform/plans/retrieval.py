@@ -478,7 +478,7 @@ def hard_student_retrieval(spark, d):
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("benchmark_id").orderBy(F.desc("score"), "cand_idx"))
-    rows = pools.join(q, "query_text").join(c, "cand_text").withColumn("score", F.round(M.dot(F.col("x"), F.col("y")), 9)).withColumn("place", place)
+    rows = pools.join(q.hint("merge"), "query_text").join(c.hint("merge"), "cand_text").withColumn("score", F.round(M.dot(F.col("x"), F.col("y")), 9)).withColumn("place", place)
     return M.evaluate(rows.groupBy("benchmark_id").agg(F.min(F.when(F.col("decoy_kind") == "positive", F.col("place"))).alias("rank")))
 
 
