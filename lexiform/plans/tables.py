@@ -12,10 +12,18 @@ from lexiform.sources import files, registry, synthetic
 from lexiform.sources.shared import new_path
 
 
+#: Rows of a written file, about: a task sorts and packs them, and a packed file is read by one task.
+FILE_ROWS = 250_000
+
+
+def _n_files(df) -> int:
+    return max(4, -(-df.count() // FILE_ROWS))
+
+
 def _written(df, name: str, order: list[str], packed: bool = True, mark: str = "") -> str:
     """A folder of tab-separated files with a header; rows that belong together stand in one file, in order."""
     path, first = new_path(df.sparkSession, name), [c for c in df.columns if c != "ord"][0]
-    rows = df.repartition(4, first if order == [] else F.col(order[0])).sortWithinPartitions(*order) if order else df
+    rows = df.repartition(_n_files(df), first if order == [] else F.col(order[0])).sortWithinPartitions(*order) if order else df
     rows = rows.drop("ord").withColumnRenamed(first, mark + first) if mark else rows.drop("ord")
     rows.write.option("sep", "\t").option("header", True).option("escape", '"').option("compression", "gzip" if packed else "none").csv(path)
     return path
@@ -56,7 +64,7 @@ def variant_file_classes(spark, d):
         F.col("l_returnflag"), s("l_partkey"), s("l_orderkey"), s("l_suppkey"), F.lit("coding"), F.lit("na"), F.concat(F.lit("NM_"), s("l_suppkey"), F.lit(".1:c."), s("l_partkey"), F.lit("A>G")),
         F.lit("-"), F.concat(F.lit("NP_1.1:p.Val"), s("l_suppkey"), F.lit('Glu"')), F.lit("-"), F.lit("Yes"), F.lit("No"), F.lit(""),
     ]
-    lines = li.repartition(4, "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey").select(F.concat_ws("\t", *fields).alias("value"))
+    lines = li.repartition(_n_files(li), "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey").select(F.concat_ws("\t", *fields).alias("value"))
     path = new_path(spark, "hgvs")
     lines.write.option("compression", "gzip").text(path)
     spark.createDataFrame([("#Symbol\tGeneID",), ("A\t1\t999999999\t4",)], "value string").write.mode("append").option("compression", "gzip").text(path)
@@ -76,7 +84,7 @@ def first_file_classes(spark, d):
     fields = [F.lit("A"), s("l_partkey"), s("l_orderkey"), s("l_suppkey"), F.lit("coding"), F.lit("na"), F.concat(F.lit("NM_"), s("l_suppkey"), F.lit(".1:c."), s("l_partkey"), F.lit("A>G")), F.lit("-"), F.lit("-"), F.lit("-"), F.lit(""), F.lit(""), F.lit("")]
     path = new_path(spark, "hgvs")
     # Files are named by the range that they hold.
-    lines = li.repartitionByRange(4, "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").select(F.concat_ws("\t", *fields).alias("value"))
+    lines = li.repartitionByRange(_n_files(li), "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").select(F.concat_ws("\t", *fields).alias("value"))
     lines.write.option("compression", "gzip").text(path)
     out = C.first_hgvs_classes(spark, path, files.by_entrez(P._genes(spark, d)), 200, split_bytes=1 << 16)
     return out.select("fact_id", F.try_element_at("attrs", F.lit("gene_id")).alias("gene_id"))
