@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from lexiform.operators.metrics import dot, per_query
 
 
+#: Scores that one task makes and sorts, about: batches are dealt out by their number, because adaptive execution would join them by the bytes of their vectors.
+SCORES = 1 << 19
+
+
 def logits(left: DataFrame, right: DataFrame, temperature: float = 0.07, batch: int = 128) -> DataFrame:
     """Scaled dot products of all (left, right) of a batch. Both: row, fact_id, v of unit length."""
+    conf = left.sparkSession.conf
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), -(-left.count() * batch // SCORES))
     l = left.select(F.floor(F.col("row") / batch).alias("batch"), F.col("row").alias("i"), F.col("fact_id").alias("lf"), F.col("v").alias("x"))
     r = right.select(F.floor(F.col("row") / batch).alias("batch"), F.col("row").alias("j"), F.col("fact_id").alias("rf"), F.col("v").alias("y"))
-    return l.join(r, "batch").select("batch", "i", "j", (dot(F.col("x"), F.col("y")) / temperature).alias("z"), (F.col("lf") == F.col("rf")).alias("positive"))
+    l, r = (side.repartition(parts, "batch") for side in (l, r))
+    return l.join(r.hint("merge"), "batch").select("batch", "i", "j", (dot(F.col("x"), F.col("y")) / temperature).alias("z"), (F.col("lf") == F.col("rf")).alias("positive"))
 
 
 def _log_softmax(by: list[str]) -> Column:
