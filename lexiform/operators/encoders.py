@@ -21,6 +21,8 @@ from lexiform.functions.text import shuffle_key
 from lexiform.sources.shared import discard, materialize
 
 VOCABULARY, MAX_LENGTH = 257, 256
+#: Texts that an encoder takes at a time, unless it states a number.
+TOGETHER = 128
 
 
 def byte_matrix(texts: list[str | None], max_length: int = MAX_LENGTH) -> np.ndarray:
@@ -38,13 +40,28 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def erf(x: np.ndarray) -> np.ndarray:
     """The error function to about 1e-7, by a published Chebyshev fit of its complement. The ten coefficients of that fit."""
-    t = 1 / (1 + 0.5 * np.abs(x))
-    fit = np.polynomial.polynomial.polyval(t, [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277])
-    return np.sign(x) * (1 - t * np.exp(-x * x + fit))
+    x = np.asarray(x, float)
+    t = np.abs(x)
+    t *= 0.5
+    t += 1
+    np.divide(1, t, out=t)
+    fit = np.full_like(t, 0.17087277)
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        fit *= t
+        fit += c
+    fit -= x * x
+    np.exp(fit, out=fit)
+    fit *= t
+    np.subtract(1, fit, out=fit)
+    return fit * np.sign(x)
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + erf(x / np.sqrt(2)))
+    y = np.asarray(erf(x / np.sqrt(2)))
+    y += 1
+    y *= x
+    y *= 0.5
+    return y
 
 
 def _weights(rng: np.random.Generator, *shape: int) -> np.ndarray:
@@ -94,6 +111,7 @@ class ConvEncoder:
     widths: tuple[int, ...] = (3, 5, 7)
     seed: int = 13
     p: dict = field(default_factory=dict)
+    together: int = 32
 
     def __post_init__(self):
         rng, h = np.random.default_rng(self.seed), self.hidden
@@ -104,12 +122,19 @@ class ConvEncoder:
         return self.p["e"][ids] * (ids > 0)[..., None]
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
-        mask, pooled, x = (ids > 0)[..., None], [], self.token_features(ids)
+        """States are rows of a table by byte, so a kernel's products are made once a byte and looked up.
+
+        GELU falls, then rises: of some values its maximum is that of the least or of the largest of them.
+        """
+        mask, pooled, seen = (ids > 0)[..., None], [], (ids > 0).any(1)[:, None]
+        rows = self.p["e"] * (np.arange(VOCABULARY) > 0)[:, None]
         for w in self.widths:
-            padded = np.pad(x, ((0, 0), (w // 2, w // 2), (0, 0)))
-            y = gelu(sum(padded[:, j : j + ids.shape[1]] @ self.p[f"k{w}"][j] for j in range(w)) + self.p[f"c{w}"])
-            top = np.where(mask, y, -np.inf).max(1)
-            pooled.append(np.where(np.isfinite(top), top, 0))
+            padded, y = np.pad(ids, ((0, 0), (w // 2, w // 2))), 0
+            for j in range(w):
+                y = y + (rows @ self.p[f"k{w}"][j])[padded[:, j : j + ids.shape[1]]]
+            y += self.p[f"c{w}"]
+            most, least = np.where(mask, y, -np.inf).max(1), np.where(mask, y, np.inf).min(1)
+            pooled.append(np.where(seen, np.maximum(gelu(np.where(seen, most, 0)), gelu(np.where(seen, least, 0))), 0))
         return unit(gelu(np.concatenate(pooled, 1) @ self.p["a"] + self.p["a_bias"]) @ self.p["b"] + self.p["b_bias"])
 
 
@@ -128,6 +153,8 @@ class AttentionEncoder:
     max_length: int = 256
     seed: int = 13
     p: dict = field(default_factory=dict)
+    #: Scores are the square of a text's bytes: those of a few texts stay in a core's cache.
+    together: int = 4
 
     def __post_init__(self):
         rng, h = np.random.default_rng(self.seed), self.hidden
@@ -148,9 +175,12 @@ class AttentionEncoder:
         for i in range(self.layers):
             y = self._norm(x, f"_a{i}")
             q, k, v = (split(y @ p[f"{c}{i}"]) for c in "qkv")
-            score = np.where(mask[:, None, None], q @ k.transpose(0, 1, 3, 2) / np.sqrt(self.hidden / self.heads), -1e9)
-            a = np.exp(score - score.max(-1, keepdims=True))
-            x = x + ((a / a.sum(-1, keepdims=True)) @ v).transpose(0, 2, 1, 3).reshape(n, t, -1) @ p[f"o{i}"]
+            a = (q / np.sqrt(self.hidden / self.heads)) @ k.transpose(0, 1, 3, 2)
+            if not mask.all():
+                a = np.where(mask[:, None, None], a, -1e9)
+            a -= a.max(-1, keepdims=True)
+            np.exp(a, out=a)
+            x = x + ((a @ v) / a.sum(-1, keepdims=True)).transpose(0, 2, 1, 3).reshape(n, t, -1) @ p[f"o{i}"]
             x = x + gelu(self._norm(x, f"_f{i}") @ p[f"up{i}"]) @ p[f"down{i}"]
         return self._norm(x, "") * mask[..., None]
 
@@ -269,7 +299,7 @@ def encode(forms: DataFrame, encoder, max_length: int = MAX_LENGTH, text_col: st
     """
     spark = forms.sparkSession
     held = spark.sparkContext.broadcast(encoder)  # a model: fixed size
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    partitions, together = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), getattr(encoder, "together", TOGETHER)
 
     import pandas as pd
 
@@ -277,8 +307,8 @@ def encode(forms: DataFrame, encoder, max_length: int = MAX_LENGTH, text_col: st
         for text in texts:
             size = text.map(lambda t: len((t or "").encode())).clip(upper=max_length).to_numpy()
             order, out = np.argsort(size, kind="stable"), [None] * len(text)
-            for i in range(0, len(text), 128):
-                part = order[i : i + 128]
+            for i in range(0, len(text), together):
+                part = order[i : i + together]
                 for k, v in zip(part, held.value(byte_matrix(list(text.iloc[part]), max(1, int(size[part[-1]])))), strict=True):
                     out[k] = v
             yield pd.Series(out, dtype=object)
