@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from lexiform.operators import bounded as B
 from lexiform.operators import encoders as E
 from lexiform.operators import losses as L
 from lexiform.plans import tables as T
@@ -35,3 +36,30 @@ def test_encoders_equal_plain_formulas():
         pooled.append(np.where(mask.any(1), np.where(mask, y, -np.inf).max(1), 0))
     assert np.allclose(enc(ids), E.unit(gelu(np.concatenate(pooled, 1) @ enc.p["a"]) @ enc.p["b"]), atol=1e-6)
     assert E.AttentionEncoder().together * 256**2 * 4 * 8 <= 16 << 20  # bytes of its scores; before: those of 128 texts
+
+
+def test_copies_are_one_candidate(spark, monkeypatch):
+    """Three vectors, each many times, among queries and candidates: ranks by hand, and each distinct pair is met once."""
+    met = []
+    monkeypatch.setattr(B, "_grid", lambda asked, rows, *a, grid=B._grid: met.append((asked.count(), rows.count())) or grid(asked, rows, *a))
+    vec = [[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]]
+    rows = [(f"{i:03d}", str(i % 10), vec[i % 3]) for i in range(90)]
+    df = spark.createDataFrame(rows, "form_id string, fact_id string, dense array<double>")
+    got = {r.form_id: r.ranks[0] for r in B.first_match(df, df, [1.0]).collect()}
+    for f, fact, v in rows:
+        order = sorted((-round(float(np.dot(v, w)), 9), g, k) for g, k, w in rows if g != f)
+        assert got[f] == next(n for n, (*_, k) in enumerate(order, 1) if k == fact)
+    assert met == [(3, 3)]  # before: a row for each query and block
+
+
+def test_members_are_counted_over_ranges(spark):
+    members = [(c, f"{i:03d}") for c, n in (("a", 300), ("b", 7), ("c", 1)) for i in range(n)]
+    asks = [("a", "000"), ("a", "150"), ("a", "1505"), ("a", "999"), ("b", "003"), ("c", "000"), ("none", "x")]
+    before = B.members_before(spark.createDataFrame(asks, "class string, at string"), spark.createDataFrame(members, "class string, form string"))
+    assert {(r["class"], r["at"]): r.before for r in before.collect()} == {(c, at): sum(k == c and f < at for k, f in members) for c, at in asks}
+
+
+def test_joins_by_query_broadcast_nothing(spark):
+    df = spark.createDataFrame([(f"{i}", str(i % 3), [float(i), 1.0]) for i in range(9)], "form_id string, fact_id string, dense array<double>")
+    plan = B.first_match(df, df, [1.0])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan  # before: packed files of queries, bounds and thresholds were broadcast by their size
