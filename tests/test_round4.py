@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiform.operators import bounded as B
 from lexiform.operators import encoders as E
 from lexiform.operators import losses as L
+from lexiform.operators import ranking as R
 from lexiform.plans import tables as T
 
 
@@ -63,3 +64,10 @@ def test_joins_by_query_broadcast_nothing(spark):
     df = spark.createDataFrame([(f"{i}", str(i % 3), [float(i), 1.0]) for i in range(9)], "form_id string, fact_id string, dense array<double>")
     plan = B.first_match(df, df, [1.0])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan  # before: packed files of queries, bounds and thresholds were broadcast by their size
+
+
+def test_vectors_of_texts_broadcast_no_grams(spark):
+    df = spark.createDataFrame([("a", "one text"), ("b", "another")], "form_id string, text string")
+    plan = R.with_vectors(df, R.idf([df]))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan  # before: grams, guessed by the size of the packed texts, stopped the driver
+    assert R.with_vectors(df, R.idf([df])).count() == 2
