@@ -8,9 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiform.sources.shared import discard, materialize
+from lexiform.sources.shared import discard, materialize, new_path
 
-__all__ = ["discard", "drop_ids", "held_out", "iterator_udf", "join_stats", "let", "materialize", "prefix_sums", "small_batches", "table"]
+__all__ = ["bucketed", "discard", "drop_ids", "held_out", "iterator_udf", "join_stats", "let", "materialize", "prefix_sums", "small_batches", "table"]
 #: Fewer keys than this may be called hot, so that their rows can be broadcast.
 HOT_KEYS = 4096
 
@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, codec: str = "zstd") -> DataFrame:
+    """Like materialize(), but in buckets by key: what groups or joins the rows by that key needs no shuffle of them."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    known = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", codec).saveAsTable(known, format="parquet")
+    out = spark.table(known)
+    spark.sql(f"DROP TABLE {known}")  # the catalog's entry goes; the files are outside its warehouse and stay
+    out._lexiform_path = path
+    return out
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
     """Jobs inside send at most so many rows to Python at once: for rows that hold whole sets. The setting is restored.

@@ -7,15 +7,18 @@ sides by its key (ends are unique on a side), because Spark keeps the partitioni
 join: its rows are the byte ranges between neighbouring ends of any kind. Each of them lies in exactly one token of either side, and two overlapping tokens share exactly one
 of them: with the next token of both sides filled in, the rows are the links.
 
+Where tokens meet depends on their lengths alone. So the relations hold shapes, which are pairs of lists of token lengths, and a
+token stands in them as its place in its list: each distinct shape of a chunk is aligned once, for all texts that have it.
+
 Both tokenizers work on words alone where the vocabularies prove it (``Tokenizers.by_words``): the pattern of
 the first one ends a match before a space between two other characters, and no piece of the second
 one holds such a space behind its first character. So texts are taken apart there. Documents travel in chunks of
 bounded size, as codes of their segments; the distinct segments of a chunk, joined by spaces, are one text, which is
-tokenized and aligned once. Segments that start or end with white space or fail are texts of their own.
+tokenized once. Segments that start or end with white space or fail are texts of their own.
 Vocabularies that do not prove it leave texts whole; nothing else changes.
 
-A chunk sends each of its id pairs once, with the number of its documents, so no frequent pair is a
-hot key; the corpus-wide counts come back the same way.
+Chunks are written in buckets by their number, so neither they nor their tokens are shuffled. A chunk sends each of its id
+pairs once, with the number of its documents, so no frequent pair is a hot key; the corpus-wide counts come back the same way.
 
 Defined cases: null and empty texts, and texts whose joined token bytes differ from a space and the text, have
 no tokens: zeros and an empty digest column, and they do not count as documents of a pair; rows and ids may
@@ -27,22 +30,26 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain, count
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import discard, materialize
+from lexiform.llm.common import bucketed, discard, materialize
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 8 << 20
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-CHUNKS = "chunk long, doc_ids array<long>, sizes binary, codes binary, lengths binary, a array<array<int>>, b array<array<int>>"
+CHUNKS = "chunk long, doc_ids array<long>, sizes binary, codes binary, shapes binary, a_ids binary, b_ids binary, a array<array<int>>, b array<array<int>>"
 PASSED = "chunk long, doc_ids array<long>, figures binary, digests array<string>, sizes binary, codes binary, bad binary, n_links binary, links binary, pairs array<long>, documents array<long>"
+#: Joined texts that are tokenized at a time.
+PARTS = 16
 #: A space between two characters that are no white space, and one beside white space.
 BETWEEN, BESIDE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s")
 
@@ -112,7 +119,13 @@ class Tokenizers:
         """(order, number of joined words, ids by unit): words in an order in which the joined ones come first; unit 0 is their text, each other word is a unit."""
 
         def joined(held: list[int]) -> tuple[np.ndarray, np.ndarray]:
-            return self.encode([" ".join([words[i] for i in held[k : k + part]]) for k in range(0, len(held), part)])
+            # A few parts at a time: what the libraries return of a part is many times its ids.
+            parts, found = [held[k : k + part] for k in range(0, len(held), part)], [(np.zeros(0, np.int32),) * 2]
+            for k in range(0, len(parts), PARTS):
+                found.append(self.encode([" ".join([words[i] for i in p]) for p in parts[k : k + PARTS]]))
+                if not len(found[-1][0]):
+                    return found[0]
+            return tuple(map(np.concatenate, zip(*found, strict=True)))
 
         odd = [not self.by_words or not w or w[0].isspace() or w[-1].isspace() or "▁" in w for w in words]
         order = [i for i, x in enumerate(odd) if not x]
@@ -124,9 +137,36 @@ class Tokenizers:
         rest = [i for i, x in enumerate(odd) if x]
         return order + rest, len(order), [ids, *(self.encode([words[i]]) for i in rest)]
 
+    def by_segment(self, words: list[str]) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """An order of words, and of either side: the ids of all words in that order, the bytes of each id, and the number of ids by word."""
+        order, n_joined, ids_of = self.units(words)
+        joined, sides = np.cumsum([len(words[i].encode()) + 1 for i in order[:n_joined]]), []
+        for k, table in enumerate((self.a_bytes, self.b_bytes)):
+            ids = np.concatenate([x[k] for x in ids_of])
+            sizes = np.fromiter(map(len, table), np.int32, len(table))[ids]
+            # Both sides cut where a joined word ends.
+            numbers = np.diff(np.searchsorted(np.cumsum(sizes[: len(ids_of[0][k])]), joined, side="right"), prepend=0)
+            sides.append((ids, sizes, np.concatenate([numbers, [len(x[k]) for x in ids_of[1:]]]).astype(np.int64)))
+        return order, sides
+
+
+def shaped(sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list]:
+    """The number of each word's shape, and the shapes' lists of token lengths by side. sides: of Tokenizers.by_segment()."""
+    import pyarrow as pa
+
+    codes, lists = [], []
+    for _, sizes, numbers in sides:
+        at = np.concatenate([[0], np.cumsum(numbers)])
+        said = pa.Array.from_buffers(pa.large_binary(), len(numbers), [None, pa.py_buffer(at * sizes.itemsize), pa.py_buffer(np.ascontiguousarray(sizes))])
+        codes.append(said.dictionary_encode().indices.to_numpy().astype(np.int64))
+        lists.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sizes)))
+    _, some, shapes = np.unique(codes[0] * (1 + codes[1].max(initial=0)) + codes[1], return_index=True, return_inverse=True)
+    return shapes.astype(np.int32), [x.take(pa.array(some)) for x in lists]
+
 
 def _tokenizers(files, held: dict = {}) -> Tokenizers:  # noqa: B006
-    """A worker's tokenizers outlive the task. files: a broadcast of both files."""
+    """A worker's tokenizers outlive the task and stay on its core. files: a broadcast of both files."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     content = files.value
     key = tuple(hashlib.sha256(x).digest() for x in content)
     if held.get("key") != key:
@@ -135,30 +175,26 @@ def _tokenizers(files, held: dict = {}) -> Tokenizers:  # noqa: B006
 
 
 def chunked(docs: DataFrame, files, size: int = CHUNK) -> DataFrame:
-    """Documents in chunks (CHUNKS): sizes are their numbers of segments, codes the segments' places in the chunk's order, lengths the segments' bytes
-    in that order (their sign tells units apart: a segment of its own counts negative), a and b the token ids by unit."""
+    """Documents in chunks (CHUNKS): sizes are their numbers of segments, codes the segments' places in the chunk's order, shapes the segments' shapes
+    in that order, a_ids and b_ids their token ids one after the other, a and b the shapes' token lengths."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         both = _tokenizers(files)
-
-        def by_unit(ids: list[np.ndarray]):
-            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)), pa.array(np.concatenate(ids)))
-            return pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), inner)
-
         first, ids, sizes, codes, words, held = None, [], [], [], defaultdict(count().__next__), 0
 
         def sent():
             names = list(words)
-            order, n_joined, ids_of = both.units(names)
+            order, sides = both.by_segment(names)
             place = np.zeros(len(names), np.int32)
             place[order] = np.arange(len(names), dtype=np.int32)
-            lengths = np.array([len(names[i].encode()) + 1 for i in order], np.int32)
-            lengths[n_joined:] *= -1
+            shapes, lists = shaped(sides)
             own = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            row = [pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([packed(np.array(sizes, np.int32))]), pa.array([packed(place[own])]), pa.array([packed(lengths)])]
-            return pa.RecordBatch.from_arrays([*row, *(by_unit([x[k] for x in ids_of]) for k in (0, 1))], ["chunk", "doc_ids", "sizes", "codes", "lengths", "a", "b"])
+            row = [pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64()))]
+            row += [pa.array([packed(x)]) for x in (np.array(sizes, np.int32), place[own], shapes, sides[0][0], sides[1][0])]
+            row += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            return pa.RecordBatch.from_arrays(row, [x.split()[0] for x in CHUNKS.split(", ")])
 
         for batch in batches:
             for rid, doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -179,61 +215,77 @@ def chunked(docs: DataFrame, files, size: int = CHUNK) -> DataFrame:
     return rows.mapInArrow(run, CHUNKS)
 
 
-def ends(texts: DataFrame, side: str, lengths: DataFrame) -> DataFrame:
-    """(chunk, unit, end, <side>): every token of one side with the offset where it ends. texts: chunk and ids by unit; lengths: id, len of the whole vocabulary."""
-    units = texts.select("chunk", F.posexplode(side).alias("unit", "ids"))
-    placed = units.select("chunk", "unit", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(lengths), "id")
-    w = Window.partitionBy("chunk", "unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.select("chunk", "unit", F.sum("len").over(w).alias("end"), F.col("id").alias(side))
+def ends(chunks: DataFrame) -> DataFrame:
+    """(chunk, shape, end, a, b): every token of either side of a shape, as its place, with the offset where it ends; the other side's column is null."""
+    sides = F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("lists")) for c in "ab"))
+    shapes = chunks.select("chunk", F.inline(sides)).select("chunk", "side", F.posexplode("lists").alias("shape", "sizes"))
+    placed = shapes.select("chunk", "side", "shape", F.posexplode("sizes").alias("place", "size"))
+    w = Window.partitionBy("chunk", "shape", "side").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.select("chunk", "shape", F.sum("size").over(w).alias("end"), *(F.when(F.col("side") == c, F.col("place")).alias(c) for c in "ab"))
 
 
-def aligned(chunks: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame, partitions: int) -> DataFrame:
-    """(chunk, unit, end, a, b, group, a_over, b_over): the tokens that end at each offset, the number of cuts before it, and the tokens that lie over the bytes up to it.
+def aligned(chunks: DataFrame) -> DataFrame:
+    """(chunk, shape, end, a, b, a_over, b_over, group): the tokens that end at each offset, those that lie over the bytes up to it, and the number of cuts before it.
 
-    All of it works by chunk, on one partitioning.
+    All of it works by chunk, on the buckets of chunks.
     """
-    by, key, none = lambda c: chunks.select("chunk", c).repartition(partitions, "chunk"), ["chunk", "unit", "end"], F.lit(None).cast("int")
-    left, right = ends(by("a"), "a", a_lengths).select(*key, "a", none.alias("b")), ends(by("b"), "b", b_lengths).select(*key, none.alias("a"), "b")
-    merged = left.unionAll(right).groupBy(*key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    text = Window.partitionBy("chunk", "unit")
+    merged = ends(chunks).groupBy("chunk", "shape", "end").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    text = Window.partitionBy("chunk", "shape")
     over = lambda c: F.last(c, ignorenulls=True).over(text.orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0))
     cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
     before = F.coalesce(F.sum(cut).over(text.orderBy("end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return merged.withColumn("a_over", over("a")).withColumn("b_over", over("b")).withColumn("group", before)
 
 
-def pair(a: Column, b: Column) -> Column:
-    """An id pair as one number."""
-    return F.shiftleft(a.cast("bigint"), 32).bitwiseOR(b.cast("bigint"))
+#: What may stand behind a token's number: a token of the same side and group, the other side, another group.
+MARKS = ",|;"
 
 
-def _of_segments(table, lengths: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], list[bytes], np.ndarray]:
-    """From a chunk's aligned rows: links (id pairs) by segment, the segments' figures, their groups as text, and the links' number by segment."""
-    joined, n = lengths[lengths > 0], len(lengths)
-    unit, end = table.column("unit").to_numpy(), table.column("end").to_numpy()
-    order = np.lexsort((end, unit))
-    unit, end = unit[order], end[order]
-    seg = np.where(unit == 0, np.searchsorted(np.cumsum(joined), end), len(joined) + unit - 1)
-    numbers = {c: table.column(c).fill_null(-1).to_numpy()[order] for c in ("a", "b", "group", "links")}
-    a, b = numbers["a"], numbers["b"]
-    figures = {"n_a": a >= 0, "n_b": b >= 0, "n_groups": (a >= 0) & (b >= 0), "n_links": np.ones(len(a), bool)}
-    figures = {k: np.bincount(seg[v], minlength=n) for k, v in figures.items()}
-    # A group's rows follow each other: its ids of either side, then the groups of a segment. Text is made for some segments at a time.
-    start = np.flatnonzero(np.diff(numbers["group"], prepend=-1) | np.diff(unit, prepend=-1))
-    first = np.searchsorted(seg[start], np.arange(n + 1))
-    edges, said = np.append(start, len(a)), []
-    for k in range(0, n, SAID):
-        own = edges[first[k] : first[min(k + SAID, n)] + 1].tolist()
-        a_said, b_said = ([str(x) if x >= 0 else "" for x in side[own[0] : own[-1]].tolist()] for side in (a, b))
-        own = [x - own[0] for x in own]
-        groups = [f"{a_said[i]}|{b_said[i]}" if j == i + 1 else ",".join(filter(None, a_said[i:j])) + "|" + ",".join(filter(None, b_said[i:j])) for i, j in zip(own, own[1:], strict=False)]
-        at = (first[k : min(k + SAID, n) + 1] - first[k]).tolist()
-        said += [";".join(groups[i:j]).encode() for i, j in zip(at, at[1:], strict=False)]
-    return numbers["links"], figures, said, figures["n_links"]
+@cache
+def _said(most: int):
+    """The numbers below most, each before every mark."""
+    import pyarrow as pa
+
+    return pa.array([f"{i}{mark}".encode() for mark in MARKS for i in range(most)], pa.large_binary())
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each of these, n of them, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-#: Segments whose groups are made text at a time.
-SAID = 20_000
+def _of_segments(table, shapes: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], list[bytes]]:
+    """Links (id pairs) one segment after the other, the segments' figures, and their groups as text, each ending in a semicolon. table: a chunk's aligned rows."""
+    import pyarrow as pa
+
+    n = int(shapes.max(initial=-1)) + 1
+    order = np.lexsort((table.column("end").to_numpy(), table.column("shape").to_numpy()))
+    shape, a, b, a_over, b_over, group = (table.column(c).fill_null(-1).to_numpy()[order] for c in ("shape", "a", "b", "a_over", "b_over", "group"))
+    figures = {"n_a": a >= 0, "n_b": b >= 0, "n_groups": (a >= 0) & (b >= 0), "n_links": np.ones(len(a), bool)}
+    figures = {k: np.bincount(shape[v], minlength=n) for k, v in figures.items()}
+    starts = {k: np.cumsum(v) - v for k, v in figures.items()}
+    figures, starts["a"], starts["b"] = {k: v[shapes] for k, v in figures.items()}, *(np.cumsum(x) - x for x in (figures["n_a"][shapes], figures["n_b"][shapes]))
+
+    row, times = spread(starts["n_links"][shapes], figures["n_links"]), figures["n_links"]
+    links = a_ids[np.repeat(starts["a"], times) + a_over[row]].astype(np.int64) << 32 | b_ids[np.repeat(starts["b"], times) + b_over[row]]
+    # A group's tokens of the first side, then those of the second, each with the mark behind it.
+    place, side = np.concatenate([a[a >= 0], b[b >= 0]]), np.repeat([0, 1], [np.sum(a >= 0), np.sum(b >= 0)])
+    of, group = (np.concatenate([x[a >= 0], x[b >= 0]]) for x in (shape, group))
+    order = np.lexsort((place, side, group, of))
+    place, side, of, group = (x[order] for x in (place, side, of, group))
+    last = np.ones(len(of), bool)
+    last[:-1] = (np.diff(of) != 0) | (np.diff(group) != 0) | (np.diff(side) != 0)
+    mark, times = np.where(last, 1 + side, 0), figures["n_a"] + figures["n_b"]
+    row = spread((starts["n_a"] + starts["n_b"])[shapes], times)
+    second, place = side[row] == 1, place[row]
+    ids = np.empty(len(row), np.int64)
+    ids[~second] = a_ids[(np.repeat(starts["a"], times) + place)[~second]]
+    ids[second] = b_ids[(np.repeat(starts["b"], times) + place)[second]]
+    most = 1 << int(max(a_ids.max(initial=1), b_ids.max(initial=1))).bit_length()
+    said = _said(most).take(pa.array(mark[row] * most + ids))
+    at = np.frombuffer(said.buffers()[1], np.int64, len(said) + 1) if len(said) else np.zeros(1, np.int64)
+    text = pa.Array.from_buffers(pa.large_binary(), len(shapes), [None, pa.py_buffer(at[np.concatenate([[0], np.cumsum(times)])]), said.buffers()[2] or pa.py_buffer(b"")])
+    return links, figures, text.to_pylist()
 
 
 def _named(df: DataFrame, *columns: str) -> DataFrame:
@@ -257,26 +309,26 @@ def composed(chunks: DataFrame, rows: DataFrame) -> DataFrame:
 
         out = {}
         if left.num_rows:
-            codes, sizes, lengths = (unpacked(left.column(c)[0].as_py()) for c in ("codes", "sizes", "lengths"))
-            links, figures, said, n_links = _of_segments(right, lengths)
+            codes, sizes, *own = (unpacked(left.column(c)[0].as_py()) for c in ("codes", "sizes", "shapes", "a_ids", "b_ids"))
+            links, figures, said = _of_segments(right, *own)
+            n_links, n = figures["n_links"], len(own[0])
             first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             doc = np.repeat(np.arange(len(sizes)), sizes)
             bad = sizes == 0
             bad[doc[figures["n_a"][codes] == 0]] = True
             table = np.stack([np.where(bad, 0, _by_document(first, codes, figures[c])) for c in FIGURES])
-            digests = ["" if bad[i] else hashlib.sha256(b";".join([said[k] for k in codes[first[i] : first[i + 1]].tolist()])).hexdigest() for i in range(len(sizes))]
+            digests = ["" if bad[i] else hashlib.sha256(memoryview(b"".join([said[k] for k in codes[first[i] : first[i + 1]].tolist()]))[:-1]).hexdigest() for i in range(len(sizes))]
             pairs, place = np.unique(links, return_inverse=True)
             # Distinct segments of each document, then distinct pairs, one document after the other in blocks.
             times, at = np.zeros(len(pairs), np.int64), np.concatenate([[0], np.cumsum(n_links)])
             good = ~bad[doc]
-            held = np.unique(doc[good] * len(lengths) + codes[good])
-            d, s = held // max(len(lengths), 1), held % max(len(lengths), 1)
+            held = np.unique(doc[good] * n + codes[good])
+            d, s = held // max(n, 1), held % max(n, 1)
             for i in range(0, len(d), 1 << 20):
                 # A block ends where a document does.
                 lo, hi = (np.searchsorted(d, d[x]) if x < len(d) else len(d) for x in (i, i + (1 << 20)))
-                n = n_links[s[lo:hi]]
-                spot = np.repeat(at[s[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                both = np.unique(np.repeat(d[lo:hi], n) * len(pairs) + place[spot])
+                own = n_links[s[lo:hi]]
+                both = np.unique(np.repeat(d[lo:hi], own) * len(pairs) + place[spread(at[s[lo:hi]], own)])
                 times += np.bincount(both % max(len(pairs), 1), minlength=len(pairs))
             row = [left.column("chunk"), left.column("doc_ids"), [packed(table)], [digests], [packed(sizes)], [packed(codes)], [packed(bad)], [packed(n_links.astype(np.int32))], [packed(place.astype(np.int32))], [pairs], [times]]
             out = dict(zip(names, row, strict=True))
@@ -287,8 +339,8 @@ def composed(chunks: DataFrame, rows: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in PASSED.split(", ")]
     of = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     kinds = {x.split()[0]: of[x.split()[1]] for x in PASSED.split(", ")}
-    told = rows.select("chunk", "unit", "end", "a", "b", "group", pair(F.col("a_over"), F.col("b_over")).alias("links"))
-    return _named(chunks, "chunk", "doc_ids", "sizes", "codes", "lengths").groupBy("chunk").cogroup(_named(told, *told.columns).groupBy("chunk")).applyInArrow(run, PASSED)
+    left = _named(chunks, "chunk", "doc_ids", "sizes", "codes", "shapes", "a_ids", "b_ids")
+    return left.groupBy("chunk").cogroup(_named(rows, *rows.columns).groupBy("chunk")).applyInArrow(run, PASSED)
 
 
 def finished(passed: DataFrame, counts: DataFrame) -> DataFrame:
@@ -321,12 +373,10 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     spark = docs.sparkSession
     with open(a_path, "rb") as a, open(b_path, "rb") as b:
         content = (a.read(), b.read())
-    files, both = spark.sparkContext.broadcast(content), Tokenizers(*content)  # vocabularies: fixed size
-    a_lengths, b_lengths = (spark.createDataFrame([(i, len(x)) for i, x in enumerate(side)], "id int, len int") for side in (both.a_bytes, both.b_bytes))
+    files, buckets = spark.sparkContext.broadcast(content), int(spark.conf.get("spark.sql.shuffle.partitions"))  # vocabularies: fixed size
 
-    chunks = materialize(chunked(docs, files), "chunks", codec="zstd")
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count())
-    passed = materialize(composed(chunks, aligned(chunks, a_lengths, b_lengths, partitions)), "composed", codec="zstd")
+    chunks = bucketed(chunked(docs, files), "chunks", "chunk", buckets)
+    passed = bucketed(composed(chunks, aligned(chunks)), "composed", "chunk", buckets)
     discard(chunks)
     own = passed.select("chunk", F.posexplode(F.arrays_zip("pairs", "documents")).alias("at", "x")).select("chunk", "at", F.col("x.pairs").alias("pair"), F.col("x.documents").alias("n"))
     counts = materialize(own.groupBy("pair").agg(F.sum("n").alias("n")), "pairs").withColumn("a", F.shiftright("pair", 32))
