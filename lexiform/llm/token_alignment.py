@@ -41,10 +41,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiform.llm.common import bucketed, discard, materialize
+from lexiform.llm.common import bucketed, discard, materialize, small_batches
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 CHUNKS = "chunk long, doc_ids array<long>, sizes binary, codes binary, shapes binary, a_ids binary, b_ids binary, a array<array<int>>, b array<array<int>>"
 PASSED = "chunk long, doc_ids array<long>, figures binary, digests array<string>, sizes binary, codes binary, bad binary, n_links binary, links binary, pairs array<long>, documents array<long>"
@@ -202,6 +202,7 @@ def chunked(docs: DataFrame, files, size: int = CHUNK) -> DataFrame:
                 if first is not None and held + len(text) > size:
                     yield sent()
                     first, ids, sizes, codes, words, held = None, [], [], [], defaultdict(count().__next__), 0
+                    pa.default_memory_pool().release_unused()
                 first = rid if first is None else first
                 own = both.segments(text) if text else []
                 codes.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
@@ -237,6 +238,8 @@ def aligned(chunks: DataFrame) -> DataFrame:
     return merged.withColumn("a_over", over("a")).withColumn("b_over", over("b")).withColumn("group", before)
 
 
+#: Segments whose links and groups are made at a time, and segments of documents whose pairs are counted at a time.
+SAID, COUNTED = 1 << 14, 1 << 18
 #: What may stand behind a token's number: a token of the same side and group, the other side, another group.
 MARKS = ",|;"
 
@@ -254,6 +257,12 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different ones of numbers that are not negative, in order; x is sorted in place."""
+    x.sort()
+    return x[np.diff(x, prepend=-1) != 0]
+
+
 def _of_segments(table, shapes: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], list[bytes]]:
     """Links (id pairs) one segment after the other, the segments' figures, and their groups as text, each ending in a semicolon. table: a chunk's aligned rows."""
     import pyarrow as pa
@@ -264,10 +273,6 @@ def _of_segments(table, shapes: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray
     figures = {"n_a": a >= 0, "n_b": b >= 0, "n_groups": (a >= 0) & (b >= 0), "n_links": np.ones(len(a), bool)}
     figures = {k: np.bincount(shape[v], minlength=n) for k, v in figures.items()}
     starts = {k: np.cumsum(v) - v for k, v in figures.items()}
-    figures, starts["a"], starts["b"] = {k: v[shapes] for k, v in figures.items()}, *(np.cumsum(x) - x for x in (figures["n_a"][shapes], figures["n_b"][shapes]))
-
-    row, times = spread(starts["n_links"][shapes], figures["n_links"]), figures["n_links"]
-    links = a_ids[np.repeat(starts["a"], times) + a_over[row]].astype(np.int64) << 32 | b_ids[np.repeat(starts["b"], times) + b_over[row]]
     # A group's tokens of the first side, then those of the second, each with the mark behind it.
     place, side = np.concatenate([a[a >= 0], b[b >= 0]]), np.repeat([0, 1], [np.sum(a >= 0), np.sum(b >= 0)])
     of, group = (np.concatenate([x[a >= 0], x[b >= 0]]) for x in (shape, group))
@@ -275,17 +280,27 @@ def _of_segments(table, shapes: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray
     place, side, of, group = (x[order] for x in (place, side, of, group))
     last = np.ones(len(of), bool)
     last[:-1] = (np.diff(of) != 0) | (np.diff(group) != 0) | (np.diff(side) != 0)
-    mark, times = np.where(last, 1 + side, 0), figures["n_a"] + figures["n_b"]
-    row = spread((starts["n_a"] + starts["n_b"])[shapes], times)
-    second, place = side[row] == 1, place[row]
-    ids = np.empty(len(row), np.int64)
-    ids[~second] = a_ids[(np.repeat(starts["a"], times) + place)[~second]]
-    ids[second] = b_ids[(np.repeat(starts["b"], times) + place)[second]]
+    mark = np.where(last, 1 + side, 0)
+
+    figures = {k: v[shapes] for k, v in figures.items()}
+    a_first, b_first, link_first = (np.concatenate([[0], np.cumsum(figures[k])]) for k in ("n_a", "n_b", "n_links"))
     most = 1 << int(max(a_ids.max(initial=1), b_ids.max(initial=1))).bit_length()
-    said = _said(most).take(pa.array(mark[row] * most + ids))
-    at = np.frombuffer(said.buffers()[1], np.int64, len(said) + 1) if len(said) else np.zeros(1, np.int64)
-    text = pa.Array.from_buffers(pa.large_binary(), len(shapes), [None, pa.py_buffer(at[np.concatenate([[0], np.cumsum(times)])]), said.buffers()[2] or pa.py_buffer(b"")])
-    return links, figures, text.to_pylist()
+    links, said = np.empty(link_first[-1], np.int64), []
+    for x in range(0, len(shapes), SAID):
+        some = slice(x, x + SAID)
+        times = figures["n_links"][some]
+        row = spread(starts["n_links"][shapes[some]], times)
+        links[link_first[x] : link_first[x] + len(row)] = a_ids[np.repeat(a_first[:-1][some], times) + a_over[row]].astype(np.int64) << 32 | b_ids[np.repeat(b_first[:-1][some], times) + b_over[row]]
+        times = (figures["n_a"] + figures["n_b"])[some]
+        row = spread((starts["n_a"] + starts["n_b"])[shapes[some]], times)
+        second, ids = side[row] == 1, np.empty(len(row), np.int64)
+        ids[~second] = a_ids[(np.repeat(a_first[:-1][some], times) + place[row])[~second]]
+        ids[second] = b_ids[(np.repeat(b_first[:-1][some], times) + place[row])[second]]
+        taken = _said(most).take(pa.array(mark[row] * most + ids))
+        at = np.frombuffer(taken.buffers()[1], np.int64, len(row) + 1) if len(row) else np.zeros(1, np.int64)
+        text = [None, pa.py_buffer(at[np.concatenate([[0], np.cumsum(times)])]), taken.buffers()[2] or pa.py_buffer(b"")]
+        said += pa.Array.from_buffers(pa.large_binary(), len(times), text).to_pylist()
+    return links, figures, said
 
 
 def _named(df: DataFrame, *columns: str) -> DataFrame:
@@ -301,37 +316,45 @@ def _by_document(doc_first: np.ndarray, codes: np.ndarray, own: np.ndarray) -> n
     return total[doc_first[1:]] - total[doc_first[:-1]]
 
 
+def _of_chunk(left, right) -> list:
+    """A chunk's row of PASSED. left: its row of CHUNKS; right: its aligned rows."""
+    codes, sizes, *own = (unpacked(left.column(c)[0].as_py()) for c in ("codes", "sizes", "shapes", "a_ids", "b_ids"))
+    links, figures, said = _of_segments(right, *own)
+    n_links, n = figures["n_links"], len(own[0])
+    first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    bad = sizes == 0
+    bad[doc[figures["n_a"][codes] == 0]] = True
+    table = np.stack([np.where(bad, 0, _by_document(first, codes, figures[c])) for c in FIGURES])
+    # The last group has no mark behind it.
+    digests = ["" if bad[i] else hashlib.sha256(memoryview(b"".join([said[k] for k in codes[first[i] : first[i + 1]].tolist()]))[:-1]).hexdigest() for i in range(len(sizes))]
+    del said
+    pairs, place = np.unique(links, return_inverse=True)
+    place = place.astype(np.int32)
+    del links
+    # Distinct segments of each document, then distinct pairs, one document after the other in blocks.
+    times, at = np.zeros(len(pairs), np.int64), np.concatenate([[0], np.cumsum(n_links)])
+    good = ~bad[doc]
+    held = distinct(doc[good] * n + codes[good])
+    d, s = ((f(held, max(n, 1))).astype(np.int32) for f in (np.floor_divide, np.remainder))
+    del doc, good, held
+    for i in range(0, len(d), COUNTED):
+        # A block ends where a document does.
+        lo, hi = (np.searchsorted(d, d[x]) if x < len(d) else len(d) for x in (i, i + COUNTED))
+        own = n_links[s[lo:hi]]
+        both = distinct(np.repeat(d[lo:hi].astype(np.int64), own) * len(pairs) + place[spread(at[s[lo:hi]], own)])
+        times += np.bincount(both % max(len(pairs), 1), minlength=len(pairs))
+    return [left.column("chunk"), left.column("doc_ids"), [packed(table)], [digests], [packed(sizes)], [packed(codes)], [packed(bad)], [packed(n_links.astype(np.int32))], [packed(place)], [pairs], [times]]
+
+
 def composed(chunks: DataFrame, rows: DataFrame) -> DataFrame:
     """A row a chunk (PASSED): its documents' figures and digests, and its id pairs with the number of its documents that hold them linked."""
 
     def run(left, right):
         import pyarrow as pa
 
-        out = {}
-        if left.num_rows:
-            codes, sizes, *own = (unpacked(left.column(c)[0].as_py()) for c in ("codes", "sizes", "shapes", "a_ids", "b_ids"))
-            links, figures, said = _of_segments(right, *own)
-            n_links, n = figures["n_links"], len(own[0])
-            first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            bad = sizes == 0
-            bad[doc[figures["n_a"][codes] == 0]] = True
-            table = np.stack([np.where(bad, 0, _by_document(first, codes, figures[c])) for c in FIGURES])
-            digests = ["" if bad[i] else hashlib.sha256(memoryview(b"".join([said[k] for k in codes[first[i] : first[i + 1]].tolist()]))[:-1]).hexdigest() for i in range(len(sizes))]
-            pairs, place = np.unique(links, return_inverse=True)
-            # Distinct segments of each document, then distinct pairs, one document after the other in blocks.
-            times, at = np.zeros(len(pairs), np.int64), np.concatenate([[0], np.cumsum(n_links)])
-            good = ~bad[doc]
-            held = np.unique(doc[good] * n + codes[good])
-            d, s = held // max(n, 1), held % max(n, 1)
-            for i in range(0, len(d), 1 << 20):
-                # A block ends where a document does.
-                lo, hi = (np.searchsorted(d, d[x]) if x < len(d) else len(d) for x in (i, i + (1 << 20)))
-                own = n_links[s[lo:hi]]
-                both = np.unique(np.repeat(d[lo:hi], own) * len(pairs) + place[spread(at[s[lo:hi]], own)])
-                times += np.bincount(both % max(len(pairs), 1), minlength=len(pairs))
-            row = [left.column("chunk"), left.column("doc_ids"), [packed(table)], [digests], [packed(sizes)], [packed(codes)], [packed(bad)], [packed(n_links.astype(np.int32))], [packed(place.astype(np.int32))], [pairs], [times]]
-            out = dict(zip(names, row, strict=True))
+        pa.default_memory_pool().release_unused()
+        out = dict(zip(names, _of_chunk(left, right), strict=True)) if left.num_rows else {}
         return pa.table({k: pa.array(out.get(k, []), t) if isinstance(out.get(k, []), list) else out[k].cast(t) for k, t in kinds.items()})
 
     import pyarrow as pa
@@ -375,7 +398,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         content = (a.read(), b.read())
     files, buckets = spark.sparkContext.broadcast(content), int(spark.conf.get("spark.sql.shuffle.partitions"))  # vocabularies: fixed size
 
-    chunks = bucketed(chunked(docs, files), "chunks", "chunk", buckets)
+    with small_batches(spark, 1024):
+        chunks = bucketed(chunked(docs, files), "chunks", "chunk", buckets)
     passed = bucketed(composed(chunks, aligned(chunks)), "composed", "chunk", buckets)
     discard(chunks)
     own = passed.select("chunk", F.posexplode(F.arrays_zip("pairs", "documents")).alias("at", "x")).select("chunk", "at", F.col("x.pairs").alias("pair"), F.col("x.documents").alias("n"))

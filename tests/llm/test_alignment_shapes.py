@@ -38,6 +38,19 @@ def test_relations_hold_distinct_shapes_without_shuffles(spark, chunks):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("chunks")]
 
 
+def test_blocks_of_a_chunk_agree(chunks, monkeypatch):
+    left, right = chunks.toArrow(), token_alignment.aligned(chunks).toArrow()
+
+    def row():
+        found = token_alignment._of_chunk(left, right)
+        return [x.to_pylist() if hasattr(x, "to_pylist") else [y.tolist() if hasattr(y, "tolist") else y for y in x] for x in found]
+
+    one = row()
+    monkeypatch.setattr(token_alignment, "SAID", 7)
+    monkeypatch.setattr(token_alignment, "COUNTED", 11)
+    assert row() == one
+
+
 def test_few_joined_texts_are_tokenized_at_a_time(content, monkeypatch):
     both, sizes = token_alignment.Tokenizers(*content), []
     words = [f"w{i}" for i in range(500)] + ["a b", " x"]
