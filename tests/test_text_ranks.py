@@ -79,3 +79,22 @@ def test_grams_are_counted_inside_tasks(spark):
     counts = Counter(int(g) for x in seen for g in x)
     assert got == pytest.approx({g: math.log(7 / (1 + n)) + 1 for g, n in counts.items()})
     assert G.gram_idf([df.filter(F.lit(False))]).count() == 0
+
+
+def test_tasks_hold_texts(spark, monkeypatch):
+    """The three tasks of method_comparison give texts to the ranks, not a row or an entry for each gram of each vector."""
+    from lexiform.plans import retrieval
+
+    class Seen(Exception):
+        pass
+
+    def seen(q, c, *a, weights, **k):
+        assert "text" in q.columns and "g" not in q.columns and "g" not in c.columns  # before: gram arrays of each vector in each task
+        sets = {r.ws: r.n for r in weights.groupBy("ws").agg(F.count("*").alias("n")).collect()}
+        assert set(sets) == {1, 2, 3} and min(sets.values()) > 10
+        assert {tuple(r) for r in c.select("ws", F.element_at("serves", 1)).distinct().collect()} == {(t, t) for t in (1, 2, 3)}
+        raise Seen
+
+    monkeypatch.setattr(retrieval, "first_match", seen)
+    with pytest.raises(Seen):
+        retrieval.method_comparison(spark, "/root/testdata/sf0.001")
